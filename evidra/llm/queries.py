@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, decontam, langid, media, repair, warc
+from . import bpe, cpjoin, ctw, decontam, langid, licenses, media, repair, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_files(repair.write_files(_table(spark, sf_dir, "documents")))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cpjoin.join(_table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(_table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_decontamination, op3_language_id, op4_token_files, op6_lm_score, op8_warc, op9_bpe)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_decontamination, op3_language_id, op4_token_files, op5_jaccard_join, op6_lm_score, op8_warc, op9_bpe, op10_license_scan)}
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
