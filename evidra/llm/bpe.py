@@ -183,8 +183,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256 of every whole text; as encode()."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256 of every whole text, and
+    ids if asked for; as encode()."""
     texts = texts_of(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +195,9 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
             for i, j in slices(batch.column("text")):
                 part = batch.slice(i, j - i)
                 ids, count = c.encoder.encode([t or "" for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count, pa.int64()), pa.array(sha(*c.numbers(ids, count)), pa.string()), pa.array(sha(*c.tokens(ids, count)), pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(count, pa.int64()), "ids_sha256": pa.array(sha(*c.numbers(ids, count)), pa.string()), "decoded_sha256": pa.array(sha(*c.tokens(ids, count)), pa.string())}
+                if with_ids:
+                    columns["ids"] = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

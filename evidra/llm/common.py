@@ -80,3 +80,45 @@ def slices(column: pa.Array, limit: int = 2 << 20):
 def crc_bucket(col, n: int):
     """crc32 of the id written as text, modulo n."""
     return F.crc32(col.cast("string").cast("binary")) % n
+
+
+MARK_BITS = 26
+
+
+class Marks:
+    """A set of row numbers as a bitmap of fixed size (2**MARK_BITS bits) that every task may hold.
+
+    It may say yes for a row that isn't in the set, never no for one that is: it only keeps rows that
+    surely aren't needed out of a shuffle, and a join decides.
+    """
+
+    def __init__(self, rows: DataFrame, column: str = "rid"):
+        h = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << MARK_BITS))
+        words = rows.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+        bits = np.zeros(1 << MARK_BITS - 6, np.int64)
+        bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+        self.bits = rows.sparkSession.sparkContext.broadcast(bits)
+
+    @staticmethod
+    def column(column: str = "rid"):
+        """What has() takes, for each row."""
+        return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << MARK_BITS))
+
+    @staticmethod
+    def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return (bits[h >> 6] >> (h & 63) & 1).astype(bool)
+
+
+def split_marked(df: DataFrame, marks: Marks, column: str = "rid") -> tuple[DataFrame, DataFrame]:
+    """(rows that may be marked, rows that surely aren't) of df, without a shuffle."""
+    own, bits = df.schema, marks.bits
+
+    def part(wanted: bool):
+        def run(batches):
+            for batch in batches:
+                mask = Marks.has(bits.value, batch.column("__mark").to_numpy())
+                yield batch.select([n for n in batch.schema.names if n != "__mark"]).filter(pa.array(mask == wanted))
+
+        return df.withColumn("__mark", Marks.column(column)).mapInArrow(run, own)
+
+    return part(True), part(False)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Marks, split_marked, stored
 from .graph import components
 from .shingles import WIDTH, numbered, sequences
 from .words import mix
@@ -125,9 +125,10 @@ def _buckets(reps: DataFrame, runs: int, threshold: float, bucket: int, depth: i
     return stored(leaves, "buckets")
 
 
-def _sets(width: int):
+def _sets(width: int, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(Marks.has(bits.value, batch.column("mark").to_numpy())))
             for first, _, seqs, _, _ in sequences(batch.column("text"), width):
                 own = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in seqs]
                 yield pa.RecordBatch.from_arrays([batch.column("rid").slice(first, len(own)), pa.array(own, pa.binary())], names=["rid", "set"])
@@ -208,10 +209,10 @@ def _blocked(rows: DataFrame, key: str, block: int) -> DataFrame:
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, recall: float = RECALL, bucket: int = BUCKET, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
-    """rid, doc_id, class_id, copy_id, n_links for every row.
+    """rid, doc_id, class_id, class_rid, copy_id, n_links for every row.
 
     copy_id: the smallest id among rows with the same set of shingles; class_id: the smallest id in the row's
-    component of links; n_links: other rows whose similarity with this one is the threshold or more, copies
+    component of links and class_rid the number of one of its rows; n_links: other rows whose similarity with this one is the threshold or more, copies
     included. A text without words has no set: no links, and a class of its own (its own id). Null ids sort
     first and give a null class. Rows with equal ids count as rows of their own. Other columns are ignored.
 
@@ -225,15 +226,26 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     reps = stored(own.groupBy("k1", "k2", "n_set").agg(F.count("*").alias("copies"), F.min("doc_id").alias("copy_id"), F.min(F.struct("rid", "sample")).alias("rep")).select("k1", "k2", "n_set", "copies", "copy_id", "rep.rid", "rep.sample"), "classes")
     buckets = _buckets(reps, runs_for(recall, threshold), threshold, bucket, depth)
     needed = buckets.select("rid").distinct()
-    sets = stored(base.select("rid", "text").join(needed, "rid", "left_semi").mapInArrow(_sets(width), "rid long, set binary"), "sets", "lz4")
+    marks = Marks(needed)
+    sets = stored(base.select("rid", "text", Marks.column().alias("mark")).mapInArrow(_sets(width, marks.bits), "rid long, set binary"), "sets", "lz4")
     edges = _blocked(buckets.join(sets, "rid"), "path", block).groupBy("path", "i", "j").applyInPandas(_edges(threshold), "a long, b long")
     found = stored(components(edges), "components")
     members = found.join(reps.select(F.col("rid").alias("node"), "copies", "copy_id"), "node")
     size = members.groupBy("root").agg(F.count("*").alias("n"), F.min("copy_id").alias("class_id"))
     inside = _blocked(members.join(size.select("root", "n"), "root").select("root", "n", F.col("node").alias("rid"), "copies").join(sets, "rid"), "root", block)
     counts = inside.groupBy("root", "i", "j").applyInPandas(_counts(threshold), "rid long, n long").groupBy("rid").agg(F.sum("n").alias("near"))
-    classes = members.join(size.select("root", "class_id"), "root").select(F.col("node").alias("rid"), "class_id").join(counts, "rid")
-    by_class = reps.select("k1", "k2", "n_set", "copies", "copy_id", "rid").join(classes, "rid", "left").select("k1", "k2", "n_set", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    classes = members.join(size.select("root", "class_id"), "root").select(F.col("node").alias("rid"), "class_id", "root").join(counts, "rid")
+    by_class = reps.select("k1", "k2", "n_set", "copies", "copy_id", "rid").join(classes, "rid", "left").select("k1", "k2", "n_set", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("root", "rid").alias("class_rid"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
     return rows.select("rid", "doc_id", "k1", "k2", "n_set").join(by_class, ["k1", "k2", "n_set"], "left").select(
-        "rid", "doc_id", F.when(F.col("n_set") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n_set") > 0, F.col("copy_id")).otherwise(F.col("doc_id")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        "rid", "doc_id", F.when(F.col("n_set") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("class_rid", rows["rid"]).alias("class_rid"), F.when(F.col("n_set") > 0, F.col("copy_id")).otherwise(F.col("doc_id")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
+
+
+def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each class of join(): the one with the smallest id, and of those the first."""
+    rows = stored(join(docs, id_col, text_col, **options).select("rid", "doc_id", "class_rid"), "classes")
+    kept = rows.groupBy("class_rid").agg(F.min(F.struct("doc_id", "rid")).alias("first")).select("class_rid", F.col("first.rid").alias("kept"))
+    gone = stored(rows.join(kept, "class_rid").filter("rid <> kept").select(F.col("rid").alias("__row")), "gone")
+    own = docs.withColumn("__row", F.monotonically_increasing_id())
+    maybe, rest = split_marked(own, Marks(gone, "__row"), "__row")
+    return rest.unionByName(maybe.join(gone, "__row", "left_anti")).drop("__row")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, slices, texts_of
+from .common import Marks, flat, slices, split_marked, stored, texts_of
 from .words import ALNUM, Words, mix, window_hash
 
 SHIFT_BITS = 18
@@ -201,3 +201,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     merged = merged.withColumn("spans", joined)
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
     return merged.select("doc_id.doc_id", "n_words", hits.alias("n_hit"), "items", "spans")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns, in which decontaminate() hits no word."""
+    own = docs.withColumn("__row", F.monotonically_increasing_id())
+    hit = stored(decontaminate(own.select(F.col("__row").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), benchmark, **options).filter("n_hit > 0").select(F.col("doc_id").alias("__row")), "hits")
+    maybe, rest = split_marked(own, Marks(hit, "__row"), "__row")
+    return rest.unionByName(maybe.join(hit, "__row", "left_anti")).drop("__row")

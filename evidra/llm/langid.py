@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_bucket, slices
 
@@ -201,26 +202,38 @@ def held_out(id_column: Column, of: int = 4, remainder: int = 2) -> Column:
 
 
 def _score(model):
+    """Takes the columns __text and __letters, passes all others, and adds lang_pred and score."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         limit = (2 << 20) // max(1, len(m.languages) // 8 if m else 1)
         for batch in batches:
-            column = batch.column("text")
+            column = batch.column("__text")
+            names = [n for n in batch.schema.names if n not in ("__text", "__letters")]
             for i, j in slices(column, limit):
                 texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
-                letters = batch.column("letters").slice(i, j - i).to_pylist()
+                letters = batch.column("__letters").slice(i, j - i).to_pylist()
                 if m is None:
                     lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 else:
                     best, p = m.predict(texts)
                     lang = [m.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters, strict=True)]
                     score = np.where(letters, p, 0.0)
-                rest = [batch.column(c).slice(i, j - i) for c in batch.schema.names if c not in ("text", "letters")]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*(c for c in batch.schema.names if c not in ("text", "letters")), "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(i, j - i) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
     return run
 
 
+def _model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, fold: int, bits: int):
+    base = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    return docs.sparkSession.sparkContext.broadcast(train(base.filter(~held_out(F.col("key"), folds, fold)), bits))
+
+
+def _with_text(docs: DataFrame, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.withColumns({"__text": text, "__letters": F.coalesce(text.rlike(r"\p{L}"), F.lit(False))})
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2, bits: int = BITS) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row; the model learns from the rows that aren't held out.
 
@@ -228,9 +241,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     is left to learn from. Rows with a null label are scored and not learnt from. Equal texts get equal
     results. Other columns are ignored.
     """
-    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    held = held_out(F.col("doc_id"), folds, fold)
-    model = docs.sparkSession.sparkContext.broadcast(train(base.filter(~held).select(F.col("doc_id").alias("key"), "text", "lang"), bits))
-    rows = base.select("doc_id", held.alias("held_out"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    model = _model(docs, id_col, text_col, lang_col, folds, fold, bits)
+    rows = _with_text(docs, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), held_out(F.col(f"`{id_col}`"), folds, fold).alias("held_out"), "__text", "__letters")
     kind = docs.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(_score(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2, bits: int = BITS) -> DataFrame:
+    """The rows of docs, all columns, whose language identify() names with a score of `least` or more."""
+    model = _model(docs, id_col, text_col, lang_col, folds, fold, bits)
+    own = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    order = [f"__c{k}" for k in range(len(docs.columns))]  # own names: columns of docs may be called as ours
+    renamed = _with_text(docs, text_col).toDF(*order, "__text", "__letters")
+    out = renamed.mapInArrow(_score(model), T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(order, docs.schema.fields, strict=True)), *own.fields[-2:]]))
+    return out.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(n).alias(f.name) for n, f in zip(order, docs.schema.fields, strict=True)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cpjoin, ctw, decontam, langid, licenses, media, repair, warc
+from . import bpe, cpjoin, ctw, decontam, langid, licenses, media, repair, warc, windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,13 +30,17 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cpjoin.join(_table(spark, sf_dir, "documents")).drop("rid")
+    return cpjoin.join(_table(spark, sf_dir, "documents")).drop("rid", "class_rid")
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.passages(_table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -49,7 +53,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_decontamination, op3_language_id, op4_token_files, op5_jaccard_join, op6_lm_score, op8_warc, op9_bpe, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_decontamination, op3_language_id, op4_token_files, op5_jaccard_join, op6_lm_score, op7_substring_dedup, op8_warc, op9_bpe, op10_license_scan)}
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
