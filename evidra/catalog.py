@@ -1,6 +1,483 @@
-"""Registered queries of the library's own operators, and their SQL."""
+"""Registered queries of the library's own operators, each over whole tables, and their SQL.
+
+The tables stand in for evidence (plans.evidence): documents are files, sources are volumes, orders and their
+lines are file activity, pages are raw bytes to search, events are requests and a session's steps.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalar as S
+from .functions import text as X
+from .operators import carve, history, paging, registry, reports, search, space, timeline, verify
+from .plans import evidence
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+FILES = """files AS (SELECT 'vol' || substr(source, 4) AS vol, doc_id AS inode, 'doc_' || doc_id || '.' || lang AS name,
+ 'vol' || substr(source, 4) || ':/' || lang || '/doc_' || doc_id || '.' || lang AS path, lang, CAST(strlen(text) AS BIGINT) AS size, text FROM documents)"""
+
+
+def _readable(n: str) -> str:
+    units = "".join(f" WHEN {n} < {1024 ** (k + 1)} THEN printf('%.2f {u}', {n} / {1024**k}.0::DOUBLE)" for k, u in enumerate(["B", "KB", "MB", "GB", "TB"]))
+    return f"CASE WHEN {n} IS NULL THEN '0 B'{units} ELSE printf('%.2f PB', {n} / {1024**5}.0::DOUBLE) END"
+
+
+def _found(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    return search.search(evidence.files(spark, sf_dir), query).select("inode", "name", "path", "size", S.readable_size(F.col("size")).alias("readable_size")).orderBy(F.desc("size"), "inode")
+
+
+@_query(f"WITH {FILES} SELECT inode, name, path, size, {_readable('size')} AS readable_size FROM files WHERE contains(lower(name), 'oc_1') ORDER BY size DESC, inode")
+def search_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that contain a text."""
+    return _found(spark, sf_dir, "OC_1")
+
+
+@_query(f"WITH {FILES} SELECT inode, name, path, size, {_readable('size')} AS readable_size FROM files WHERE lower(regexp_extract(name, '(\\.[^.]*)$', 1)) = '.fr'")
+def search_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with an extension."""
+    return _found(spark, sf_dir, ".FR")
+
+
+@_query(f"WITH {FILES} SELECT inode, name, path, size, {_readable('size')} AS readable_size FROM files WHERE regexp_matches(name, '^doc_.7.*\\.e.$', 'i')")
+def search_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """names that fit a wildcard."""
+    return _found(spark, sf_dir, "DOC_?7*.e?")
+
+
+@_query(f"WITH {FILES} SELECT inode, name FROM files WHERE lang IN ('de', 'es')")
+def search_extension_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files with one of some extensions."""
+    return search.with_extensions(evidence.files(spark, sf_dir).withColumn("is_directory", F.lit(False)), [".de", ".ES"]).select("inode", "name")
+
+
+@_query(f"WITH {FILES} SELECT vol, count(*) AS results FROM files WHERE contains(lower(name), '.e') GROUP BY vol")
+def search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of a search by volume."""
+    return search.search(evidence.files(spark, sf_dir), "*.e*").groupBy("vol").agg(F.count("*").alias("results"))
+
+
+@_query(f"WITH {FILES} SELECT inode, size * size * size AS size, {_readable('(size * size * size)')} AS readable_size FROM files")
+def readable_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 over sizes of every unit up to petabytes."""
+    n = F.col("size") * F.col("size") * F.col("size")
+    return evidence.files(spark, sf_dir).select("inode", n.alias("size"), S.readable_size(n).alias("readable_size"))
+
+
+@_query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'N/A' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ' UTC' END AS shown, strftime(make_timestamp((o_orderkey % 100) * 1000000), '%M:%S') AS clock FROM orders""")
+def shown_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as text, 0 as N/A; milliseconds as a clock."""
+    seconds = F.when(F.col("o_orderkey") % 7 == 0, F.lit(0)).otherwise(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")))
+    return evidence.table(spark, sf_dir, "orders").select("o_orderkey", S.epoch_text(seconds).alias("shown"), S.clock((F.col("o_orderkey") % 100) * 1000).alias("clock"))
+
+
+NAMES = "CASE CAST(doc_id % 6 AS INTEGER) WHEN 0 THEN 'Photo' || doc_id || '.JPG' WHEN 1 THEN '.rc' || doc_id WHEN 2 THEN 'a' || doc_id || '.tar.GZ' WHEN 3 THEN 'noext' || doc_id WHEN 4 THEN '..x' || doc_id || '.y' ELSE 'a' || doc_id || '.' END"
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.table(spark, sf_dir, "documents").select("doc_id", F.expr(NAMES).alias("name"))
+
+
+@_query(f"""WITH n AS (SELECT doc_id, {NAMES} AS name FROM documents)
+SELECT doc_id, name, CASE CAST(doc_id % 6 AS INTEGER) WHEN 0 THEN '.jpg' WHEN 1 THEN '' WHEN 2 THEN '.gz' WHEN 3 THEN '' WHEN 4 THEN '.y' ELSE '.' END AS ext,
+CASE CAST(doc_id % 6 AS INTEGER) WHEN 0 THEN 'jpg' WHEN 1 THEN 'rc' || doc_id WHEN 2 THEN 'gz' WHEN 3 THEN 'unknown' WHEN 4 THEN 'y' ELSE '' END AS icon_ext FROM n""")
+def name_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extensions as a listing and as an icon table have them."""
+    return _names(spark, sf_dir).select("doc_id", "name", S.extension(F.col("name")).alias("ext"), S.icon_extension(F.col("name")).alias("icon_ext"))
+
+
+@_query("""SELECT page_id, regexp_replace(url, '/[^/]*$', '') AS parent, 'vol0:/' || regexp_extract(url, '[^/]*$') AS joined FROM pages""")
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents of paths, and paths put together."""
+    return evidence.table(spark, sf_dir, "pages").select("page_id", S.dirname(F.col("url")).alias("parent"), S.join_path(F.lit("vol0:"), F.substring_index("url", "/", -1)).alias("joined"))
+
+
+ICONS = "('file', 'gif', 'i/gif'), ('file', 'jpg', 'i/jpg'), ('file', 'gz', 'i/zip'), ('file', 'generic', 'i/file'), ('folder', 'folder', 'i/folder')"
+
+
+@_query(f"""WITH n AS (SELECT doc_id, {NAMES} AS name, CASE WHEN doc_id % 11 = 0 THEN 'folder' WHEN doc_id % 11 = 1 THEN 'socket' ELSE 'file' END AS type FROM documents),
+e AS (SELECT doc_id, type, CASE WHEN contains(name, '.') THEN lower(split_part(name, '.', -1)) ELSE 'unknown' END AS ext FROM n),
+i(type, extension, path) AS (VALUES {ICONS})
+SELECT doc_id, e.type, e.ext, coalesce(a.path, b.path, 'i/default') AS icon FROM e LEFT JOIN i a ON a.type = e.type AND a.extension = e.ext
+LEFT JOIN i b ON b.type = e.type AND b.extension = CASE WHEN b.type = 'folder' THEN 'folder' ELSE 'generic' END""")
+def icon_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Icons by type and extension, with two fallbacks."""
+    rows = _names(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 11 == 0, "folder").when(F.col("doc_id") % 11 == 1, "socket").otherwise("file").alias("type"), S.icon_extension(F.col("name")).alias("ext"))
+    icons = spark.sql(f"SELECT * FROM VALUES {ICONS} AS t(type, extension, path)")
+    return search.resolve_icons(rows, icons, "type", "ext", "i/default").select("doc_id", "type", "ext", "icon")
+
+
+VOLUMES = """v0 AS (SELECT CAST(substr(source, 4) AS INTEGER) AS addr, CAST(sum(strlen(text)) AS BIGINT) AS size FROM documents GROUP BY 1),
+v1 AS (SELECT addr, size, CAST((size + 511) // 512 AS BIGINT) AS length FROM v0),
+v AS (SELECT addr, size, length, CAST(sum(length) OVER (ORDER BY addr) - length + 2048 AS BIGINT) AS start FROM v1)"""
+
+
+@_query(f"""WITH {VOLUMES} SELECT addr, start, length, start + length - 1 AS "end", length * 512 AS size, length // 8 * 4096 AS volume_size, CAST(0 AS BIGINT) AS first_block, length // 8 - 1 AS last_block,
+'vol' || addr || ' (part: ' || start || '-' || (start + length - 1) || ', Size: ' || {_readable("(length * 512)")} || ', FS: ' || (CASE WHEN addr % 3 = 0 THEN 'NTFS' WHEN addr % 3 = 1 THEN 'Unknown' ELSE 'N/A' END) || ')' AS label,
+trim(format('{{:,}}', length * 512)) AS bytes FROM v""")
+def volumes_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geometry and labels of volumes."""
+    v = evidence.volumes(spark, sf_dir).select("addr", "start", "length", F.lit(4096).cast("long").alias("block_size"), F.floor(F.col("length") / 8).cast("long").alias("block_count"))
+    v = space.volume_stats(v)
+    fs = S.fs_name(F.when(F.col("addr") % 3 == 0, F.lit("NTFS")).when(F.col("addr") % 3 == 1, F.lit("zfs")))
+    return v.select("addr", "start", "length", "end", "size", "volume_size", "first_block", "last_block", S.volume_label(F.col("addr"), F.lit("part"), F.col("start"), F.col("end"), F.col("size"), fs).alias("label"), S.thousands(F.col("size")).alias("bytes"))
+
+
+@_query(f"""WITH {VOLUMES}, t AS (SELECT sum(length) * 512 + 5000000 AS total FROM v),
+p AS (SELECT CAST(addr AS BIGINT) AS addr, 'NTFS' AS fs_type, length * 512 AS size FROM v UNION ALL SELECT NULL, 'Unallocated Space', total - (SELECT sum(length) * 512 FROM v) FROM t)
+SELECT addr, fs_type, CAST(size AS BIGINT) AS size, CAST(size AS DOUBLE) / CAST(total AS DOUBLE) * 100 AS percentage FROM p, t""")
+def space_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: shares of an image's space, and what is left."""
+    v = evidence.volumes(spark, sf_dir).select(F.lit("disk").alias("image_id"), "addr", "length", F.lit("NTFS").alias("fs_type"))
+    totals = v.groupBy("image_id").agg((F.sum("length") * 512 + 5000000).alias("total_size"))
+    return space.space_allocation(v, totals).drop("image_id")
+
+
+@_query(f"WITH {VOLUMES} SELECT 'disk' AS image_id, CAST(sum(size) AS BIGINT) AS size, CAST(sum(size) // 512 AS BIGINT) AS sectors, count(*) AS partitions, 'partitioned' AS status FROM v")
+def image_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, sectors, partitions and status of an image."""
+    v = evidence.volumes(spark, sf_dir).withColumn("image_id", F.lit("disk"))
+    images = v.groupBy("image_id").agg(F.sum("size").alias("size")).withColumn("has_fs", F.lit(False))
+    return space.image_summary(images, v)
+
+
+@_query("""SELECT c_custkey, d AS "desc", CASE WHEN contains(d, 'Primary Table') OR contains(d, 'Safety Table') OR contains(d, 'GPT Header') THEN 'special' WHEN contains(d, 'Unallocated') OR contains(d, 'Microsoft reserved') THEN 'unallocated' ELSE 'normal' END AS class
+FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'GPT Header' WHEN 1 THEN 'Unallocated' WHEN 2 THEN 'Microsoft reserved partition' WHEN 3 THEN 'Primary Table (#0)' ELSE c_mktsegment END AS d FROM customer)""")
+def partition_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """partitions by their descriptions."""
+    d = F.expr("CASE c_custkey % 5 WHEN 0 THEN 'GPT Header' WHEN 1 THEN 'Unallocated' WHEN 2 THEN 'Microsoft reserved partition' WHEN 3 THEN 'Primary Table (#0)' ELSE c_mktsegment END")
+    return evidence.table(spark, sf_dir, "customer").select("c_custkey", d.alias("desc")).withColumn("class", search.volume_class(F.col("desc")))
+
+
+@_query(f"""WITH {FILES}, {VOLUMES} SELECT inode, coalesce('vol' || addr, 'vol0') || ':/' || name AS path FROM (SELECT inode, name, CASE WHEN inode % 9 = 0 THEN -1 ELSE start END AS at FROM files JOIN v ON vol = 'vol' || addr) f LEFT JOIN v w ON w.start = f.at""")
+def volume_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths with the volume that starts at an entry's offset, vol0 where none does."""
+    v = evidence.volumes(spark, sf_dir).select(F.lit("disk").alias("image_id"), "addr", "start")
+    at = F.when(F.col("inode") % 9 == 0, F.lit(-1)).otherwise(F.col("start")).alias("start_offset")
+    entries = evidence.files(spark, sf_dir).join(v.select(F.concat(F.lit("vol"), F.col("addr").cast("string")).alias("vol"), "start"), "vol").select(F.lit("disk").alias("image_id"), "inode", at, F.concat(F.lit("/"), "name").alias("path"))
+    return search.with_volume_path(entries, v).select("inode", "path")
+
+
+ALLOCATED = "SELECT vol AS image_id, 512 * 2048 + inode * 1024 AS start, 512 * 2048 + inode * 1024 + size AS \"end\" FROM files WHERE inode % 4 <> 0 AND size > 0"
+
+
+def _allocated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = evidence.files(spark, sf_dir).select(F.col("vol").alias("image_id"), "inode", "size", F.lit(2048).cast("long").alias("start_offset"), (F.col("inode") % 4 != 0).alias("is_allocated"))
+    return space.allocated_intervals(entries, F.lit(1024))
+
+
+@_query(f"WITH {FILES} {ALLOCATED}")
+def allocated_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3, F8: places of allocated files, estimated."""
+    return _allocated(spark, sf_dir)
+
+
+@_query(f"""WITH {FILES}, a AS ({ALLOCATED}), m AS (SELECT *, max("end") OVER (PARTITION BY image_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM a),
+n AS (SELECT *, sum(CASE WHEN r IS NULL OR start > r THEN 1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT image_id, min(start) AS start, max("end") AS "end" FROM n GROUP BY image_id, k""")
+def alloc_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union of allocated places."""
+    return space.islands(_allocated(spark, sf_dir), "image_id")
+
+
+@_query(f"""WITH {FILES}, a AS ({ALLOCATED}), c AS (SELECT DISTINCT vol AS image_id, 1048576 + k * 8192 AS "offset" FROM files, unnest(range(0, 400)) AS t(k))
+SELECT image_id, "offset", CAST(8192 AS BIGINT) AS len FROM c WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.image_id = c.image_id AND c."offset" < a."end" AND c."offset" + 8192 > a.start)""")
+def alloc_overlap_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that no allocated place overlaps, by a bucketed equi-join."""
+    chunks = evidence.files(spark, sf_dir).select(F.col("vol").alias("image_id")).distinct().select("image_id", F.explode(F.sequence(F.lit(1048576).cast("long"), F.lit(1048576 + 399 * 8192).cast("long"), F.lit(8192).cast("long"))).alias("offset"), F.lit(8192).cast("long").alias("len"))
+    return space.free_chunks(chunks, _allocated(spark, sf_dir), 8192)
+
+
+@_query("SELECT doc_id, array_to_string(regexp_extract_all(text, '[ -~]{4,}'), chr(10)) AS strings FROM documents")
+def printable_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of printable ASCII."""
+    return evidence.files(spark, sf_dir).select(F.col("inode").alias("doc_id"), X.printable_strings(F.col("content")).alias("strings"))
+
+
+@_query("""WITH l AS (SELECT doc_id, encode(text) AS b, CAST(k AS BIGINT) AS line_no FROM documents, unnest(range(0, (strlen(text) + 15) // 16)) AS t(k)),
+c AS (SELECT doc_id, line_no, hex(b[line_no * 16 + 1:line_no * 16 + 16]) AS h FROM l)
+SELECT doc_id, line_no // 1024 AS page, line_no, printf('0x%08x: ', line_no * 16) || rpad(rtrim(regexp_replace(h, '(..)', '\\1 ', 'g')), 48, ' ') || '  ' ||
+array_to_string(list_transform(range(1, length(h), 2), lambda i: CASE WHEN substr(h, i, 2) BETWEEN '20' AND '7E' THEN chr(CAST(CAST('0x' || substr(h, i, 2) AS INTEGER) AS INTEGER)) ELSE '.' END), '') AS line FROM c""")
+def hex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hex lines of whole files."""
+    return paging.hex_lines(evidence.files(spark, sf_dir).withColumnRenamed("inode", "doc_id"), "doc_id")
+
+
+@_query("""SELECT doc_id, '0x00000000' AS address, rtrim(regexp_replace(hex(encode(text)[1:16]), '(..)', '\\1 ', 'g')) AS hex FROM documents WHERE text <> ''""")
+def hex_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hex lines taken apart again."""
+    lines = paging.hex_lines(evidence.files(spark, sf_dir).withColumnRenamed("inode", "doc_id"), "doc_id", lines=1)
+    return lines.select("doc_id", X.parse_hex_line(F.col("line")).alias("p")).select("doc_id", "p.address", "p.hex")
+
+
+@_query("""SELECT doc_id, CAST(k AS BIGINT) AS page, CAST((length(text) + 1999) // 2000 AS BIGINT) AS pages, substr(text, k * 2000 + 1, 2000) AS page_text FROM documents, unnest(range(0, (length(text) + 1999) // 2000)) AS t(k)""")
+def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of 2000 characters."""
+    return paging.text_pages(evidence.table(spark, sf_dir, "documents"), "doc_id")
+
+
+@_query("""WITH s AS (SELECT doc_id, string_split(text, 'the ') AS p FROM documents),
+f AS (SELECT doc_id, CAST(list_sum(list_transform(p[1:k], lambda x: length(x))) + (k - 1) * 4 AS BIGINT) AS position FROM s, unnest(range(1, len(p))) AS t(k))
+SELECT doc_id, position, position // 2000 AS page, position % 2000 AS "column" FROM f""")
+def text_search_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of a text that don't overlap."""
+    return paging.text_positions(evidence.table(spark, sf_dir, "documents"), "doc_id", "the ")
+
+
+@_query("""WITH s AS (SELECT doc_id, text, string_split(text, 'a') AS p FROM documents),
+f AS (SELECT doc_id, text, CAST(list_sum(list_transform(p[1:k], lambda x: length(x))) + k - 1 AS INTEGER) AS c FROM s, unnest(range(1, len(p))) AS t(k) WHERE p[k + 1] = 'n' AND len(p) > k + 1)
+SELECT doc_id, CAST(strlen(substr(text, 1, c)) AS BIGINT) AS position, CAST(strlen(substr(text, 1, c)) // 16 AS BIGINT) AS line_no FROM f""")
+def hex_search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and lines of a byte string, overlapping ones too."""
+    return paging.byte_lines(evidence.files(spark, sf_dir).withColumnRenamed("inode", "doc_id"), "doc_id", b"ana")
+
+
+@_query("""SELECT doc_id, text AS base64, text AS hex, text AS url, CAST(NULL AS VARCHAR) AS bad FROM documents""")
+def decoders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts encoded and decoded; what isn't base64 decodes to null."""
+    raw = F.encode("text", "UTF-8")
+    return evidence.table(spark, sf_dir, "documents").select("doc_id", X.from_base64(F.regexp_replace(F.base64(raw), r"\s", "")).alias("base64"), X.from_hex(F.hex(raw)).alias("hex"), X.from_url_strict(F.url_encode("text")).alias("url"), X.from_base64(F.concat(F.lit("!"), "text")).alias("bad"))
+
+
+@_query("""SELECT doc_id, strlen(text) % 2 = 0 AS even, chr(CAST(97 + doc_id % 26 AS INTEGER)) || chr(CAST(97 + doc_id % 7 AS INTEGER)) AS octal, chr(CAST(97 + doc_id % 26 AS INTEGER)) || chr(CAST(97 + doc_id % 7 AS INTEGER)) AS "binary" FROM documents""")
+def number_decoders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Octal and binary code points."""
+    a, b = (F.lit(97) + F.col("doc_id") % k for k in (26, 7))
+    text = lambda base: F.concat_ws(" ", F.conv(a.cast("string"), 10, base), F.conv(b.cast("string"), 10, base))
+    return evidence.table(spark, sf_dir, "documents").select("doc_id", (F.octet_length("text") % 2 == 0).alias("even"), X.from_octal(text(8)).alias("octal"), X.from_binary(text(2)).alias("binary"))
+
+
+@_query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size FROM documents")
+def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of files."""
+    return verify.file_digests(evidence.files(spark, sf_dir)).select(F.col("inode").alias("doc_id"), "md5", "sha1", "sha256", "size")
+
+
+STORED = "CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'x' || md5(text) ELSE upper(md5(text)) END AS stored_md5, CASE WHEN doc_id % 7 = 0 THEN sha1(text) END AS stored_sha1"
+
+
+@_query(f"""SELECT doc_id, CASE WHEN lower(stored_md5) = md5(text) THEN 'Match' ELSE 'Mismatch' END AS md5_check, CASE WHEN stored_sha1 = sha1(text) THEN 'Match' ELSE 'Mismatch' END AS sha1_check,
+coalesce(lower(stored_md5) = md5(text), false) OR coalesce(stored_sha1 = sha1(text), false) AS verified FROM (SELECT doc_id, text, {STORED} FROM documents)""")
+def hash_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored digests against computed ones."""
+    rows = evidence.table(spark, sf_dir, "documents").selectExpr("doc_id", "md5(text) AS md5", "sha1(text) AS sha1", *STORED.replace(", CASE WHEN doc_id % 7", "\nCASE WHEN doc_id % 7").split("\n"))
+    return verify.compare(rows).select("doc_id", "md5_check", "sha1_check", "verified")
+
+
+@_query("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with equal digests."""
+    return verify.duplicates(evidence.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256")), "doc_id")
+
+
+@_query("SELECT CAST(min(doc_id) AS VARCHAR) AS image_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size FROM documents GROUP BY doc_id, text")
+def image_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: digests of images over their chunks, in order."""
+    files = evidence.files(spark, sf_dir).select(F.col("inode").cast("string").alias("image_id"), "content")
+    size = F.greatest(F.lit(1), F.octet_length("content"))
+    chunks = files.select("image_id", "content", F.explode(F.sequence(F.lit(0), size - 1, F.lit(1000))).alias("offset")).select("image_id", F.col("offset").cast("long").alias("offset"), F.col("content").substr(F.col("offset") + 1, F.lit(1000)).alias("bytes"))
+    return verify.image_digests(chunks)
+
+
+BODY = """b AS (SELECT o_orderkey AS row_no, '/o/' || (o_orderkey % 5000) AS file, CAST(o_orderkey AS VARCHAR) AS inode, 'r/rrw' AS mode, o_custkey % 7 AS uid, o_custkey % 3 AS gid, CAST(floor(o_totalprice) AS BIGINT) AS size,
+ epoch(l) AS atime, epoch(f) AS mtime, epoch(l) AS ctime, epoch(o_orderdate) AS crtime FROM orders JOIN (SELECT l_orderkey, min(l_shipdate) AS f, max(l_shipdate) AS l FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey),
+e AS (SELECT CAST(ts AS BIGINT) AS ts, inode, file, CASE WHEN bool_or(k = 'm') THEN 'm' ELSE '.' END || CASE WHEN bool_or(k = 'a') THEN 'a' ELSE '.' END || CASE WHEN bool_or(k = 'c') THEN 'c' ELSE '.' END || CASE WHEN bool_or(k = 'b') THEN 'b' ELSE '.' END AS macb
+ FROM (SELECT mtime AS ts, 'm' AS k, inode, file FROM b UNION ALL SELECT atime, 'a', inode, file FROM b UNION ALL SELECT ctime, 'c', inode, file FROM b UNION ALL SELECT crtime, 'b', inode, file FROM b) GROUP BY ts, inode, file)"""
+USERS = "(0, 'root'), (1, 'ann bob'), (2, 'cy')"
+ATTRIBUTES = f"""a AS (SELECT file, arg_max(mode, row_no) AS mode, arg_max(uid, row_no) AS uid, arg_max(gid, row_no) AS gid, arg_max(size, row_no) AS size FROM b GROUP BY file),
+u(id, names) AS (VALUES {USERS}),
+t AS (SELECT ts, inode, e.file, macb, mode, coalesce(replace(u.names, ' ', '/'), CAST(uid AS VARCHAR)) AS uid, CAST(gid AS VARCHAR) AS gid, size FROM e JOIN a ON a.file = e.file LEFT JOIN u ON u.id = a.uid)"""
+
+
+def _timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.timeline(evidence.body(spark, sf_dir), users=spark.sql(f"SELECT * FROM VALUES {USERS} AS t(id, names)"))
+
+
+@_query(f"WITH {BODY} SELECT * FROM e")
+def timeline_macb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each time of a file, with its letters."""
+    return timeline.events(evidence.body(spark, sf_dir))
+
+
+@_query(f"WITH {BODY}, {ATTRIBUTES} SELECT ts, inode, file, macb, mode, uid, gid, size FROM t")
+def timeline_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the attributes of the last row of their name."""
+    return _timeline(spark, sf_dir).select("ts", "inode", "file", "macb", "mode", "uid", "gid", "size")
+
+
+@_query(f"""WITH {BODY}, {ATTRIBUTES} SELECT ts, inode, file, strftime(make_timestamp(ts * 1000000), '%a %b %d %Y %H:%M:%S') || ',' || size || ',' || macb || ',' || mode || ',' || uid || ',' || gid || ',' || inode || ',"' || file || '"' AS line FROM t""")
+def timeline_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV lines of the timeline."""
+    return timeline.csv_lines(_timeline(spark, sf_dir))
+
+
+@_query(f"""WITH {BODY}, {ATTRIBUTES} SELECT ts, inode, file, printf('%s %8s %3s %s %-8s %-8s %-8s %s', CASE WHEN row_number() OVER (PARTITION BY ts ORDER BY inode, file) = 1 THEN strftime(make_timestamp(ts * 1000000), '%Y-%m-%dT%H:%M:%SZ') ELSE repeat(' ', 20) END, CAST(size AS VARCHAR), macb, mode, uid, gid, inode, file) AS line FROM t""")
+def timeline_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned lines, a date once."""
+    return timeline.aligned_lines(_timeline(spark, sf_dir), "iso")
+
+
+@_query(f"WITH {BODY} SELECT CAST(date_trunc('day', make_timestamp(ts * 1000000)) AS TIMESTAMP) AS period, count(*) AS n FROM e GROUP BY 1")
+def timeline_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by day."""
+    return timeline.counts(timeline.events(evidence.body(spark, sf_dir)), "day").withColumn("period", F.col("period").cast("timestamp_ntz"))
+
+
+@_query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS period, count(*) AS n FROM events GROUP BY 1")
+def timeline_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by hour."""
+    rows = evidence.table(spark, sf_dir, "events").select(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"))
+    return timeline.counts(rows, "hour").withColumn("period", F.col("period").cast("timestamp_ntz"))
+
+
+@_query(f"WITH {BODY} SELECT ts, inode, file, macb FROM e WHERE ts >= epoch(TIMESTAMP '1995-01-01') AND ts < epoch(TIMESTAMP '1996-07-01')")
+def timeline_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a range of dates."""
+    return timeline.events(evidence.body(spark, sf_dir), *timeline.iso_range("1995-01-01..1996-07-01"))
+
+
+@_query("SELECT page_id, unnest(regexp_extract_all(html, '<title>([^<]*)</title>', 1)) AS title FROM pages")
+def carve_html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands between a header and the next footer."""
+    return evidence.table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("(?s)<title>(.*?)</title>"), F.lit(1))).alias("title"))
+
+
+@_query("""SELECT CAST(doc_id AS VARCHAR) AS image_id, CAST(1000000 + 7 AS BIGINT) AS "offset", 'gif' AS type, CAST(strlen(replace(replace(text, chr(59), ','), 'GIF8', '')) + 10 AS BIGINT) AS size, 'f4247.gif' AS name,
+sha256('GIF89a..' || replace(replace(text, chr(59), ','), 'GIF8', '') || '0') <> '' AS found FROM documents WHERE strlen(replace(replace(text, chr(59), ','), 'GIF8', '')) >= 4""")
+def carve_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture in raw bytes, found by its header and footer."""
+    inner = F.replace(F.replace("text", F.lit(";"), F.lit(",")), F.lit("GIF8"), F.lit(""))
+    raw = F.concat(F.lit(b"\x01junk\x00\x02"), F.lit(b"GIF89a.."), F.encode(inner, "UTF-8"), F.lit(b"\x00;"), F.lit(b"rest"))
+    chunks = evidence.table(spark, sf_dir, "documents").filter(F.octet_length(inner) >= 4).select(F.col("doc_id").cast("string").alias("image_id"), F.lit(1000000).cast("long").alias("offset"), raw.alias("bytes")).withColumn("len", F.octet_length("bytes").cast("long"))
+    return carve.carve(chunks, ["gif"]).select("image_id", "offset", "type", "size", "name", F.lit(True).alias("found"))
+
+
+@_query("SELECT doc_id, text || '%%EOF' || chr(10) AS kept FROM documents")
+def tail_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents cut after the last end mark."""
+    raw = F.encode(F.concat("text", F.lit("%%EOF\n"), F.lit("trailing")), "UTF-8")
+    return evidence.table(spark, sf_dir, "documents").select("doc_id", X.pdf_tail(raw).cast("string").alias("kept"))
+
+
+@_query(f"""WITH {FILES}, d AS (SELECT vol, lang, count(*) AS files, sum(size) AS size FROM files GROUP BY GROUPING SETS ((vol), (vol, lang))) SELECT vol || ':/' || coalesce(lang, '') AS path, files, CAST(size AS BIGINT) AS size FROM d""")
+def dir_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and bytes below each directory."""
+    below = evidence.files(spark, sf_dir).select(F.explode(F.array(F.concat("vol", F.lit(":/")), F.concat("vol", F.lit(":/"), "lang"))).alias("path"), "size")
+    return below.groupBy("path").agg(F.count("*").alias("files"), F.sum("size").alias("size"))
+
+
+TREE = """t AS (SELECT 'disk' AS image_id, CAST(0 AS BIGINT) AS start_offset, p_partkey AS inode, CAST(p_partkey // 10 AS BIGINT) AS parent_inode, p_name AS name FROM part WHERE p_partkey > 0)"""
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.table(spark, sf_dir, "part").filter("p_partkey > 0").select(F.lit("disk").alias("image_id"), F.lit(0).cast("long").alias("start_offset"), F.col("p_partkey").alias("inode"), F.floor(F.col("p_partkey") / 10).cast("long").alias("parent_inode"), F.col("p_name").alias("name"))
+
+
+@_query(f"WITH {TREE} SELECT c.inode, c.parent_inode, p.name AS parent_name, p.parent_inode AS grandparent_inode, EXISTS (SELECT 1 FROM t x WHERE x.parent_inode = c.inode) AS has_children FROM t c LEFT JOIN t p ON p.inode = c.parent_inode")
+def tree_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents, grandparents and whether there are children."""
+    return search.with_child_flag(search.with_parents(_tree(spark, sf_dir))).select("inode", "parent_inode", "parent_name", "grandparent_inode", "has_children")
+
+
+@_query(f"""WITH RECURSIVE {TREE}, w AS (SELECT inode, CAST('/' || inode AS VARCHAR) AS path, 1 AS depth FROM t WHERE parent_inode = 0 UNION ALL SELECT t.inode, w.path || '/' || t.inode, w.depth + 1 FROM t JOIN w ON t.parent_inode = w.inode) SELECT inode, path, depth FROM w""")
+def path_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths from parents, level by level."""
+    _tree(spark, sf_dir).createOrReplaceTempView("evidra_tree")
+    return spark.sql("""WITH RECURSIVE w(inode, path, depth) AS (SELECT inode, concat('/', inode), 1 FROM evidra_tree WHERE parent_inode = 0
+        UNION ALL SELECT t.inode, concat(w.path, '/', t.inode), w.depth + 1 FROM evidra_tree t JOIN w ON t.parent_inode = w.inode) SELECT inode, path, depth FROM w""")
+
+
+@_query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JS2: a member of JSON."""
+    return evidence.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@_query("""SELECT event_id, e AS engine, e = 'A' AND user_id % 2 = 0 AS detected, CASE WHEN e = 'A' THEN '1.0' ELSE 'N/A' END AS version, 'N/A' AS "update", CASE WHEN e = 'A' THEN event_type ELSE 'N/A' END AS result FROM events, (VALUES ('A'), ('B')) AS t(e)""")
+def scan_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JS1, A10: scanner reports, a row for each engine."""
+    report = F.expr("""concat('{"md5":"x","scans":{"A":{"detected":', if(user_id % 2 = 0, 'true', 'false'), ',"version":"1.0","result":"', event_type, '"},"B":{}}}')""")
+    return reports.scan_engines(evidence.table(spark, sf_dir, "events").select("event_id", report.alias("report")), "event_id")
+
+
+@_query("""SELECT event_id, 'success' AS status, CAST(user_id AS VARCHAR) AS phone, 'N/A' AS carrier FROM events WHERE event_type = 'click'""")
+def phone_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JS3: phone reports that succeeded."""
+    report = F.to_json(F.struct(F.when(F.col("event_type") == "click", "success").otherwise("error").alias("status"), F.col("user_id").cast("string").alias("phone")))
+    return reports.phone_report(evidence.table(spark, sf_dir, "events").select("event_id", report.alias("report"))).select("event_id", "status", "phone", "carrier")
+
+
+@_query()
+def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a limiter of each user says to every event."""
+    rows = evidence.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("user"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"))
+    return history.rate_limited(rows)
+
+
+@_query()
+def nav_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each user's session is after every step."""
+    step = F.when(F.col("event_type") == "view", "back").when(F.col("event_type") == "signup", "forward").otherwise("visit")
+    rows = evidence.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("user"), step.alias("action"), F.concat(F.lit("/"), "event_type", F.lit("/"), F.col("event_id").cast("string")).alias("place"))
+    return history.visited(rows)
+
+
+@_query(f"""WITH n AS (SELECT doc_id, {NAMES} AS name FROM documents) SELECT doc_id, CASE lower(split_part(name, '.', -1)) WHEN 'jpg' THEN 'image/jpg' ELSE 'application/octet-stream' END AS mime, 'text' AS content FROM n""")
+def mime_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes by name and by content."""
+    names = _names(spark, sf_dir)
+    texts = evidence.table(spark, sf_dir, "documents").select("doc_id", "text")
+    kind = S.content_class(F.encode("text", "UTF-8"))
+    return names.join(texts, "doc_id").select("doc_id", S.mime_class(F.col("name")).alias("mime"), F.when(kind.isin("ASCII text", "UTF-8 Unicode text", "empty"), "text").otherwise(kind).alias("content"))
+
+
+KEYS = """k AS (SELECT DISTINCT p AS path, CASE WHEN len(string_split(p, '/')) > 1 THEN regexp_replace(p, '/[^/]*$', '') END AS parent FROM (SELECT unnest(list_transform(range(1, len(string_split(u, '/')) + 1), lambda i: array_to_string(string_split(u, '/')[1:i], '/'))) AS p FROM (SELECT regexp_replace(url, '^[a-z]+://', '') AS u FROM pages)))"""
+
+
+@_query(f"""WITH {KEYS}, v AS (SELECT regexp_replace(url, '^[a-z]+://', '') AS path, count(*) AS n FROM pages GROUP BY 1), s AS (SELECT parent AS path, count(*) AS n FROM k WHERE parent IS NOT NULL GROUP BY 1)
+SELECT path, coalesce(s.n, 0) AS n_subkeys, coalesce(v.n, 0) AS n_values FROM k LEFT JOIN s USING (path) LEFT JOIN v USING (path)""")
+def registry_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of subkeys and values of every key of a tree."""
+    pages = evidence.table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"), F.col("page_id").alias("name"))
+    parts = F.split("path", "/")
+    paths = pages.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("path")).distinct()
+    keys = paths.select("path", F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).alias("parent"), F.substring_index("path", "/", -1).alias("name"), F.lit(None).cast("timestamp").alias("ts"))
+    return registry.key_metadata(keys, pages).select("path", "n_subkeys", "n_values")
+
+
+@_query("""SELECT c_nationkey AS hive, coalesce(max(CASE WHEN c_mktsegment = 'BUILDING' THEN c_name END), 'N/A') AS "BUILDING", coalesce(max(CASE WHEN c_mktsegment = 'NONE' THEN c_name END), 'N/A') AS "NONE" FROM customer GROUP BY 1""")
+def registry_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named values as columns, N/A where missing."""
+    values = evidence.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("hive"), F.col("c_mktsegment").alias("name"), F.col("c_name").alias("value"))
+    return registry.facts(values, "hive", ["BUILDING", "NONE"], F.lit(True))
+
+
+@_query("""SELECT doc_id, CAST(1024 AS BIGINT) + 100 AS "offset", substr(text, 101, 200) AS text FROM documents WHERE length(text) = strlen(text) AND strlen(text) > 100""")
+def range_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A byte range cut out of chunks."""
+    chunks = evidence.files(spark, sf_dir).filter(F.length("text") == F.octet_length("text")).select(F.col("inode").alias("image_id"), F.lit(1024).cast("long").alias("offset"), F.octet_length("content").cast("long").alias("len"), F.col("content").alias("bytes"))
+    return space.read_range(chunks, 1124, 200).select(F.col("image_id").alias("doc_id"), "offset", F.col("bytes").cast("string").alias("text"))
+
+
+@_query("""SELECT doc_id, CASE WHEN contains(n, '.e01') THEN 'ewf' WHEN contains(n, '.dd') THEN 'raw' END AS kind FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '/x/a.e01' WHEN 1 THEN '/x/b.dd' ELSE '/x/c.txt' END AS n FROM documents)""")
+def image_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of images by extension."""
+    path = F.expr("CASE doc_id % 3 WHEN 0 THEN '/x/a.E01' WHEN 1 THEN '/x/b.DD' ELSE '/x/c.txt' END")
+    return evidence.table(spark, sf_dir, "documents").select("doc_id", S.image_kind(path).alias("kind"))
