@@ -12,7 +12,7 @@ CONTAINER_IMAGES = [".e01", ".s01", ".l01", ".ex01"]
 RAW_IMAGES = [".raw", ".img", ".dd", ".iso", ".ad1", ".001", ".dmg", ".sparse", ".sparseimage"]
 #: Display names of filesystem types.
 FS_TYPES = {"ntfs": "NTFS", "fat12": "FAT12", "fat16": "FAT16", "fat32": "FAT32", "exfat": "ExFAT", "ext2": "Ext2", "ext3": "Ext3", "ext4": "Ext4", "iso9660": "ISO9660", "hfs": "HFS", "apfs": "APFS"}
-#: Media type of each extension.
+#: Extensions of each media class; every video is shown as video/mp4.
 MIME = {"application/pdf": ["pdf"], "image": ["jpg", "jpeg", "png", "gif", "bmp"], "audio": ["mp3", "wav", "aac", "ogg", "m4a"], "video": ["mp4", "mkv", "flv", "avi", "mov", "wmv"]}
 #: First bytes (hex) of file classes, longest first where one begins another.
 SIGNATURES = [("89504E470D0A1A0A", "PNG image data"), ("FFD8FF", "JPEG image data"), ("47494638", "GIF image data"), ("25504446", "PDF document"), ("504B0304", "Zip archive data"), ("52494646", "RIFF data"), ("424D", "PC bitmap"), ("7F454C46", "ELF"), ("4D5A", "MS-DOS executable"), ("72656766", "Windows registry file"), ("1F8B", "gzip compressed data"), ("53514C69746520666F726D6174203300", "SQLite 3.x database")]
@@ -76,7 +76,7 @@ def mime_class(name: Column) -> Column:
     out = F.when(ext == "pdf", F.lit("application/pdf"))
     for kind, names in MIME.items():
         if kind != "application/pdf":
-            out = out.when(ext.isin(names), F.concat(F.lit(f"{kind}/"), ext))
+            out = out.when(ext.isin(names), F.lit("video/mp4") if kind == "video" else F.concat(F.lit(f"{kind}/"), ext))
     return out.otherwise(F.lit("application/octet-stream"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Where a Windows volume keeps its version, relative to the software hive.
 VERSION_KEY = "Microsoft\\Windows NT\\CurrentVersion"
-VERSION_VALUES = ["ProductName", "CurrentVersion", "CurrentBuild", "CurrentMajorVersionNumber", "CurrentMinorVersionNumber", "RegisteredOwner"]
+VERSION_VALUES = ["ProductName", "CurrentVersion", "CurrentBuild", "RegisteredOwner", "CSDVersion", "ProductId"]
 
 
 def key_metadata(keys: DataFrame, values: DataFrame) -> DataFrame:
@@ -44,5 +44,6 @@ def facts(values: DataFrame, key: str, names: list[str], path: Column) -> DataFr
 def windows_version(values: DataFrame, key: str = "hive") -> DataFrame:
     """The Windows version in each software hive, and a text of it."""
     found = facts(values, key, VERSION_VALUES, F.col("path").endswith(VERSION_KEY))
-    text = F.concat_ws("\n", F.concat(F.lit("Product: "), "ProductName"), F.concat(F.lit("Version: "), "CurrentVersion"), F.concat(F.lit("Build: "), "CurrentBuild"), F.concat(F.lit("Release: "), "CurrentMajorVersionNumber", F.lit("."), "CurrentMinorVersionNumber"))
+    line = lambda pattern, *columns: F.format_string(pattern, *columns)
+    text = F.concat_ws("\n", line("%s Version %s", "ProductName", "CurrentVersion"), line("Build %s %s", "CurrentBuild", "CSDVersion"), line("Owner: %s", "RegisteredOwner"), line("Product ID: %s", "ProductId"))
     return found.withColumn("summary", text)

@@ -127,6 +127,7 @@ def test_registry_tables(spark):
     v = spark.createDataFrame([("h", "X\\Microsoft\\Windows NT\\CurrentVersion", "ProductName", "Windows 10")], "hive string, path string, name string, value string")
     row = registry.windows_version(v).first()
     assert row.ProductName == "Windows 10" and row.CurrentBuild == "N/A"
+    assert row.summary == "Windows 10 Version N/A\nBuild N/A N/A\nOwner: N/A\nProduct ID: N/A"
 
 
 def test_known_hashes(spark):
