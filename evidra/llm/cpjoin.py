@@ -26,8 +26,8 @@ from .shingles import WIDTH, numbered, sequences
 from .words import mix
 
 THRESHOLD = 0.8
-SAMPLE = 48
-RECALL = 0.9999
+SAMPLE = 32
+RECALL = 0.999
 #: Picks of a text in each deeper split, on average.
 DEEPER = 2.5
 DEPTH = 3
@@ -109,8 +109,11 @@ def _buckets(reps: DataFrame, runs: int, threshold: float, bucket: int, depth: i
         if not more:
             done = sizes
         else:
-            inside = at.join(large.select("path", "head"), "path").join(sampled, "rid")
-            heads = sampled.select(F.col("rid").alias("head"), F.col("sample").alias("first"))
+            members = stored(at.join(large.select("path", "head"), "path"), "members")
+            # samples of texts in large buckets only; the others stay out of the joins below
+            near = stored(split_marked(sampled, Marks(members))[0], "samples")
+            inside = members.join(near, "rid")
+            heads = near.select(F.col("rid").alias("head"), F.col("sample").alias("first"))
             alike = inside.join(heads, "head").withColumn("both", F.size(F.array_intersect("sample", "first"))).withColumn("like", F.col("both") / (F.size("sample") + F.size("first") - F.col("both")))
             kind = alike.groupBy("path").agg((F.avg("like") >= ALIKE).alias("alike"))
             large = stored(large.join(kind, "path"), "large")
@@ -121,7 +124,7 @@ def _buckets(reps: DataFrame, runs: int, threshold: float, bucket: int, depth: i
         leaves = here if leaves is None else leaves.unionByName(here)
         if not more:
             break
-        at = stored(at.join(large.filter("not alike").select("path"), "path").join(sampled, "rid").mapInArrow(_deeper_paths(DEEPER), "path long, rid long").distinct(), "paths")
+        at = stored(members.join(large.filter("not alike").select("path"), "path").select("path", "rid").join(near, "rid").mapInArrow(_deeper_paths(DEEPER), "path long, rid long").distinct(), "paths")
     return stored(leaves, "buckets")
 
 
