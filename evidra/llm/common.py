@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,32 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, compression: str = "zstd", **options: str) -> DataFrame:
-    """Write df as a table in the shared scratch folder and return the table as read back."""
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside, but for those kept, are deleted at the end; what is kept must not read them any more."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+        for p in _scopes.pop():
+            path = hadoop.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def stored(df: DataFrame, name: str, compression: str = "zstd", keep: bool = False, **options: str) -> DataFrame:
+    """Write df as a table in the shared scratch folder and return the table as read back.
+
+    keep: the table outlives the innermost scratch() and belongs to the one around it, if any.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/evidra/{name}-{uuid.uuid4().hex}"
+    scopes = _scopes[:-1] if keep else _scopes
+    if scopes:
+        scopes[-1].append(path)
     df.write.options(**options).parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 

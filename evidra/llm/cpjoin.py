@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Marks, split_marked, stored
+from .common import Marks, scratch, split_marked, stored
 from .graph import components
 from .shingles import WIDTH, numbered, sequences
 from .words import mix
@@ -125,7 +125,7 @@ def _buckets(reps: DataFrame, runs: int, threshold: float, bucket: int, depth: i
         if not more:
             break
         at = stored(members.join(large.filter("not alike").select("path"), "path").select("path", "rid").join(near, "rid").mapInArrow(_deeper_paths(DEEPER), "path long, rid long").distinct(), "paths")
-    return stored(leaves, "buckets")
+    return stored(leaves, "buckets", keep=True)
 
 
 def _sets(width: int, bits):
@@ -227,12 +227,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     rows = stored(base.mapInArrow(_sketch(width, SAMPLE), f"rid long, doc_id {kind}, k1 long, k2 long, n_set long, sample array<long>"), "sketches")
     own = rows.filter("n_set > 0")
     reps = stored(own.groupBy("k1", "k2", "n_set").agg(F.count("*").alias("copies"), F.min("doc_id").alias("copy_id"), F.min(F.struct("rid", "sample")).alias("rep")).select("k1", "k2", "n_set", "copies", "copy_id", "rep.rid", "rep.sample"), "classes")
-    buckets = _buckets(reps, runs_for(recall, threshold), threshold, bucket, depth)
+    with scratch(docs.sparkSession):
+        buckets = _buckets(reps, runs_for(recall, threshold), threshold, bucket, depth)
     needed = buckets.select("rid").distinct()
     marks = Marks(needed)
     sets = stored(base.select("rid", "text", Marks.column().alias("mark")).mapInArrow(_sets(width, marks.bits), "rid long, set binary"), "sets", "lz4")
     edges = _blocked(buckets.join(sets, "rid"), "path", block).groupBy("path", "i", "j").applyInPandas(_edges(threshold), "a long, b long")
-    found = stored(components(edges), "components")
+    with scratch(docs.sparkSession):
+        found = stored(components(edges), "components", keep=True)
     members = found.join(reps.select(F.col("rid").alias("node"), "copies", "copy_id"), "node")
     size = members.groupBy("root").agg(F.count("*").alias("n"), F.min("copy_id").alias("class_id"))
     inside = _blocked(members.join(size.select("root", "n"), "root").select("root", "n", F.col("node").alias("rid"), "copies").join(sets, "rid"), "root", block)
@@ -246,7 +248,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
 def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row of each class of join(): the one with the smallest id, and of those the first."""
-    rows = stored(join(docs, id_col, text_col, **options).select("rid", "doc_id", "class_rid"), "classes")
+    with scratch(docs.sparkSession):
+        rows = stored(join(docs, id_col, text_col, **options).select("rid", "doc_id", "class_rid"), "classes", keep=True)
     kept = rows.groupBy("class_rid").agg(F.min(F.struct("doc_id", "rid")).alias("first")).select("class_rid", F.col("first.rid").alias("kept"))
     gone = stored(rows.join(kept, "class_rid").filter("rid <> kept").select(F.col("rid").alias("__row")), "gone")
     own = docs.withColumn("__row", F.monotonically_increasing_id())
