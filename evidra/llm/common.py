@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,6 +34,7 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_LIBC = ctypes.CDLL(None)
 _scopes: list[list[str]] = []
 
 
@@ -90,7 +92,14 @@ def flat(column: pa.Array, end: str = "\n") -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(column: pa.Array, limit: int = 2 << 20):
+def _trim() -> None:
+    """Give freed memory back, so that an idle worker doesn't hold what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def slices(column: pa.Array, limit: int = 1 << 20):
     """(first, last) row ranges whose texts add up to about `limit` bytes; a longer text is alone."""
     size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
     ends, first = np.cumsum(size), 0
@@ -99,6 +108,7 @@ def slices(column: pa.Array, limit: int = 2 << 20):
         last = max(first + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield first, last
         first = last
+    _trim()
 
 
 def crc_bucket(col, n: int):

@@ -136,7 +136,7 @@ def _frequencies(bits: int):
         df = np.zeros(width, np.int64)
         for batch in batches:
             column = batch.column("text")
-            for i, j in slices(column, 1 << 20):
+            for i, j in slices(column):
                 for k in range(i, j, 64):
                     texts = column.slice(k, min(64, j - k)).to_pylist()
                     own, at = buckets([t or "" for t in texts], bits)
@@ -206,7 +206,7 @@ def _score(model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        limit = (2 << 20) // max(1, len(m.languages) // 8 if m else 1)
+        limit = (1 << 20) // max(1, len(m.languages) // 8 if m else 1)
         for batch in batches:
             column = batch.column("__text")
             names = [n for n in batch.schema.names if n not in ("__text", "__letters")]

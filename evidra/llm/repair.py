@@ -221,7 +221,7 @@ def write_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("base", pa.int64()), ("file", pa.binary())])
         size = 0
         for batch in batches:
-            for i, j in slices(batch.column("text"), min(2 << 20, 2 * shard_tokens)):
+            for i, j in slices(batch.column("text"), min(1 << 20, 2 * shard_tokens)):
                 ids, count = e.encode([t or "" for t in batch.column("text").slice(i, j - i).to_pylist()])
                 ids = np.insert(ids.astype(np.uint32), np.cumsum(count), end_id)
                 held.append((batch.column("doc_id").slice(i, j - i).to_pylist(), count + 1, ids))

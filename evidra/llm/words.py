@@ -24,11 +24,11 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
     """base**i modulo 2**64 for i below n, kept for the next call."""
     p = _powers.get(base)
     if p is None or len(p) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = -(-n // (1 << 16)) << 16
         p = np.ones(1, np.uint64)
         while len(p) < size:
-            p = np.concatenate([p, p * np.uint64(pow(base, len(p), 1 << 64))])
-        if size <= 1 << 23:
+            p = np.concatenate([p, p * np.uint64(pow(base, len(p), 1 << 64))])[:size]
+        if size <= 1 << 21:
             _powers[base] = p
     return p[:n]
 
