@@ -317,6 +317,29 @@ def test_windows_meet_again_without_their_leader(spark, tmp_path_factory):
     assert {frozenset((r.doc_id, r.source_id)) for r in windows.passages(df).collect()} == {frozenset((40, 41))}
 
 
+@pytest.mark.parametrize("kind", ["replace", "insert", "delete"])
+def test_short_passages_with_one_edit(spark, tmp_path_factory, kind):
+    """Passages of 50 to 70 words with one edited word near an end are found whole, not cut at the edit."""
+    rnd = random.Random(21)
+    rt = lambda n: [rnd.choice(W) for _ in range(n)]
+    first, second, want = [], [], {}
+    for k in range(150):
+        p = rt(rnd.randrange(54, 71))
+        at = rnd.choice([rnd.randrange(6, 20), len(p) - rnd.randrange(7, 21)])
+        copy = [*p[:at], *([] if kind == "delete" else ["edited"] if kind == "replace" else ["edited", p[at]]), *p[at + 1 :]]
+        a, b = rt(rnd.randrange(40, 80)), rt(rnd.randrange(40, 80))
+        first.append((k, " ".join([*a, *p, *rt(50)])))
+        second.append((1000 + k, " ".join([*b, *copy, *rt(50)])))
+        want[1000 + k] = (len(b), len(b) + len(copy) - 1, k)
+    df = table(spark, tmp_path_factory, first + second, "doc_id long, text string", 2)
+    got = {}
+    for r in windows.passages(df).collect():
+        later = max(r.doc_id, r.source_id)
+        got[later] = (r.first_word, r.last_word) if r.doc_id == later else (r.source_first, r.source_last)
+    whole = sum(k in got and got[k][0] <= a and got[k][1] >= b for k, (a, b, _) in want.items())
+    assert whole >= (0.9 if kind == "replace" else 0.75) * len(want), whole
+
+
 def test_marks(spark):
     rows = spark.range(5000).withColumnRenamed("id", "rid")
     marks = common.Marks(rows.filter("rid % 7 = 0"))
