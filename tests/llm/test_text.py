@@ -340,6 +340,20 @@ def test_short_passages_with_one_edit(spark, tmp_path_factory, kind):
     assert whole >= (0.9 if kind == "replace" else 0.75) * len(want), whole
 
 
+def test_passages_that_overlap_are_all_cut(spark, tmp_path_factory):
+    """Two passages of a text that overlap in a few words and stand apart in the source both go."""
+    rnd = random.Random(33)
+    rt = lambda n: [rnd.choice(W) for _ in range(n)]
+    p = rt(190)
+    rows = [(1, " ".join([*rt(30), *p[:100], *rt(300), *p[90:], *rt(30)])), (2, " ".join(["before", *p, "after"]))]
+    df = table(spark, tmp_path_factory, rows, "doc_id long, text string", 1)
+    got = windows.passages(df).collect()
+    assert len(got) == 2 and {r.doc_id for r in got} | {r.source_id for r in got} == {1, 2}
+    later = got[0].doc_id
+    left = {r.doc_id: len(r.text.split()) for r in windows.dedupe(df).collect()}
+    assert left[later] == (2 if later == 2 else 360)
+
+
 def test_marks(spark):
     rows = spark.range(5000).withColumnRenamed("id", "rid")
     marks = common.Marks(rows.filter("rid % 7 = 0"))
