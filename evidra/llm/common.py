@@ -126,8 +126,8 @@ class Marks:
     surely aren't needed out of a shuffle, and a join decides.
     """
 
-    def __init__(self, rows: DataFrame, column: str = "rid"):
-        h = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << MARK_BITS))
+    def __init__(self, rows: DataFrame, column: str = "rid", place=None):
+        h = self.column(column) if place is None else place
         words = rows.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
         bits = np.zeros(1 << MARK_BITS - 6, np.int64)
         bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()

@@ -354,6 +354,21 @@ def test_passages_that_overlap_are_all_cut(spark, tmp_path_factory):
     assert left[later] == (2 if later == 2 else 360)
 
 
+def test_equal_passages_meet_whatever_line_leads_them(spark, tmp_path_factory):
+    """Lines of 42 words that 30 earlier texts hold lead each signature inside; passages around them are found always."""
+    rnd = random.Random(17)
+    rt = lambda n: [rnd.choice(W) for _ in range(n)]
+    lines = [rt(42) for _ in range(60)]
+    docs = [[x for line in lines[k % 2 :: 2] for x in [*rt(20), *line]] for k in range(30)]
+    for line in lines:
+        inner = [*rt(5), *line, *rt(5)]
+        docs += [[*rt(60), *inner, *rt(60)] for _ in range(2)]
+    df = table(spark, tmp_path_factory, [(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string", 1)
+    pairs = {frozenset((r.doc_id, r.source_id)) for r in windows.passages(df).collect()}
+    want = {frozenset((30 + 2 * k, 31 + 2 * k)) for k in range(60)}
+    assert pairs == want, len(pairs & want)
+
+
 def test_marks(spark):
     rows = spark.range(5000).withColumnRenamed("id", "rid")
     marks = common.Marks(rows.filter("rid % 7 = 0"))
