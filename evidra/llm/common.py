@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import json
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,6 +13,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,18 +38,24 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 _LIBC = ctypes.CDLL(None)
-_scopes: list[list[str]] = []
+_local = threading.local()  # queries of different threads keep their tables apart
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables stored inside, but for those kept, are deleted at the end; what is kept must not read them any more."""
-    _scopes.append([])
+    _scopes().append([])
     try:
         yield
     finally:
         hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
-        for p in _scopes.pop():
+        for p in _scopes().pop():
             path = hadoop.Path(p)
             path.getFileSystem(conf).delete(path, True)
 
@@ -58,7 +67,7 @@ def stored(df: DataFrame, name: str, compression: str = "zstd", keep: bool = Fal
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/evidra/{name}-{uuid.uuid4().hex}"
-    scopes = _scopes[:-1] if keep else _scopes
+    scopes = _scopes()[:-1] if keep else _scopes()
     if scopes:
         scopes[-1].append(path)
     df.write.options(**options).parquet(path, compression=compression)
@@ -75,6 +84,49 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of one file that a row number leaves room for, as a power of two.
+FILE_BITS = 38
+#: File names, in bytes, that with_rows() may broadcast.
+NAME_BYTES = 64 << 20
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def _scans_files(df: DataFrame) -> bool:
+    """Whether df is a file scan, seen through projections and filters only, so each row is a row of a file."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().head()
+    return plan.nodeName() in ("LogicalRelation", "Relation")
+
+
+def with_rows(df: DataFrame, name: str) -> DataFrame:
+    """df with the column `name`: a number for each row that is the same whenever and wherever the rows are read.
+
+    Rows of Parquet files are numbered by file, in the order of their paths, and place in the file, however the
+    files are split into tasks. Any other plan is written to a scratch table once, and numbered there.
+    """
+    spark = df.sparkSession
+    if _scans_files(df):
+        try:
+            placed = df.select("*", F.col("_metadata.file_path").alias(path := fresh(df, "__file")), F.col("_metadata.row_index").alias(at := fresh(df, "__at")))
+        except AnalysisException:  # a format without row numbers
+            return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+        paths = sorted(r[0] for r in placed.select(path).distinct().collect())
+        if len(paths) <= 1:
+            return placed.withColumn(name, F.col(at)).drop(path, at)
+        if sum(map(len, paths)) <= NAME_BYTES:
+            files = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"f": f, "n": n << FILE_BITS} for n, f in enumerate(paths)])), "array<struct<f:string,n:long>>")).alias("x")).select(F.col("x.f").alias(path), F.col("x.n").alias(name))
+            return placed.join(F.broadcast(files), path).withColumn(name, F.col(name) + F.col(at)).select(*[F.col(f"`{c}`") for c in df.columns], name)
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text): only these two columns go on, whatever else the table holds."""
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -136,7 +188,7 @@ class Marks:
     @staticmethod
     def column(column: str = "rid"):
         """What has() takes, for each row."""
-        return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << MARK_BITS))
+        return F.pmod(F.xxhash64(F.col(f"`{column}`")), F.lit(1 << MARK_BITS))
 
     @staticmethod
     def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -145,14 +197,14 @@ class Marks:
 
 def split_marked(df: DataFrame, marks: Marks, column: str = "rid") -> tuple[DataFrame, DataFrame]:
     """(rows that may be marked, rows that surely aren't) of df, without a shuffle."""
-    own, bits = df.schema, marks.bits
+    own, bits, name = df.schema, marks.bits, fresh(df, "mark")
 
     def part(wanted: bool):
         def run(batches):
             for batch in batches:
-                mask = Marks.has(bits.value, batch.column("__mark").to_numpy())
-                yield batch.select([n for n in batch.schema.names if n != "__mark"]).filter(pa.array(mask == wanted))
+                mask = Marks.has(bits.value, batch.column(name).to_numpy())
+                yield batch.select([n for n in batch.schema.names if n != name]).filter(pa.array(mask == wanted))
 
-        return df.withColumn("__mark", Marks.column(column)).mapInArrow(run, own)
+        return df.withColumn(name, Marks.column(column)).mapInArrow(run, own)
 
     return part(True), part(False)

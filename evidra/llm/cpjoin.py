@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Marks, scratch, split_marked, stored
+from .common import Marks, fresh, scratch, split_marked, stored, with_rows
 from .graph import components
 from .shingles import WIDTH, numbered, sequences
 from .words import mix
@@ -211,7 +211,7 @@ def _blocked(rows: DataFrame, key: str, block: int) -> DataFrame:
     return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other", "n")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, recall: float = RECALL, bucket: int = BUCKET, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, recall: float = RECALL, bucket: int = BUCKET, block: int = BLOCK, depth: int = DEPTH, row_col: str | None = None) -> DataFrame:
     """rid, doc_id, class_id, class_rid, copy_id, n_links for every row.
 
     copy_id: the smallest id among rows with the same set of shingles; class_id: the smallest id in the row's
@@ -222,7 +222,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     Shingles are lower-cased words of letters, digits and non-ASCII characters, five by default, compared by
     hash (64 bits in classes and paths, 32 in counts of shared shingles).
     """
-    base = numbered(docs, id_col, text_col)
+    base = numbered(docs, id_col, text_col, row_col)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = stored(base.mapInArrow(_sketch(width, SAMPLE), f"rid long, doc_id {kind}, k1 long, k2 long, n_set long, sample array<long>"), "sketches")
     own = rows.filter("n_set > 0")
@@ -247,11 +247,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
 
 def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each class of join(): the one with the smallest id, and of those the first."""
+    """docs with one row of each class of join(): the one with the smallest id, and of those the first.
+
+    Every other column stays as it is, whatever its name. Null and empty texts are classes of their own and stay.
+    """
+    rid = fresh(docs, "rid")
+    own = with_rows(docs, rid)
     with scratch(docs.sparkSession):
-        rows = stored(join(docs, id_col, text_col, **options).select("rid", "doc_id", "class_rid"), "classes", keep=True)
+        rows = stored(join(own, id_col, text_col, row_col=rid, **options).select("rid", "doc_id", "class_rid"), "classes", keep=True)
     kept = rows.groupBy("class_rid").agg(F.min(F.struct("doc_id", "rid")).alias("first")).select("class_rid", F.col("first.rid").alias("kept"))
-    gone = stored(rows.join(kept, "class_rid").filter("rid <> kept").select(F.col("rid").alias("__row")), "gone")
-    own = docs.withColumn("__row", F.monotonically_increasing_id())
-    maybe, rest = split_marked(own, Marks(gone, "__row"), "__row")
-    return rest.unionByName(maybe.join(gone, "__row", "left_anti")).drop("__row")
+    gone = stored(rows.join(kept, "class_rid").filter("rid <> kept").select(F.col("rid").alias(rid)), "gone")
+    maybe, rest = split_marked(own, Marks(gone, rid), rid)
+    return rest.unionByName(maybe.join(gone, rid, "left_anti").select(*[F.col(f"`{c}`") for c in rest.columns])).drop(rid)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Marks, flat, slices, split_marked, stored, texts_of
+from .common import Marks, flat, fresh, slices, split_marked, stored, texts_of, with_rows
 from .words import ALNUM, Words, mix, window_hash
 
 SHIFT_BITS = 18
@@ -184,7 +184,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(bench, width, block_bytes)]
     if len(blocks) == 1:
         return texts.mapInArrow(_scan(blocks[0]), schema)
-    numbered = texts.withColumn("rid", F.monotonically_increasing_id())
+    numbered = with_rows(texts, "rid")
     parts = None
     for b in blocks:
         found = numbered.select(F.struct("rid", "doc_id").alias("doc_id"), "text").mapInArrow(_scan(b), schema.replace(schema.split(",")[0], f"doc_id struct<rid:long,doc_id:{texts.schema['doc_id'].dataType.simpleString()}>", 1))
@@ -204,8 +204,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, in which decontaminate() hits no word."""
-    own = docs.withColumn("__row", F.monotonically_increasing_id())
-    hit = stored(decontaminate(own.select(F.col("__row").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), benchmark, **options).filter("n_hit > 0").select(F.col("doc_id").alias("__row")), "hits")
-    maybe, rest = split_marked(own, Marks(hit, "__row"), "__row")
-    return rest.unionByName(maybe.join(hit, "__row", "left_anti")).drop("__row")
+    """The rows of docs, all columns whatever their names, in which decontaminate() hits no word."""
+    rid = fresh(docs, "rid")
+    own = with_rows(docs, rid)
+    hit = stored(decontaminate(own, benchmark, rid, text_col, **options).filter("n_hit > 0").select(F.col("doc_id").alias(rid)), "hits")
+    maybe, rest = split_marked(own, Marks(hit, rid), rid)
+    return rest.unionByName(maybe.join(hit, rid, "left_anti").select(*[F.col(f"`{c}`") for c in rest.columns])).drop(rid)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .langid import ftrl, temperature
+from .shingles import numbered
 
 #: Names by which notices call each licence, and sentences of its text.
 FAMILIES: dict[str, dict[str, list[str]]] = {
@@ -188,10 +189,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     A paragraph is a line that isn't empty. families: the confirmed ones, sorted and comma-joined, '' if none;
     the top columns are those of the confirmed paragraph with the best score (ties: the earlier), null
     without one. Null and empty texts have no paragraphs. Rows with equal ids are rows of their own. Other
-    columns are ignored. docs must be a table as read: rows are numbered by their place in it.
+    columns are ignored.
     """
     spark = docs.sparkSession
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    base = numbered(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     model = Classifier(sample_paragraphs(base, "rid", "text", sample))
     weights, templates = model.tables(spark)
     # A paragraph without a feature is unknown (the bias says so), and every feature has an anchor word.

@@ -1,4 +1,4 @@
-"""Word shingles of many texts, and rows numbered by their place in the input."""
+"""Word shingles of many texts, and rows numbered by their place in the table."""
 
 from __future__ import annotations
 
@@ -9,17 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, slices
+from .common import flat, slices, with_rows
 from .words import ALNUM, Words, window_hash
 
 WIDTH = 5
-RID = "__row"
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, doc_id, text). rid is the row's place in the input, so docs must be a table as read (or else
-    a plan that deals its rows out the same way each time)."""
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+def numbered(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """(rid, doc_id, text), rid as by with_rows() or, if given, from row_col."""
+    columns = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")]
+    if row_col:
+        return docs.select(F.col(f"`{row_col}`").alias("rid"), *columns)
+    return with_rows(docs.select(*columns), "rid").select("rid", "doc_id", "text")
 
 
 def sequences(column: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, Words, list[np.ndarray], np.ndarray, np.ndarray]]:

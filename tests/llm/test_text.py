@@ -369,6 +369,80 @@ def test_equal_passages_meet_whatever_line_leads_them(spark, tmp_path_factory):
     assert pairs == want, len(pairs & want)
 
 
+def test_every_exact_repeat_is_reported(spark):
+    """Every word of every 50 words that an earlier row has as well, over a whole table, against a plain search."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    covered = defaultdict(set)
+    for r in windows.passages(docs).collect():
+        covered[r.doc_id].update(range(r.first_word, r.last_word + 1))
+    first, missed, needed = {}, 0, 0
+    for doc_id, text in docs.collect():
+        w = words(text)
+        need = set()
+        for i in range(len(w) - 49):
+            if first.setdefault(b" ".join(w[i : i + 50]), doc_id) != doc_id:
+                need.update(range(i, i + 50))
+        needed, missed = needed + len(need), missed + len(need - covered[doc_id])
+    assert needed > 10_000 and missed == 0
+
+
+def test_recall_of_edited_passages(spark, tmp_path_factory):
+    """Passages of 60 to 200 words with edits anywhere and a similarity of 0.8 or more: nine of ten words are found."""
+    rnd = random.Random(8)
+    rt = lambda n: [rnd.choice(W) for _ in range(n)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    line = rt(15)
+    rows, want = [], {}
+    while len(want) < 300:
+        p = rt(rnd.randrange(60, 200))
+        copy = list(p)
+        for _ in range(rnd.randrange(1, 1 + len(p) // 40)):
+            at = rnd.randrange(len(copy))
+            copy[at : at + rnd.choice([0, 1, 1])] = rnd.choice([[], ["edited"], ["two", "words"]])
+        a, b = shingles(p), shingles(copy)
+        if len(a & b) < 0.8 * len(a | b) or p == copy:
+            continue
+        k = len(want)
+        before = [*rt(rnd.randrange(30, 90)), *(line if k % 3 else [])]
+        rows.append((k, " ".join([*rt(40), *(line if k % 2 else []), *p, *rt(40)])))
+        rows.append((1000 + k, " ".join([*before, *copy, *rt(40)])))
+        want[1000 + k] = (len(before), len(before) + len(copy))
+    df = table(spark, tmp_path_factory, sorted(rows), "doc_id long, text string", 1)
+    found = defaultdict(set)
+    for r in windows.passages(df).collect():
+        later = max(r.doc_id, r.source_id)
+        found[later].update(range(r.first_word, r.last_word + 1) if r.doc_id == later else range(r.source_first, r.source_last + 1))
+    share = sum(len(found[k] & set(range(a, b))) for k, (a, b) in want.items()) / sum(b - a for a, b in want.values())
+    whole = sum(len(found[k] & set(range(a, b))) >= 0.9 * (b - a) for k, (a, b) in want.items()) / len(want)
+    assert share >= 0.9 and whole >= 0.9, (share, whole)
+
+
+def test_rows_keep_their_numbers(spark, tmp_path_factory):
+    """Row numbers and results are the same however a table's files are split, and clashing names stay."""
+    rnd = random.Random(4)
+    rows = [(k, " ".join(rnd.choice(W) for _ in range(120)), 777 + k, 1, 2, 3) for k in range(400)]
+    rows += [(1000 + k, rows[k][1], 5, 1, 2, 3) for k in range(0, 400, 9)]
+    df = table(spark, tmp_path_factory, rows, "doc_id long, text string, rid long, __row int, __spans int, mark int", 3)
+    path, old = df.inputFiles()[0].rsplit("/", 1)[0], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    numbers, kept, left = [], [], []
+    try:
+        for size in ("128m", "9k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            d = spark.read.parquet(path)
+            numbers.append({(r.doc_id, r.n) for r in common.with_rows(d, "n").collect()})
+            for out, f in ((kept, cpjoin.distinct), (left, windows.dedupe)):
+                got = f(d)
+                assert got.columns == df.columns
+                out.append(sorted(map(tuple, got.collect())))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert numbers[0] == numbers[1] and len({n for _, n in numbers[0]}) == len(rows)
+    assert kept[0] == kept[1] and len(kept[0]) == 400 and left[0] == left[1] and len(left[0]) == len(rows)
+    assert {(r[0], *r[2:]) for r in left[0]} == {(r[0], *r[2:]) for r in rows}
+    assert common.with_rows(df.union(df), "n").select("n").distinct().count() == 2 * len(rows)
+
+
 def test_marks(spark):
     rows = spark.range(5000).withColumnRenamed("id", "rid")
     marks = common.Marks(rows.filter("rid % 7 = 0"))
