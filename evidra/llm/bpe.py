@@ -1,9 +1,10 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-The unseen pre-tokens of a partition's batch lie in one array of symbols, and the index says for each position
-which pair, by its rank, begins there. The ranks that occur in a word are active and are applied in ascending
-order, each at all its positions from left to right. A merge takes the pairs beside it out of the index and
-enters the new ones. Words don't touch one another, so one sweep takes the next rank of every word at once.
+The unseen pre-tokens of a partition's batch lie in one array of symbols, linked to those beside them in their
+word. The index maps each pair, by its rank, to all positions at which it begins. The ranks that occur are active, and
+are applied in ascending order, each at all its positions from left to right. A merge enters the new pairs on both
+sides into their lists; a position whose pair has gone is skipped when its list's turn comes. Where a merge makes a
+pair of a lower rank, that list is taken before the rest.
 """
 
 from __future__ import annotations
@@ -11,27 +12,19 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import slices, texts_of
-from .pieces import Encoder, Kept, gather, special_tokens, tokenizer_path
+from .pieces import Encoder, Kept, byte_names, gather, tokenizer_path
 from .words import mix
 
 NEVER = 1 << 40
 
 
-def byte_names() -> list[str]:
-    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 up."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    names = {b: chr(b) for b in own}
-    for k, b in enumerate(b for b in range(256) if b not in names):
-        names[b] = chr(256 + k)
-    return [names[b] for b in range(256)]
-
-
 class PairIndex:
     """Merges of a vocabulary, and the encoding of many words at once."""
 
@@ -43,81 +36,88 @@ class PairIndex:
         names = byte_names()
         self.inner = np.array([vocab[n] for n in names], np.int64)
         self.last = np.array([vocab[n + suffix] for n in names], np.int64)
-        rank: dict[int, tuple[int, int]] = {}
+        #: Rank of each pair of symbols, and of each rank the pair and the symbol that it makes.
+        self.rank: dict[int, int] = {}
+        self.left, self.right, self.made = [], [], []
         for r, m in enumerate(model["merges"]):
             x, y = m.split(" ") if isinstance(m, str) else m
-            rank[vocab[x] << 32 | vocab[y]] = (r, vocab[x + y])
-        codes = np.array([*rank], np.uint64)
+            self.rank[vocab[x] << 32 | vocab[y]] = r
+            self.left.append(vocab[x]), self.right.append(vocab[y]), self.made.append(vocab[x + y])
+        codes = np.array([*self.rank], np.uint64)
         self.known = Kept(18)
         self.known.add(mix(codes))  # mix() is one to one, so equal hashes are equal pairs
-        self.rank_of = np.array([r for r, _ in rank.values()] + [NEVER], np.int64)
-        self.made = np.zeros(len(model["merges"]), np.int64)
-        first_use = np.full(max(vocab.values()) + 1, NEVER, np.int64)
-        for code, (r, made) in rank.items():
-            self.made[r] = made
-            for part in (code >> 32, code & 0xFFFFFFFF):
-                first_use[part] = min(first_use[part], r)
-        #: Ranks whose merge can make a pair of a lower rank: they go one position at a time.
-        self.single = first_use[self.made] < np.arange(len(self.made))
+        self.rank_of = np.array([*self.rank.values(), NEVER], np.int64)
         self.strings = {i: s.encode() for s, i in vocab.items()} | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
 
-    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of each pair, NEVER if it doesn't merge."""
-        return self.rank_of[self.known.find(mix((left << 32 | right).astype(np.uint64)))]
+    def positions(self, symbol: np.ndarray, word: np.ndarray) -> dict[int, list[int]]:
+        """The index: of each rank that occurs, all positions at which its pair begins, from left to right."""
+        at = np.flatnonzero(word[1:] == word[:-1])
+        rank = self.rank_of[self.known.find(mix((symbol[at] << 32 | symbol[at + 1]).astype(np.uint64)))]
+        at, rank = at[rank != NEVER], rank[rank != NEVER]
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        edge = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]])) if len(rank) else np.zeros(0, np.int64)
+        place = at.tolist()
+        return {r: place[a:b] for r, a, b in zip(rank[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(place)], strict=False)}
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after the other, ids of each word)."""
-        data = [w.encode("utf-8", "surrogatepass") for w in words]
+        data = [w.encode("utf-8", "surrogateescape") for w in words]
         size = np.array([len(x) for x in data], np.int64)
-        if not len(size):
+        if not size.sum():
             return np.zeros(0, np.int64), size
         raw = np.frombuffer(b"".join(data), np.uint8)
-        symbol, word = self.inner[raw], np.repeat(np.arange(len(size)), size)
+        first, word = self.inner[raw], np.repeat(np.arange(len(size)), size)
         ends = np.cumsum(size) - 1
-        symbol[ends] = self.last[raw[ends]]
-        #: The index: at each position the rank of the pair that begins there.
-        index = np.full(len(symbol), NEVER, np.int64)
-        at = np.flatnonzero(word[1:] == word[:-1])
-        index[at] = self.ranks(symbol[at], symbol[at + 1])
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(symbol):
-            start = np.flatnonzero(np.diff(word, prepend=-1))
-            count = np.diff(np.append(start, len(word)))
-            lowest = np.repeat(np.minimum.reduceat(index, start), count)
-            open_ = lowest != NEVER
-            if not open_.all():  # words without an active rank are ready
-                done.append((word[~open_], symbol[~open_]))
-                word, symbol, index, lowest = word[open_], symbol[open_], index[open_], lowest[open_]
-                if not len(symbol):
+        ends = ends[size > 0]
+        first[ends] = self.last[raw[ends]]
+        index = self.positions(first, word)
+        symbol = first.tolist()
+        after, before = np.arange(1, len(first) + 1), np.arange(-1, len(first) - 1)
+        after[ends] = -1
+        before[np.concatenate([[0], ends[:-1] + 1])] = -1
+        after, before = after.tolist(), before.tolist()
+        active = list(index)  # in ascending order, so a heap already
+        rank = self.rank.get
+        while active:
+            r = heappop(active)
+            left, right, made = self.left[r], self.right[r], self.made[r]
+            places = index.pop(r)
+            places.sort()
+            for k, p in enumerate(places):
+                q = after[p]
+                if q < 0 or symbol[p] != left or symbol[q] != right:
+                    continue  # a merge has taken one of the two
+                symbol[p], symbol[q] = made, -1
+                s = after[p] = after[q]
+                after[q] = -1
+                lowest = r
+                if s >= 0:
+                    before[s] = p
+                    new = rank(made << 32 | symbol[s])
+                    if new is not None:
+                        lowest = min(lowest, new)
+                        if new in index:
+                            index[new].append(p)
+                        else:
+                            index[new] = [p]
+                            heappush(active, new)
+                o = before[p]
+                if o >= 0:
+                    new = rank(symbol[o] << 32 | made)
+                    if new is not None:
+                        lowest = min(lowest, new)
+                        if new in index:
+                            index[new].append(o)
+                        else:
+                            index[new] = [o]
+                            heappush(active, new)
+                if lowest < r and k + 1 < len(places):  # the merge made a pair of a lower rank, which comes first
+                    index[r] = places[k + 1 :] + index.get(r, [])
+                    heappush(active, r)
                     break
-            at = np.flatnonzero(index == lowest)  # all positions of each word's lowest active rank
-            rank = index[at]
-            if len(at) > 1:
-                beside = np.concatenate([[False], (at[1:] == at[:-1] + 1) & (rank[1:] == rank[:-1])])
-                if beside.any():  # a run such as aaaa: every second position, from the left
-                    run = np.cumsum(~beside)
-                    nth = np.arange(len(at)) - np.flatnonzero(~beside)[run - 1]
-                    at, rank = at[nth % 2 == 0], rank[nth % 2 == 0]
-                one = self.single[rank]
-                if one.any():
-                    later = np.concatenate([[False], word[at[1:]] == word[at[:-1]]])
-                    at, rank = at[~(one & later)], rank[~(one & later)]
-            symbol[at] = self.made[rank]
-            gone = np.zeros(len(symbol), bool)
-            gone[at + 1] = True
-            place = np.cumsum(~gone) - 1
-            keep = ~gone
-            word, symbol, index = word[keep], symbol[keep], index[keep]
-            at = place[at]
-            index[at] = NEVER  # the pairs that begin and end with a merged symbol are entered anew
-            here = at[at + 1 < len(word)]
-            here = here[word[here] == word[here + 1]]
-            index[here] = self.ranks(symbol[here], symbol[here + 1])
-            prior = at[at > 0] - 1
-            prior = prior[word[prior] == word[prior + 1]]
-            index[prior] = self.ranks(symbol[prior], symbol[prior + 1])
-        word, symbol = (np.concatenate(x) for x in zip(*done, strict=True))
-        return symbol[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(size))
+        out = np.array(symbol, np.int64)
+        return out[out >= 0], np.bincount(word[out >= 0], minlength=len(size))
 
 
 class Renderer:
@@ -141,7 +141,7 @@ class Coder:
 
     def __init__(self, path: str):
         self.index = PairIndex(path)
-        self.encoder = Encoder(special_tokens(path), self.index.encode)
+        self.encoder = Encoder(path, self.index.encode)
         self.numbers = Renderer({i: b"%d " % i for i in range(max(self.index.strings) + 1)})
         self.tokens = Renderer({i: s + b" " for i, s in self.index.strings.items()})
 

@@ -1,19 +1,21 @@
 """Pre-tokens of many texts at once, for a tokenizer of the word_bpe kind: NFC, lower case, then the pattern
 's|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+ over code points as one array. Each distinct
-pre-token is encoded once per worker; its ids are kept by 64-bit hash and texts are put together from them."""
+pre-token is encoded once per worker; its ids are found by 64-bit hash, its letters are compared, and texts are put
+together from them. A text with a code point that Python's Unicode tables don't know is cut by the tokenizer's own
+normalizer and pre-tokenizer, whose tables may be newer."""
 
 from __future__ import annotations
 
 import json
 import sys
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
-from .words import span_hash
+from .words import word_hash
 
-OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+OTHER, LETTER, NUMBER, SPACE, NEWER = 0, 1, 2, 3, 4
 #: Code points with the Unicode property White_Space.
 WHITE = [9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: What the pattern takes after an apostrophe, in its order.
@@ -28,7 +30,7 @@ def kinds() -> np.ndarray:
     """Class of every code point."""
     if not _kinds:
         category = {"L": LETTER, "N": NUMBER}
-        table = np.fromiter((category.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+        table = np.fromiter((NEWER if (name := unicodedata.category(chr(c))) == "Cn" else category.get(name[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
         table[WHITE] = SPACE
         _kinds.append(table)
     return _kinds[0]
@@ -43,12 +45,15 @@ def normal(text: str) -> str:
     return text.replace("Σ", "σ").lower()
 
 
-def split(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(all normalised text, starts, ends, hashes, first pre-token of each text and their number)."""
+def split(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(all normalised text, its code points, starts, ends, hashes, first pre-token of each text and their number,
+    texts with code points that the tables don't know)."""
     ready = [normal(t) for t in texts]
     whole = " ".join(ready) + " "
     points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = kinds()[points]
+    begin = np.cumsum([0] + [len(t) + 1 for t in ready])
+    newer = np.unique(np.searchsorted(begin, np.flatnonzero(kind == NEWER), side="right") - 1).tolist() if kind.max(initial=0) == NEWER else []
     change = np.empty(len(kind), bool)
     change[0] = True
     np.not_equal(kind[1:], kind[:-1], out=change[1:])
@@ -68,8 +73,7 @@ def split(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np
     ends = np.append(starts[1:], len(kind))
     solid = kind[starts] != SPACE
     starts, ends = starts[solid], ends[solid]
-    begin = np.cumsum([0] + [len(t) + 1 for t in ready])
-    return whole, starts, ends, span_hash(points, starts, ends), np.searchsorted(starts, begin)
+    return whole, points, starts, ends, word_hash(points, starts, ends), np.searchsorted(starts, begin), newer
 
 
 class Kept:
@@ -123,47 +127,87 @@ def gather(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarra
 class Encoder:
     """Ids of texts. encode_new(words) -> (ids of all, ids of each) does the work for unseen pre-tokens."""
 
-    def __init__(self, special: dict[str, int], encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.special, self.encode_new = special, encode_new
+    def __init__(self, path: str, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.path, self.special, self.encode_new, self.library = path, special_tokens(path), encode_new, None
         self.clear()
 
     def clear(self) -> None:
         self.kept = Kept()
         self.ids, self.used = np.zeros(1 << 16, np.uint16), 0
         self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.letters, self.lettered = np.zeros(1 << 16, np.uint32), 0
+        self.at, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
-    def learn(self, whole: str, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> None:
+    def learn(self, whole: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> None:
         new, first = np.unique(h, return_index=True)
-        words = [whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        ids, size = self.encode_new(words)
+        starts, ends = starts[first], ends[first]
+        ids, size = self.encode_new([whole[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
         if len(ids) and int(ids.max()) >= 1 << 16 and self.ids.dtype == np.uint16:
             self.ids = self.ids.astype(np.uint32)
+        letters = gather(points, starts, ends - starts)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.lettered + len(letters) > len(self.letters):
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
         self.ids[self.used : self.used + len(ids)] = ids
+        self.letters[self.lettered : self.lettered + len(letters)] = letters
         n = self.kept.n
         while n + len(new) > len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+            self.begin, self.size, self.at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.at, self.length))
         self.begin[n : n + len(new)] = self.used + np.cumsum(size) - size
         self.size[n : n + len(new)] = size
+        self.at[n : n + len(new)] = self.lettered + np.cumsum(ends - starts) - (ends - starts)
+        self.length[n : n + len(new)] = ends - starts
         self.used += len(ids)
+        self.lettered += len(letters)
         self.kept.add(new)
 
+    def same(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Whether each pre-token has the letters of its slot."""
+        size = ends - starts
+        ok = self.length[slot] == size
+        if ok.all() and len(ok):
+            equal = gather(points, starts, size) == gather(self.letters, self.at[slot], size)
+            return ok if equal.all() else np.logical_and.reduceat(equal, np.cumsum(size) - size)
+        for k in np.flatnonzero(ok).tolist():  # two pre-tokens of one hash: hardly ever
+            ok[k] = np.array_equal(points[starts[k] : ends[k]], self.letters[self.at[slot[k]] :][: size[k]])
+        return ok
+
     def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts without special tokens, and how many each text has."""
         if not texts:
             return np.zeros(0, np.uint16), np.zeros(0, np.int64)
         if self.kept.n > KEEP:
             self.clear()
-        whole, starts, ends, h, first = split(texts)
+        whole, points, starts, ends, h, first, newer = split(texts)
+        if newer:
+            return self.newer(texts, newer)
         slot = self.kept.find(h)
         missing = slot < 0
         if missing.any():
-            self.learn(whole, starts[missing], ends[missing], h[missing])
+            self.learn(whole, points, starts[missing], ends[missing], h[missing])
             slot[missing] = self.kept.find(h[missing])
-        size = self.size[slot].astype(np.int64)
+        size, begin, ids = self.size[slot].astype(np.int64), self.begin[slot], self.ids
+        other = np.flatnonzero(~self.same(points, starts, ends, slot))
+        if len(other):
+            more, size[other] = self.encode_new([whole[a:b] for a, b in zip(starts[other].tolist(), ends[other].tolist(), strict=True)])
+            begin[other] = self.used + np.cumsum(size[other]) - size[other]
+            ids = np.concatenate([self.ids[: self.used].astype(np.uint32), more.astype(np.uint32)])
         upto = np.concatenate([[0], np.cumsum(size)])
-        return gather(self.ids, self.begin[slot], size), np.diff(upto[first])
+        return gather(ids, begin, size), np.diff(upto[first])
+
+    def newer(self, texts: list[str], which: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """plain() where some texts are cut by the tokenizer itself."""
+        if self.library is None:
+            self.library = Library(self.path)
+        chosen = set(which)
+        ids, count = self.plain(["" if k in chosen else t for k, t in enumerate(texts)])
+        place = np.cumsum(count)
+        own = [self.encode_new(list(self.library.split(texts[k])))[0].astype(np.uint32) for k in which]
+        size = np.array([len(x) for x in own], np.int64)
+        out = np.insert(ids.astype(np.uint32), np.repeat(place[which], size), np.concatenate(own))
+        count[which] = size
+        return out, count
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts, one after the other, and how many each has. The strings of special tokens become their ids."""
@@ -188,6 +232,30 @@ class Encoder:
         return out, np.bincount(owner, weights=size + (after >= 0), minlength=len(texts)).astype(np.int64)
 
 
+def byte_names() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 up."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    names = {b: chr(b) for b in own}
+    for k, b in enumerate(b for b in range(256) if b not in names):
+        names[b] = chr(256 + k)
+    return [names[b] for b in range(256)]
+
+
+class Library:
+    """The tokenizers library's parts of one file."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.byte = {n: k for k, n in enumerate(byte_names())}
+
+    def split(self, text: str) -> Iterator[str]:
+        """The pre-tokens of a text, as the library cuts it."""
+        for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text)):
+            yield bytes(self.byte[c] for c in piece).decode("utf-8", "surrogateescape")
+
+
 def special_tokens(path: str) -> dict[str, int]:
     with open(path, encoding="utf-8") as f:
         return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}

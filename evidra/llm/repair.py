@@ -22,9 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import byte_names
 from .common import slices, stored
-from .pieces import Encoder, gather, special_tokens, tokenizer_path
+from .pieces import Encoder, Library, byte_names, gather, tokenizer_path
 
 MAGIC = b"RPG1"
 HEADER = struct.Struct("<4sIIIIQ")
@@ -164,18 +163,16 @@ class File:
         return self.tokens(start, start + int(self.sizes[k]))
 
 
-class Library:
+class Model:
     """Ids by the tokenizers library; each distinct pre-token is given to its model once."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path).model
+        self.model = Library(path).tokenizer.model
         self.names = {k: n for k, n in enumerate(byte_names())}
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         names, tokenize = self.names, self.model.tokenize
-        out = [[t.id for t in tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(names))] for w in words]
+        out = [[t.id for t in tokenize(w.encode("utf-8", "surrogateescape").decode("latin-1").translate(names))] for w in words]
         size = np.array([len(x) for x in out], np.int64)
         return np.fromiter(itertools.chain.from_iterable(out), np.uint32, int(size.sum())), size
 
@@ -186,7 +183,7 @@ _encoders: dict[str, Encoder] = {}
 def encoder(path: str | None = None) -> Encoder:
     path = tokenizer_path(path)
     if path not in _encoders:
-        _encoders[path] = Encoder(special_tokens(path), Library(path))
+        _encoders[path] = Encoder(path, Model(path))
     return _encoders[path]
 
 

@@ -1,5 +1,5 @@
 """Words of many texts at once: a batch's bytes are scanned as one array, and each word gets a 64-bit
-polynomial hash from one prefix sum, so no Python object is made per word."""
+hash from one prefix sum, so no Python object is made per word."""
 
 from __future__ import annotations
 
@@ -40,13 +40,28 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of values[start:end] for each span; equal spans at any place hash alike."""
+    """64-bit polynomial hash of values[start:end] for each span of less than 1,024 values, themselves hashes; spans
+    may overlap, and equal ones at any place hash alike."""
     n = len(values)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(n), out=total[1:])
     return mix((total[ends] - total[starts]) * powers(n + 1, _INVERSE)[starts])
 
 
+def word_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of values[start:end] for each of some spans that don't overlap, in order; equal spans hash alike.
+
+    Each value is mixed with its place in the span before the sum, so no pattern of values cancels out.
+    """
+    n = len(values)
+    begin = np.zeros(n, np.int64)
+    begin[starts] = starts
+    place = (np.arange(n) - np.maximum.accumulate(begin)).view(np.uint64) if n else np.zeros(0, np.uint64)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix((place << np.uint64(32) | values) * np.uint64(BASE) + np.uint64(_INVERSE)), out=total[1:])
+    return mix(total[ends] - total[starts])
+
+
 class Words:
     """Words of a batch whose texts each end in a byte outside the word class.
 
@@ -61,7 +76,7 @@ class Words:
         step = np.diff(inside)
         self.starts = np.flatnonzero(step == 1)
         self.ends = np.flatnonzero(step == -1)
-        self.hash = span_hash(self.low, self.starts, self.ends)
+        self.hash = word_hash(self.low, self.starts, self.ends)
         self.first = np.searchsorted(self.starts, offsets)
 
     def __len__(self) -> int:
