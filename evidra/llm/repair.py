@@ -1,12 +1,14 @@
 """Token-id files with Re-Pair grammar compression.
 
 A file (one shard of whole documents, in ascending id order) holds the rules of a grammar and one sequence of
-symbols. Frequent pairs of symbols are replaced by nonterminals, again and again, until no pair is frequent or a round gains little.
-Stored expansion lengths give the place of any token range, so a part decodes without the rest.
+symbols. Frequent pairs of symbols are replaced by nonterminals, again and again, until no pair occurs min_count
+times; a round takes all pairs that are nearly as frequent as the most frequent one. Stored expansion lengths, and
+the token at which every MARK-th symbol begins, give the place of any token range: the symbols that cover it are
+found from the mark before it and their rules followed down to it, and nothing else is read.
 
-Layout, little-endian: 4 bytes RPG1; u32 documents, rules, first nonterminal, bytes per symbol (2 or 4); u64
+Layout, little-endian: 4 bytes RPG2; u32 documents, rules, first nonterminal, bytes per symbol (2, 3 or 4); u64
 symbols; then i64 document ids, u8 id is null, u64 tokens of each document, u32 left and u32 right symbol and
-u32 expansion length of each rule, and the symbols.
+u32 expansion length of each rule, u64 marks, and the symbols.
 """
 
 from __future__ import annotations
@@ -25,30 +27,27 @@ from pyspark.sql import functions as F
 from .common import slices, stored
 from .pieces import Encoder, Library, byte_names, gather, tokenizer_path
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 HEADER = struct.Struct("<4sIIIIQ")
 END_ID = 1
 #: Tokens after which a shard ends, at the end of a document.
 SHARD_TOKENS = 1 << 20
-#: A pair is frequent if it occurs so often in its shard.
-MIN_COUNT = 24
-#: A round that shortens the sequence by less than this share is the last.
-LEAST_GAIN = 0.01
+#: A pair is frequent if it occurs so often in its shard: a rule takes 12 bytes, and each of its uses saves 2.
+MIN_COUNT = 8
+#: Symbols from one mark to the next.
+MARK = 1024
 _FLAG_BITS = 18
 
 
-def _frequent(s: np.ndarray, least: int, room: int) -> np.ndarray:
-    """Codes of the pairs to replace now: an eighth of the top count or more, at most `room` of them."""
+def _frequent(s: np.ndarray, least: int) -> np.ndarray:
+    """Codes of the pairs to replace now: an eighth of the top count or more."""
     code = np.sort(_codes(s))
     edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
     count = np.diff(np.append(edge, len(code)))
     top = int(count.max())
     if top < least:
         return code[:0]
-    pick = np.flatnonzero(count >= max(least, top // 8))
-    if len(pick) > room:
-        pick = np.sort(pick[np.argsort(-count[pick], kind="stable")[:room]])
-    return code[edge[pick]]
+    return code[edge[count >= max(least, top // 8)]]
 
 
 def _codes(s: np.ndarray) -> np.ndarray:
@@ -66,18 +65,19 @@ def _flags(code: np.ndarray) -> np.ndarray:
 def compress(ids: np.ndarray, least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(symbols, left, right, first nonterminal) of a grammar for ids."""
     first = int(ids.max()) + 1 if len(ids) else 0
-    s = ids.astype(np.uint16 if first <= 1 << 15 or first + 4096 <= 1 << 16 else np.uint32)
-    most = (1 << 16 if s.dtype == np.uint16 else 1 << 32) - first
+    s = ids.astype(np.uint16 if first < 1 << 16 else np.uint32)
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     rules = 0
-    while len(s) > 1 and rules < most:
-        chosen = _frequent(s, least, most - rules)
+    while len(s) > 1:
+        chosen = _frequent(s, least)
         if not len(chosen):
             break
         half = 16 if s.dtype == np.uint16 else 32
         left.append((chosen >> half).astype(np.uint32))
         right.append((chosen & ((1 << half) - 1)).astype(np.uint32))
+        if half == 16 and first + rules + len(chosen) > 1 << 16:  # more symbols than two bytes tell apart
+            s, chosen, half = s.astype(np.uint32), left[-1].astype(np.uint64) << np.uint64(32) | right[-1], 32
         flag = np.zeros(1 << _FLAG_BITS, bool)
         flag[_flags(chosen)] = True
         code = _codes(s)
@@ -94,35 +94,41 @@ def compress(ids: np.ndarray, least: int = MIN_COUNT) -> tuple[np.ndarray, np.nd
         keep[at + 1] = False
         s = s[keep]
         rules += len(chosen)
-        if len(at) < LEAST_GAIN * len(keep):
-            break
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint32)
     return s, join(left), join(right), first
 
 
-def expansions(left: np.ndarray, right: np.ndarray, first: int) -> tuple[list[list[int]], np.ndarray]:
-    """(ids of each nonterminal, how many)."""
-    out: list[list[int]] = []
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        out.append((out[a - first] if a >= first else [a]) + (out[b - first] if b >= first else [b]))
-    return out, np.array([len(x) for x in out], np.uint32)
+def lengths(left: np.ndarray, right: np.ndarray, first: int) -> np.ndarray:
+    """How many ids each nonterminal stands for; rules use earlier rules only."""
+    out = np.ones(first + len(left), np.int64)
+    a, b = left.tolist(), right.tolist()
+    size = [1] * first + [0] * len(a)
+    for k in range(len(a)):
+        size[first + k] = size[a[k]] + size[b[k]]
+    out[first:] = size[first:]
+    return out[first:]
 
 
 def pack(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray, least: int = MIN_COUNT) -> bytes:
     """A file from documents' ids, one after the other."""
     s, left, right, first = compress(ids, least)
-    _, length = expansions(left, right, first)
-    head = HEADER.pack(MAGIC, len(doc_ids), len(left), first, s.dtype.itemsize, len(s))
+    length = lengths(left, right, first)
+    top = first + len(left)
+    width = 2 if top <= 1 << 16 else 3 if top <= 1 << 24 else 4
+    upto = np.concatenate([np.ones(first, np.int64), length])[s].cumsum()
+    marks = np.concatenate([[0], upto[MARK - 1 :: MARK]])[: -(-len(s) // MARK)]
+    head = HEADER.pack(MAGIC, len(doc_ids), len(left), first, width, len(s))
     keys = np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1"), np.asarray(sizes, "<u8")
-    return b"".join([head, *(x.tobytes() for x in (*keys, left, right, length, s))])
+    symbols = np.ascontiguousarray(s.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width])
+    return b"".join([head, *(x.tobytes() for x in (*keys, left, right, length.astype("<u4"), marks.astype("<u8"), symbols))])
 
 
 class File:
-    """A packed file: its documents, and ids of any token range."""
+    """A packed file: its documents, and ids of any token range. Opening it expands nothing."""
 
     def __init__(self, blob: bytes):
-        magic, n, rules, self.first, width, m = HEADER.unpack_from(blob)
-        if magic != MAGIC or width not in (2, 4):
+        magic, n, rules, self.first, self.width, m = HEADER.unpack_from(blob)
+        if magic != MAGIC or self.width not in (2, 3, 4):
             raise ValueError("not a Re-Pair token file")
         at = HEADER.size
 
@@ -135,28 +141,64 @@ class File:
         ids, null = take("<i8", n), take("u1", n)
         self.doc_ids = [None if z else int(i) for i, z in zip(ids, null, strict=True)]
         self.sizes = take("<u8", n).astype(np.int64)
-        left, right, length = take("<u4", rules), take("<u4", rules), take("<u4", rules)
-        self.symbols = take(f"<u{width}", m)
+        self.left, self.right, self.length = take("<u4", rules), take("<u4", rules), take("<u4", rules)
+        self.marks = take("<u8", -(-m // MARK)).astype(np.int64)
+        self.raw = take("u1", m * self.width).reshape(m, self.width)
         if at != len(blob):
             raise ValueError(f"{len(blob) - at} bytes are left over")
-        made, sizes = expansions(left, right, self.first)
-        if not np.array_equal(sizes, length):
+        if not np.array_equal(self.size(self.left) + self.size(self.right), self.length):
             raise ValueError("expansion lengths don't fit the rules")
-        #: Expansion of every symbol: itself below the first nonterminal.
-        self.flat = np.concatenate([np.arange(self.first), np.fromiter(itertools.chain.from_iterable(made), np.int64, int(length.sum()))]).astype(np.uint32)
-        self.size = np.concatenate([np.ones(self.first, np.int64), length.astype(np.int64)])
-        self.begin = np.cumsum(self.size) - self.size
-        self.upto = np.concatenate([[0], np.cumsum(self.size[self.symbols])])
-        if self.upto[-1] != self.sizes.sum():
+        self.total = int(self.sizes.sum())
+        last = max(0, (m - 1) // MARK * MARK)
+        if (int(self.marks[-1]) + int(self.size(self.symbols(last, m)).sum()) if m else 0) != self.total:
             raise ValueError("the symbols don't expand to the documents' tokens")
 
+    def symbols(self, a: int, b: int) -> np.ndarray:
+        out = np.zeros((max(0, min(b, len(self.raw)) - a), 4), np.uint8)
+        out[:, : self.width] = self.raw[a:b]
+        return out.view("<u4").ravel()
+
+    def size(self, symbol: np.ndarray) -> np.ndarray:
+        """Ids that each symbol stands for, as stored."""
+        out = np.ones(len(symbol), np.int64)
+        rule = symbol >= self.first
+        out[rule] = self.length[symbol[rule] - self.first]
+        return out
+
     def tokens(self, start: int, stop: int) -> np.ndarray:
-        """Ids start..stop of the shard; only the symbols that cover them are expanded."""
-        a = max(0, int(np.searchsorted(self.upto, start, side="right")) - 1)
-        b = int(np.searchsorted(self.upto, stop, side="left"))
-        s = self.symbols[a:b]
-        ids = gather(self.flat, self.begin[s], self.size[s])
-        return ids[start - self.upto[a] :][: stop - start]
+        """Ids start..stop of the shard: rules are followed down to this range only."""
+        if stop <= start:
+            return np.zeros(0, np.uint32)
+        a = max(0, int(np.searchsorted(self.marks, start, side="right")) - 1)
+        b = int(np.searchsorted(self.marks, stop, side="left"))
+        symbol = self.symbols(a * MARK, b * MARK)
+        size = self.size(symbol)
+        place = self.marks[a] + np.cumsum(size) - size
+        while True:
+            near = (place < stop) & (place + size > start)
+            symbol, place = symbol[near], place[near]
+            rule = symbol >= self.first
+            if not rule.any():
+                return symbol
+            k = symbol[rule] - self.first
+            grown = 1 + rule.astype(np.int64)
+            at = np.cumsum(grown) - grown
+            new, where = np.repeat(symbol, grown), np.repeat(place, grown)
+            new[at[rule]], new[at[rule] + 1] = self.left[k], self.right[k]
+            where[at[rule] + 1] += self.size(self.left[k])
+            symbol, place, size = new, where, self.size(new)
+
+    def everything(self) -> np.ndarray:
+        """All ids; each rule is expanded once."""
+        table: list[list[int]] = []
+        first = self.first
+        for a, b in zip(self.left.tolist(), self.right.tolist(), strict=True):
+            table.append((table[a - first] if a >= first else [a]) + (table[b - first] if b >= first else [b]))
+        flat = np.concatenate([np.arange(first), np.fromiter(itertools.chain.from_iterable(table), np.int64, int(self.length.sum()))]).astype(np.uint32)
+        size = np.concatenate([np.ones(first, np.int64), self.length.astype(np.int64)])
+        begin = np.cumsum(size) - size
+        s = self.symbols(0, len(self.raw))
+        return gather(flat, begin[s], size[s])
 
     def document(self, k: int) -> np.ndarray:
         start = int(self.sizes[:k].sum())
@@ -243,7 +285,7 @@ def read_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             for blob, base in zip(batch.column("file"), batch.column("start").to_pylist(), strict=True):
                 f = File(blob.as_py())
-                ids = f.tokens(0, int(f.upto[-1])).astype("<u4")
+                ids = f.everything().astype("<u4")
                 ends = np.cumsum(f.sizes)
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip((ends - f.sizes).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids, pa.int64()), pa.array(base + ends - f.sizes), pa.array(f.sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -112,6 +112,7 @@ def test_grammar_round_trip(docs, least):
     f = repair.File(repair.pack([*range(len(docs))], np.array([len(d) for d in docs], np.int64), ids, least))
     assert [f.document(k).tolist() for k in range(len(docs))] == docs
     assert f.tokens(0, len(ids)).tolist() == ids.tolist()
+    assert f.everything().tolist() == ids.tolist()
     if len(ids) > 3:
         assert f.tokens(1, len(ids) - 2).tolist() == ids[1:-2].tolist()
 
@@ -127,6 +128,19 @@ def test_grammar_compresses():
         repair.File(repair.pack([1], np.array([300]), wide, 4) + b"x")
 
 
+def test_grammar_leaves_no_frequent_pair():
+    """Over a shard with more rules than two bytes tell apart; ranges decode without the rest of the file."""
+    rnd = np.random.default_rng(5)
+    words = [rnd.integers(0, 65_000, 12, dtype=np.uint32) for _ in range(1500)]
+    ids = np.concatenate([words[k] for k in rnd.integers(0, 1500, 9000)])
+    s, left, right, first = repair.compress(ids, 3)
+    assert s.dtype == np.uint32 and max(np.unique(s[:-1].astype(np.uint64) << np.uint64(32) | s[1:], return_counts=True)[1]) < 3
+    f = repair.File(repair.pack([1], np.array([len(ids)]), ids, 3))
+    assert f.width == 3 and f.everything().tolist() == ids.tolist()
+    for a, b in [(0, 1), (5, 5), (70_001, 70_400), (len(ids) - 3, len(ids))]:
+        assert f.tokens(a, b).tolist() == ids[a:b].tolist()
+
+
 def test_token_files(spark, odd, empty, library):
     files = repair.write_files(odd, shard_tokens=500)
     got = repair.read_files(files).collect()
