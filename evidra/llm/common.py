@@ -84,6 +84,17 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a batch that goes to a Python worker.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let batches for Python workers hold BATCH_ROWS rows, where the session has Spark's own default of 10,000:
+    a batch of whole texts is then some megabytes on both sides. The session keeps the setting."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 #: Rows of one file that a row number leaves room for, as a power of two.
 FILE_BITS = 38
 #: File names, in bytes, that with_rows() may broadcast.
@@ -113,6 +124,7 @@ def with_rows(df: DataFrame, name: str) -> DataFrame:
     files are split into tasks. Any other plan is written to a scratch table once, and numbered there.
     """
     spark = df.sparkSession
+    small_batches(spark)
     if _scans_files(df):
         try:
             placed = df.select("*", F.col("_metadata.file_path").alias(path := fresh(df, "__file")), F.col("_metadata.row_index").alias(at := fresh(df, "__at")))
@@ -129,6 +141,7 @@ def with_rows(df: DataFrame, name: str) -> DataFrame:
 
 def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text): only these two columns go on, whatever else the table holds."""
+    small_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 

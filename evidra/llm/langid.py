@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_bucket, slices
+from .common import crc_bucket, slices, small_batches
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -225,11 +225,13 @@ def _score(model):
 
 
 def _model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, fold: int, bits: int):
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     return docs.sparkSession.sparkContext.broadcast(train(base.filter(~held_out(F.col("key"), folds, fold)), bits))
 
 
 def _with_text(docs: DataFrame, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")
     return docs.withColumns({"__text": text, "__letters": F.coalesce(text.rlike(r"\p{L}"), F.lit(False))})
 

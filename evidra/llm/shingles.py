@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, slices, with_rows
+from .common import flat, slices, small_batches, with_rows
 from .words import ALNUM, Words, window_hash
 
 WIDTH = 5
@@ -17,6 +17,7 @@ WIDTH = 5
 
 def numbered(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
     """(rid, doc_id, text), rid as by with_rows() or, if given, from row_col."""
+    small_batches(docs.sparkSession)
     columns = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")]
     if row_col:
         return docs.select(F.col(f"`{row_col}`").alias("rid"), *columns)

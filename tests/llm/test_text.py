@@ -114,6 +114,7 @@ def test_scores(spark, sf_dir, empty):
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
     assert all(r.score < 0 for r in got)
     size = {i: len(t.encode()) + 1 for i, t in rows}
+    assert all(abs(r.bits_per_byte + r.score * math.log2(10) / (len((t or "").encode()) + 1)) < 1e-9 for r in got for t in [dict(rows).get(r.doc_id)] if r.doc_id not in (None, 80001))
     bits = [-r.score * math.log2(10) / size[r.doc_id] for r in got if r.held_out and size[r.doc_id] > 500]
     assert sum(bits) / len(bits) < 3.6
     assert ctw.score(empty).count() == 0
