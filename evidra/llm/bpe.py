@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, texts_of
+from .common import slices, texts_of, tidied
 from .pieces import Encoder, Kept, byte_names, gather, tokenizer_path
 from .words import mix
 
@@ -180,7 +180,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 ids = c.encode([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids])], names=["doc_id", "ids", "decoded"])
 
-    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return texts.mapInArrow(tidied(run), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -200,4 +200,4 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
                     columns["ids"] = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return texts.mapInArrow(tidied(run), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

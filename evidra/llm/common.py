@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import json
 import tempfile
 import threading
@@ -38,6 +39,11 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 _LIBC = ctypes.CDLL(None)
+#: Blocks of this many bytes go back to the system as soon as they are freed.
+LARGE_BLOCK = 4 << 20
+if hasattr(_LIBC, "mallopt"):
+    _LIBC.mallopt(-3, LARGE_BLOCK)  # M_MMAP_THRESHOLD
+pa.set_memory_pool(pa.system_memory_pool())  # so that what Arrow frees goes back as well
 _local = threading.local()  # queries of different threads keep their tables apart
 
 
@@ -60,6 +66,10 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Bytes that a task's writer of a stored table gathers before it writes them.
+ROW_GROUP = 16 << 20
+
+
 def stored(df: DataFrame, name: str, compression: str = "zstd", keep: bool = False, **options: str) -> DataFrame:
     """Write df as a table in the shared scratch folder and return the table as read back.
 
@@ -70,7 +80,7 @@ def stored(df: DataFrame, name: str, compression: str = "zstd", keep: bool = Fal
     scopes = _scopes()[:-1] if keep else _scopes()
     if scopes:
         scopes[-1].append(path)
-    df.write.options(**options).parquet(path, compression=compression)
+    df.write.options(**{"parquet.block.size": str(ROW_GROUP), **options}).parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -164,6 +174,17 @@ def _trim() -> None:
         _LIBC.malloc_trim(0)
 
 
+def tidied(run):
+    """run, and at a task's end what it has freed goes back to the system."""
+
+    def tidy(batches):
+        yield from run(batches)
+        gc.collect()
+        _trim()
+
+    return tidy
+
+
 def slices(column: pa.Array, limit: int = 1 << 20):
     """(first, last) row ranges whose texts add up to about `limit` bytes; a longer text is alone."""
     size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
@@ -173,7 +194,6 @@ def slices(column: pa.Array, limit: int = 1 << 20):
         last = max(first + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield first, last
         first = last
-    _trim()
 
 
 def crc_bucket(col, n: int):
@@ -218,6 +238,6 @@ def split_marked(df: DataFrame, marks: Marks, column: str = "rid") -> tuple[Data
                 mask = Marks.has(bits.value, batch.column(name).to_numpy())
                 yield batch.select([n for n in batch.schema.names if n != name]).filter(pa.array(mask == wanted))
 
-        return df.withColumn(name, Marks.column(column)).mapInArrow(run, own)
+        return df.withColumn(name, Marks.column(column)).mapInArrow(tidied(run), own)
 
     return part(True), part(False)

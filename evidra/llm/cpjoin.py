@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Marks, fresh, scratch, split_marked, stored, with_rows
+from .common import Marks, fresh, scratch, split_marked, stored, tidied, with_rows
 from .graph import components
 from .shingles import WIDTH, numbered, sequences
 from .words import mix
@@ -98,7 +98,7 @@ def _rows(batch: pa.RecordBatch, found: list[np.ndarray]) -> pa.RecordBatch:
 def _buckets(reps: DataFrame, runs: int, threshold: float, bucket: int, depth: int) -> DataFrame:
     """(path, n, rid) of the buckets to compare; of buckets with the same texts one stays."""
     sampled = reps.select("rid", "sample")
-    at = stored(sampled.mapInArrow(_first_paths(runs, 1 / threshold), "path long, rid long"), "paths")
+    at = stored(sampled.mapInArrow(tidied(_first_paths(runs, 1 / threshold)), "path long, rid long"), "paths")
     leaves = None
     for level in range(depth + 1):
         sizes = at.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("sum"), F.min("rid").alias("head")).filter("n > 1")
@@ -124,7 +124,7 @@ def _buckets(reps: DataFrame, runs: int, threshold: float, bucket: int, depth: i
         leaves = here if leaves is None else leaves.unionByName(here)
         if not more:
             break
-        at = stored(members.join(large.filter("not alike").select("path"), "path").select("path", "rid").join(near, "rid").mapInArrow(_deeper_paths(DEEPER), "path long, rid long").distinct(), "paths")
+        at = stored(members.join(large.filter("not alike").select("path"), "path").select("path", "rid").join(near, "rid").mapInArrow(tidied(_deeper_paths(DEEPER)), "path long, rid long").distinct(), "paths")
     return stored(leaves, "buckets", keep=True)
 
 
@@ -224,14 +224,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     """
     base = numbered(docs, id_col, text_col, row_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = stored(base.mapInArrow(_sketch(width, SAMPLE), f"rid long, doc_id {kind}, k1 long, k2 long, n_set long, sample array<long>"), "sketches")
+    rows = stored(base.mapInArrow(tidied(_sketch(width, SAMPLE)), f"rid long, doc_id {kind}, k1 long, k2 long, n_set long, sample array<long>"), "sketches")
     own = rows.filter("n_set > 0")
     reps = stored(own.groupBy("k1", "k2", "n_set").agg(F.count("*").alias("copies"), F.min("doc_id").alias("copy_id"), F.min(F.struct("rid", "sample")).alias("rep")).select("k1", "k2", "n_set", "copies", "copy_id", "rep.rid", "rep.sample"), "classes")
     with scratch(docs.sparkSession):
         buckets = _buckets(reps, runs_for(recall, threshold), threshold, bucket, depth)
     needed = buckets.select("rid").distinct()
     marks = Marks(needed)
-    sets = stored(base.select("rid", "text", Marks.column().alias("mark")).mapInArrow(_sets(width, marks.bits), "rid long, set binary"), "sets", "lz4")
+    sets = stored(base.select("rid", "text", Marks.column().alias("mark")).mapInArrow(tidied(_sets(width, marks.bits)), "rid long, set binary"), "sets", "lz4")
     edges = _blocked(buckets.join(sets, "rid"), "path", block).groupBy("path", "i", "j").applyInPandas(_edges(threshold), "a long, b long")
     with scratch(docs.sparkSession):
         found = stored(components(edges), "components", keep=True)

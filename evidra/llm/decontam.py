@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Marks, flat, fresh, slices, split_marked, stored, texts_of, with_rows
+from .common import Marks, flat, fresh, slices, split_marked, stored, texts_of, tidied, with_rows
 from .words import ALNUM, Words, mix, window_hash
 
 SHIFT_BITS = 18
@@ -183,11 +183,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, spans array<struct<first:long,last:long>>"
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(bench, width, block_bytes)]
     if len(blocks) == 1:
-        return texts.mapInArrow(_scan(blocks[0]), schema)
+        return texts.mapInArrow(tidied(_scan(blocks[0])), schema)
     numbered = with_rows(texts, "rid")
     parts = None
     for b in blocks:
-        found = numbered.select(F.struct("rid", "doc_id").alias("doc_id"), "text").mapInArrow(_scan(b), schema.replace(schema.split(",")[0], f"doc_id struct<rid:long,doc_id:{texts.schema['doc_id'].dataType.simpleString()}>", 1))
+        found = numbered.select(F.struct("rid", "doc_id").alias("doc_id"), "text").mapInArrow(tidied(_scan(b)), schema.replace(schema.split(",")[0], f"doc_id struct<rid:long,doc_id:{texts.schema['doc_id'].dataType.simpleString()}>", 1))
         parts = found if parts is None else parts.unionByName(found)
     merged = parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     joined = F.aggregate(

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_bucket, slices, small_batches
+from .common import crc_bucket, slices, small_batches, tidied
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -169,7 +169,7 @@ def train(labelled: DataFrame, bits: int = BITS, rows_per_language: int = ROWS_P
     language, picked by a hash of key and text over all of them.
     """
     labelled = labelled.filter("lang is not null and text is not null")
-    frequency = labelled.select("text").mapInArrow(_frequencies(bits), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    frequency = labelled.select("text").mapInArrow(tidied(_frequencies(bits)), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     df = np.zeros((1 << bits) + 1)
     for bucket, n in frequency:
         df[bucket] = n
@@ -178,7 +178,7 @@ def train(labelled: DataFrame, bits: int = BITS, rows_per_language: int = ROWS_P
     share = labelled.groupBy("lang").agg((F.lit(float(rows_per_language)) / F.count("*")).alias("share"))
     chance = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.join(F.broadcast(share), "lang").withColumn("chance", chance).filter("chance < share").select("lang", "text", F.pmod(F.hash("key", "text"), F.lit(CALIBRATION)).alias("part"))
-    rows = sample.mapInArrow(_features(bits), "lang string, part int, buckets binary, counts binary").limit(rows_per_language * 400).collect()
+    rows = sample.mapInArrow(tidied(_features(bits)), "lang string, part int, buckets binary, counts binary").limit(rows_per_language * 400).collect()
     rows.sort(key=lambda r: (bytes(r.buckets), r.lang))
     languages = sorted({r.lang for r in rows})
     if not languages:
@@ -246,7 +246,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = _model(docs, id_col, text_col, lang_col, folds, fold, bits)
     rows = _with_text(docs, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), held_out(F.col(f"`{id_col}`"), folds, fold).alias("held_out"), "__text", "__letters")
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(_score(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidied(_score(model)), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2, bits: int = BITS) -> DataFrame:
@@ -255,5 +255,5 @@ def accepted(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: st
     own = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     order = [f"__c{k}" for k in range(len(docs.columns))]  # own names: columns of docs may be called as ours
     renamed = _with_text(docs, text_col).toDF(*order, "__text", "__letters")
-    out = renamed.mapInArrow(_score(model), T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(order, docs.schema.fields, strict=True)), *own.fields[-2:]]))
+    out = renamed.mapInArrow(tidied(_score(model)), T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(order, docs.schema.fields, strict=True)), *own.fields[-2:]]))
     return out.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(n).alias(f.name) for n, f in zip(order, docs.schema.fields, strict=True)])

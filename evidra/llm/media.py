@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import stored, texts_of
+from .common import stored, texts_of, tidied
 
 FRAME = 192
 RATE = 8000
@@ -171,7 +171,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 part = [t or b"" for t in texts[i : i + 256]]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 256), pa.array([len(t) for t in part], pa.int64()), pa.array([write(padded(t)) for t in part], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return stored(texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary"), "media", **{"parquet.block.size": str(32 << 20)})
+    return stored(texts.mapInArrow(tidied(run), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary"), "media")
 
 
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, keyframes array<struct<offset:long,length:long>>"
@@ -199,4 +199,4 @@ def features(media: DataFrame) -> DataFrame:
 
     names = [x.split(" ")[0] for x in FEATURES.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))]
-    return media.mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, {FEATURES}")
+    return media.mapInArrow(tidied(run), f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, {FEATURES}")

@@ -21,7 +21,7 @@ WHITE = [9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x
 #: What the pattern takes after an apostrophe, in its order.
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 #: Distinct pre-tokens that a worker keeps before it starts anew.
-KEEP = 1_000_000
+KEEP = 300_000
 
 _kinds: list[np.ndarray] = []
 
@@ -127,8 +127,8 @@ def gather(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarra
 class Encoder:
     """Ids of texts. encode_new(words) -> (ids of all, ids of each) does the work for unseen pre-tokens."""
 
-    def __init__(self, path: str, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.path, self.special, self.encode_new, self.library = path, special_tokens(path), encode_new, None
+    def __init__(self, path: str, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], keep: int = KEEP):
+        self.keep, self.path, self.special, self.encode_new, self.library = keep, path, special_tokens(path), encode_new, None
         self.clear()
 
     def clear(self) -> None:
@@ -177,7 +177,7 @@ class Encoder:
         """Ids of texts without special tokens, and how many each text has."""
         if not texts:
             return np.zeros(0, np.uint16), np.zeros(0, np.int64)
-        if self.kept.n > KEEP:
+        if self.kept.n > self.keep:
             self.clear()
         whole, points, starts, ends, h, first, newer = split(texts)
         if newer:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import slices, stored, tidied
 from .pieces import Encoder, Library, byte_names, gather, tokenizer_path
 
 MAGIC = b"RPG2"
@@ -225,7 +225,7 @@ _encoders: dict[str, Encoder] = {}
 def encoder(path: str | None = None) -> Encoder:
     path = tokenizer_path(path)
     if path not in _encoders:
-        _encoders[path] = Encoder(path, Model(path))
+        _encoders[path] = Encoder(path, Model(path), 1_000_000)
     return _encoders[path]
 
 
@@ -272,7 +272,7 @@ def write_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield shard()
 
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(ordered.mapInArrow(run, FILES), "token-files", **{"parquet.block.size": str(16 << 20)})
+    return stored(ordered.mapInArrow(tidied(run), FILES), "token-files")
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -291,4 +291,4 @@ def read_files(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids, pa.int64()), pa.array(base + ends - f.sizes), pa.array(f.sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = files.join(F.broadcast(offsets), "part").select((F.col("offset") + F.col("base")).alias("start"), "file")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidied
 
 #: Fixed value: the magic number of the skippable frame that holds the dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -139,7 +139,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64()), pa.array([archive(held)], pa.binary())], names=["n_records", "file"])
 
-    out = stored(marked.mapInArrow(run, "n_records long, file binary"), "warc", "uncompressed", **{"parquet.block.size": str(32 << 20)})
+    out = stored(marked.mapInArrow(tidied(run), "n_records long, file binary"), "warc", "uncompressed")
     out.id_type = kind.simpleString()
     return out
 
@@ -170,5 +170,5 @@ def read_archives(archives: DataFrame, id_type: str = "long") -> DataFrame:
 
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "html"]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
-    read = archives.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, html string")
+    read = archives.mapInArrow(tidied(run), "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, html string")
     return read.withColumns({"page_id": F.col("page_id").cast(id_type), "refers_to": F.col("refers_to").cast(id_type)})
