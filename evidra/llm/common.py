@@ -111,6 +111,12 @@ FILE_BITS = 38
 NAME_BYTES = 64 << 20
 
 
+def settle(spark: SparkSession) -> None:
+    """Collect garbage on all executors, so that heaps which an earlier job made large shrink beside Python workers."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -21,7 +21,7 @@ WHITE = [9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x
 #: What the pattern takes after an apostrophe, in its order.
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 #: Distinct pre-tokens that a worker keeps before it starts anew.
-KEEP = 300_000
+KEEP = 200_000
 
 _kinds: list[np.ndarray] = []
 
