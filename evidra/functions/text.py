@@ -48,15 +48,21 @@ def text_or_null(content: Column) -> Column:
 def from_base64(text: Column, strict: bool = True) -> Column:
     """UTF-8 text of a base64 string; null if it isn't one. strict refuses characters outside the alphabet."""
     clean = text if strict else F.regexp_replace(text, "[^A-Za-z0-9+/=]", "")
-    good = clean.rlike(r"^[A-Za-z0-9+/]*={0,2}$") & (F.length(clean) % 4 == 0)
+    good = (F.length(clean) % 4 == 0) & _solid(clean)  # the decoder itself refuses other characters
     return F.when(good, text_or_null(F.try_to_binary(clean, F.lit("base64"))))
 
 
+def _solid(text: Column) -> Column:
+    """Whether there is no white space in a text."""
+    return F.translate(text, " \t\n\x0b\f\r", "") == text
+
+
 def from_hex(text: Column) -> Column:
     """UTF-8 text of pairs of hex digits, white space between them allowed; null if it isn't that."""
     words = F.split(text, r"\s+")
     good = ~text.rlike(r"[^0-9A-Fa-f\s]") & F.forall(words, lambda w: F.length(w) % 2 == 0)
-    return F.when(good, text_or_null(F.unhex(F.regexp_replace(text, r"\s", ""))))
+    spaced = F.when(good, text_or_null(F.unhex(F.regexp_replace(text, r"\s", ""))))
+    return F.when(_solid(text), F.when(F.length(text) % 2 == 0, text_or_null(F.unhex(text)))).otherwise(spaced)
 
 
 def _points(text: Column, digits: str, base: int) -> Column:
@@ -123,3 +129,9 @@ def pdf_tail(content: Column) -> Column:
     text = latin1(content)
     cut = F.regexp_extract(text, r"(?s)^(.*%%EOF[\n\r \t]{0,10})", 1)
     return F.when(cut != "", F.encode(cut, "ISO-8859-1")).otherwise(content)
+
+
+def sized_text(report: Column) -> Column:
+    """A metadata report up to the size that ends its attributes; all of it without one."""
+    cut = F.regexp_extract(report, r"(?s)^(.*?init_size: \d+)", 1)
+    return F.when(cut != "", cut).otherwise(report)

@@ -16,7 +16,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Spans = Iterator[tuple[int, int]]
@@ -30,11 +30,15 @@ BMP_BYTES, BMP_SIDE = (100, 5_000_000), 10_000
 
 def between(head: bytes, tail: bytes) -> Callable[[bytes], Spans]:
     """Files from a header to the first footer after it; the search goes on behind the footer."""
-    pattern = re.compile(re.escape(head) + b".*?" + re.escape(tail), re.DOTALL)
 
     def spans(data: bytes) -> Spans:
-        for m in pattern.finditer(data):
-            yield m.span()
+        start = data.find(head)
+        while start >= 0:
+            end = data.find(tail, start + len(head))
+            if end < 0:  # no footer follows, so none of the later headers has one
+                return
+            yield start, end + len(tail)
+            start = data.find(head, end + len(tail))
 
     return spans
 
@@ -273,3 +277,41 @@ def exif_tags(files: DataFrame, key: str, content: str = "content") -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field(0).type), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=[key, "tag", "value"])
 
     return files.select(key, content).mapInArrow(run, f"`{key}` {files.schema[key].dataType.simpleString()}, tag string, value string")
+
+
+def numbered(carved: DataFrame) -> DataFrame:
+    """carved with row, from 1 in each image, in the order in which files are found: by offset."""
+    return carved.withColumn("row", F.row_number().over(Window.partitionBy("image_id").orderBy("offset", "type")))
+
+
+def looked_up(names: DataFrame, carved: DataFrame) -> DataFrame:
+    """names(image_id, name) with the size, type and time of the recovered file of that name; the first one counts."""
+    first = carved.groupBy("image_id", "name").agg(F.min_by(F.struct("offset", "type", "size", "mtime"), "offset").alias("x")).select("image_id", "name", "x.*")
+    return names.join(first, ["image_id", "name"], "left")
+
+
+def named_offset(name: Column) -> Column:
+    """The offset that a recovered file's name tells; null for other names."""
+    return F.conv(F.regexp_extract(name, r"^([0-9a-f]+)\.[^.]*$", 1), 16, 10).cast("long")
+
+
+def reread(names: DataFrame, chunks: DataFrame) -> DataFrame:
+    """names(image_id, name, size) with content: the image's bytes at the offset in the name, cut out of its chunk."""
+    wanted = names.select("image_id", "name", "size", named_offset(F.col("name")).alias("at"))
+    held = chunks.select("image_id", "offset", "len", "bytes")
+    width = held.agg(F.max("len")).first()[0] or 1
+    keyed = held.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("offset") / width).cast("long"), F.floor((F.col("offset") + F.greatest("len", F.lit(1)) - 1) / width).cast("long"))))
+    own = wanted.withColumn("bucket", F.floor(F.col("at") / width).cast("long")).join(keyed, ["image_id", "bucket"])
+    inside = own.filter((F.col("at") >= F.col("offset")) & (F.col("at") < F.col("offset") + F.col("len")))
+    return inside.select("image_id", "name", "size", F.col("bytes").substr((F.col("at") - F.col("offset") + 1).cast("int"), F.col("size").cast("int")).alias("content"))
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ok = [valid(t or "", c.as_py() or b"") for t, c in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=[*batch.schema.names[:2], "valid"])
+
+
+def validity(files: DataFrame, key: str, kind: str = "type", content: str = "content") -> DataFrame:
+    """(key, type, valid): whether each file has the structure of its type."""
+    return files.select(key, kind, content).mapInArrow(_checked, f"`{key}` {files.schema[key].dataType.simpleString()}, `{kind}` string, valid boolean")

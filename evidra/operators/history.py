@@ -1,4 +1,5 @@
-"""Ordered folds: a request limiter and a browser's history. One key's rows are folded in order, in the JVM."""
+"""Ordered folds: a request limiter and a browser's history. A key's rows stream in order through a task, by a loop in Python
+over Arrow batches, and only the fold's state is held."""
 
 from __future__ import annotations
 

@@ -3,23 +3,72 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import LINE, hex_line, latin1
+from ..functions.text import LINE
 
 PAGE_LINES = 1024
 PAGE_CHARS = 2000
 
 
+#: Each byte as it shows beside its hex digits.
+_SHOWN = bytes(b if 0x20 <= b <= 0x7E else 0x2E for b in range(256))
+#: Rows of one batch of lines or matches.
+_ROWS = 1 << 15
+
+
 def hex_lines(files: DataFrame, key: str, content: str = "content", first_line: int = 0, lines: int | None = None) -> DataFrame:
-    """(key, page, line_no, line) of 16 bytes each; only the lines asked for are made."""
-    total = F.ceil(F.octet_length(content) / LINE)
-    stop = total if lines is None else F.least(total, F.lit(first_line + lines))
-    numbered = files.filter(stop > first_line).select(key, content, F.explode(F.sequence(F.lit(first_line).cast("long"), (stop - 1).cast("long"))).alias("line_no"))
-    chunk = F.col(content).substr((F.col("line_no") * LINE + 1).cast("int"), F.lit(LINE))
-    return numbered.select(key, F.floor(F.col("line_no") / PAGE_LINES).cast("long").alias("page"), "line_no", hex_line(chunk, F.col("line_no") * LINE).alias("line"))
+    """(key, page, line_no, line) of 16 bytes each; only the lines asked for are made.
+
+    Each content is turned to hex once and the lines are cut out of it, so the work grows with its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, c in enumerate(batch.column(1)):
+                data = c.as_py() or b""
+                stop = -(-len(data) // LINE)
+                stop = stop if lines is None else min(stop, first_line + lines)
+                for a in range(first_line, stop, _ROWS):
+                    b = min(stop, a + _ROWS)
+                    part = data[a * LINE : b * LINE]
+                    digits, shown = part.hex(" ").upper(), part.translate(_SHOWN).decode("ascii")
+                    made = [f"0x{(a + i) * LINE:08x}: {digits[48 * i : 48 * i + 47]:<48}  {shown[LINE * i : LINE * i + LINE]}" for i in range(b - a)]
+                    no = np.arange(a, b)
+                    yield pa.RecordBatch.from_arrays([_repeated(batch.column(0), k, b - a), pa.array(no // PAGE_LINES), pa.array(no), pa.array(made)], names=[key, "page", "line_no", "line"])
+
+    return files.select(key, content).mapInArrow(run, f"`{key}` {files.schema[key].dataType.simpleString()}, page long, line_no long, line string")
+
+
+def _repeated(column: pa.Array, k: int, n: int) -> pa.Array:
+    return column.take(pa.array(np.full(n, k)))
+
+
+def _places(needle: str | bytes, step: int, key: str, kind: str):
+    """Of (key, value) rows, (key, position) of the needle, looked for again `step` places after each match."""
+    if not needle:
+        raise ValueError("nothing to look for")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, rows = [], []
+            for k, value in enumerate(batch.column(1)):
+                value = value.as_py() or needle[:0]
+                at = value.find(needle)
+                while at >= 0:
+                    found.append(at)
+                    rows.append(k)
+                    if len(found) == _ROWS:
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(found, pa.int64())], names=[key, "position"])
+                        found, rows = [], []
+                    at = value.find(needle, at + step)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.int64())], names=[key, "position"])
+
+    return run, f"`{key}` {kind}, position long"
 
 
 def text_pages(files: DataFrame, key: str, text: str = "text", size: int = PAGE_CHARS) -> DataFrame:
@@ -31,29 +80,20 @@ def text_pages(files: DataFrame, key: str, text: str = "text", size: int = PAGE_
 
 def text_positions(files: DataFrame, key: str, needle: str, text: str = "text", size: int = PAGE_CHARS) -> DataFrame:
     """(key, position, page, column) of matches that don't overlap, case counted; columns from 0."""
-    parts = F.split(F.col(text), re.escape(needle), -1)
-    pieces = files.select(F.monotonically_increasing_id().alias("__row"), key, parts.alias("parts")).filter(F.size("parts") > 1)
-    # only the pieces' lengths go to the window, a text's in one place
-    sizes = pieces.select("__row", key, F.size("parts").alias("n"), F.posexplode(F.transform("parts", F.length)).alias("__k", "__size"))
-    upto = F.sum("__size").over(Window.partitionBy("__row").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0))
-    found = sizes.withColumn("position", upto + F.col("__k") * len(needle)).filter(F.col("__k") < F.col("n") - 1)
+    found = files.select(key, text).mapInArrow(*_places(needle, len(needle), key, files.schema[key].dataType.simpleString()))
     return found.select(key, "position", F.floor(F.col("position") / size).cast("long").alias("page"), F.pmod("position", F.lit(size)).alias("column"))
 
 
 def byte_lines(files: DataFrame, key: str, needle: bytes, content: str = "content", overlapping: bool = True) -> DataFrame:
-    """(key, position, line_no) of a byte string in contents.
-
-    Positions of a Latin-1 view are byte offsets; overlapping matches come from trying each place that the
-    first byte has."""
-    text = latin1(F.col(content))
-    wanted = needle.decode("latin-1")
-    if not overlapping:
-        found = text_positions(files.select(key, text.alias("text")), key, wanted)
-        return found.select(key, "position", F.floor(F.col("position") / LINE).cast("long").alias("line_no"))
-    heads = text_positions(files.select(key, text.alias("text")), key, wanted[0])
-    near = files.select(key, content).join(heads.select(key, "position"), key)
-    hit = near.filter(F.col(content).substr((F.col("position") + 1).cast("int"), F.lit(len(needle))) == F.lit(needle))
-    return hit.select(key, "position", F.floor(F.col("position") / LINE).cast("long").alias("line_no"))
+    """(key, position, line_no) of a byte string in contents, each row for itself; overlapping matches if asked for."""
+    found = files.select(key, content).mapInArrow(*_places(needle, 1 if overlapping else len(needle), key, files.schema[key].dataType.simpleString()))
+    return found.select(key, "position", F.floor(F.col("position") / LINE).cast("long").alias("line_no"))
+
+
+def query_kinds(query: Column) -> Column:
+    """query_kind()'s first answer for a column of search texts."""
+    plain = F.replace(query, F.lit(" "), F.lit(""))
+    return F.when((F.length(plain) % 2 == 0) & plain.rlike("^[0-9A-Fa-f]+$"), F.lit("bytes")).when(query.rlike("^0[xX][0-9A-Fa-f]+$"), F.lit("address")).otherwise(F.lit("string"))
 
 
 def query_kind(query: str) -> tuple[str, bytes | int | str]:

@@ -47,3 +47,15 @@ def windows_version(values: DataFrame, key: str = "hive") -> DataFrame:
     line = lambda pattern, *columns: F.format_string(pattern, *columns)
     text = F.concat_ws("\n", line("%s Version %s", "ProductName", "CurrentVersion"), line("Build %s %s", "CurrentBuild", "CSDVersion"), line("Owner: %s", "RegisteredOwner"), line("Product ID: %s", "ProductId"))
     return found.withColumn("summary", text)
+
+
+#: Where a Windows volume keeps its hives.
+HIVES = {name: f"/Windows/System32/config/{name}" for name in ("SOFTWARE", "SYSTEM", "SAM", "SECURITY", "DEFAULT", "COMPONENTS")}
+
+
+def hive_files(entries: DataFrame, volumes: DataFrame, path: str) -> DataFrame:
+    """The entries that are the hive at a path, on NTFS volumes only; letters count alike in either case.
+
+    entries(image_id, start_offset, path, ...), volumes(image_id, start, fs_type)."""
+    ntfs = volumes.filter("fs_type = 'NTFS'").select("image_id", F.col("start").alias("start_offset"))
+    return entries.filter(F.lower("path") == path.lower()).join(ntfs, ["image_id", "start_offset"], "left_semi")

@@ -97,3 +97,13 @@ def with_child_flag(entries: DataFrame) -> DataFrame:
 def under(entries: DataFrame, prefix: str) -> DataFrame:
     """Entries below a path; what an export of it copies."""
     return entries.filter(F.col("path").startswith(prefix.rstrip("/") + "/"))
+
+
+def locate(entries: DataFrame, inode: int, start_offset: int) -> DataFrame:
+    """The entry with an inode on a volume: of several names, the first in path order."""
+    return entries.filter((F.col("inode") == inode) & (F.col("start_offset") == start_offset)).orderBy("path").limit(1)
+
+
+def described(volumes: DataFrame) -> DataFrame:
+    """Partitions whose description isn't empty."""
+    return volumes.filter("desc <> ''")

@@ -32,30 +32,43 @@ def allocated_intervals(entries: DataFrame, block_size: Column) -> DataFrame:
     return entries.filter("is_allocated and size > 0").select("image_id", start.alias("start"), (start + F.col("size")).alias("end"))
 
 
-def islands(intervals: DataFrame, *keys: str, start: str = "start", end: str = "end") -> DataFrame:
-    """The union of intervals as intervals apart from one another, by key."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.withColumn("new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
-    numbered = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island")
+def islands(intervals: DataFrame, *keys: str, start: str = "start", end: str = "end", width: int = CHUNK) -> DataFrame:
+    """The union of intervals as intervals apart from one another, by key.
+
+    Intervals are ordered within the buckets of `width` in which they start, so a key's intervals spread over many
+    tasks. What reaches into a bucket from earlier ones, and which island goes on there, comes from one row for each
+    bucket."""
+    groups = [*keys, "bucket"]
+    placed = intervals.select(*keys, F.col(start).alias("lo"), F.col(end).alias("hi"), F.floor(F.col(start) / width).cast("long").alias("bucket"))
+    earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    into = placed.groupBy(*groups).agg(F.max("hi").alias("top")).select(*groups, F.max("top").over(earlier).alias("into"))
+    order = Window.partitionBy(*groups).orderBy("lo", "hi")
+    reach = F.greatest(F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), "into")
+    marked = placed.join(into, groups).withColumn("new", F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0))
+    counted = marked.withColumn("n", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    begun = counted.groupBy(*groups).agg(F.max("n").alias("n"))
+    going = begun.select(*groups, F.max(F.when(F.col("n") > 0, F.struct("bucket", "n"))).over(earlier).alias("going"))
+    island = F.when(F.col("n") > 0, F.struct("bucket", "n")).otherwise(F.col("going"))
+    return counted.join(going, groups).groupBy(*keys, island.alias("island")).agg(F.min("lo").alias(start), F.max("hi").alias(end)).drop("island")
 
 
 def free_chunks(chunks: DataFrame, intervals: DataFrame, width: int = CHUNK) -> DataFrame:
     """Chunks (image_id, offset, len) that no interval (image_id, start, end) overlaps.
 
     Both sides are keyed by the buckets of `width` bytes that they touch, so the overlap test is a residual
-    of an equi-join. Intervals are merged within each bucket first: however many files lie in a chunk, a
-    bucket joins with one row that has its least start and largest end, if that settles it, and with the
-    islands inside it otherwise.
+    of an equi-join. Intervals are cut at the buckets' edges and merged within each bucket first, so a chunk meets
+    the islands of its buckets only, however many files lie there.
     """
     bucket = lambda a, b: F.explode(F.sequence(F.floor(a / width).cast("long"), F.floor((b - 1) / width).cast("long")))
     cut = intervals.filter(F.col("end") > F.col("start")).withColumn("bucket", bucket(F.col("start"), F.col("end")))
     low, high = F.greatest("start", F.col("bucket") * width), F.least("end", (F.col("bucket") + 1) * width)
-    cut = cut.select("image_id", "bucket", low.alias("start"), high.alias("end")).groupBy("image_id", "bucket", "start").agg(F.max("end").alias("end"))
-    probes = chunks.filter("len > 0").withColumn("bucket", bucket(F.col("offset"), F.col("offset") + F.col("len")))
-    hit = probes.alias("p").join(cut.alias("c"), (F.col("p.image_id") == F.col("c.image_id")) & (F.col("p.bucket") == F.col("c.bucket")) & (F.col("p.offset") < F.col("c.end")) & (F.col("p.offset") + F.col("p.len") > F.col("c.start")), "left_semi")
-    return chunks.join(hit.select("image_id", "offset").distinct(), ["image_id", "offset"], "left_anti")
+    order = Window.partitionBy("image_id", "bucket").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = cut.select("image_id", "bucket", low.alias("start"), high.alias("end")).withColumn("new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
+    merged = marked.withColumn("n", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("image_id", "bucket", "n").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    probes = chunks.filter("len > 0").select("image_id", "offset", "len").withColumn("bucket", bucket(F.col("offset"), F.col("offset") + F.col("len")))
+    hit = probes.alias("p").join(merged.alias("c"), (F.col("p.image_id") == F.col("c.image_id")) & (F.col("p.bucket") == F.col("c.bucket")) & (F.col("p.offset") < F.col("c.end")) & (F.col("p.offset") + F.col("p.len") > F.col("c.start")), "left_semi")
+    return chunks.join(hit.select("image_id", "offset", "len"), ["image_id", "offset", "len"], "left_anti")
 
 
 def read_range(chunks: DataFrame, start: int, length: int) -> DataFrame:
@@ -79,3 +92,33 @@ def image_summary(images: DataFrame, volumes: DataFrame) -> DataFrame:
     n = volumes.groupBy("image_id").agg(F.count("*").alias("partitions"))
     status = F.when(F.col("partitions") > 0, F.lit("partitioned")).when(F.col("has_fs"), F.lit("single_fs")).otherwise(F.lit("wiped"))
     return images.join(n, "image_id", "left").withColumn("partitions", F.coalesce("partitions", F.lit(0))).select("image_id", "size", F.floor(F.col("size") / SECTOR).cast("long").alias("sectors"), "partitions", status.alias("status"))
+
+
+def progress(done: Column, total: Column) -> Column:
+    """Percentage done, 100 at most; null without a total."""
+    return F.when(total > 0, F.least(F.lit(100.0), done / total * 100))
+
+
+def partition_details(volumes: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """What is known of each partition, a row each: place, size, blocks, kind, flags, and on NTFS the Windows version.
+
+    volumes(image_id, addr, desc, start, length, fs_type, block_size, block_count, is_alloc, label); versions
+    (image_id, addr, summary) of software hives. Missing values are `N/A`."""
+    own = volume_stats(volumes)
+    if versions is not None:
+        own = own.join(versions.select("image_id", "addr", F.col("summary").alias("os_version")), ["image_id", "addr"], "left")
+    else:
+        own = own.withColumn("os_version", F.lit(None).cast("string"))
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
+    version = F.when(F.col("fs_type") == "NTFS", shown("os_version")).otherwise(F.lit("N/A"))
+    return own.select("image_id", "addr", shown("desc").alias("desc"), "start", "end", "length", "size", shown("fs_type").alias("fs_type"), shown("block_size").alias("block_size"), shown("block_count").alias("block_count"), F.when(F.col("is_alloc"), F.lit("Allocated")).otherwise(F.lit("Unallocated")).alias("status"), shown("label").alias("label"), version.alias("os_version"))
+
+
+def with_evidence(listed: DataFrame, more: DataFrame) -> DataFrame:
+    """The list of images with more of them, each path once."""
+    return listed.unionByName(more).distinct()
+
+
+def without_evidence(listed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The list of images without some, by path."""
+    return listed.join(gone.select("path").distinct(), "path", "left_anti")

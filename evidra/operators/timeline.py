@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FLAGS = "macb"
+#: Fixed value: the first line of the CSV layout.
 CSV_HEADER = "Date,Size,Type,Mode,UID,GID,Meta,File Name"
 
 
@@ -30,11 +31,20 @@ def events(body: DataFrame, start: int = 0, stop: int = 0) -> DataFrame:
     Times before start, at or after stop (0: none), or negative are left out. The unpivot is a projection
     and the letters are maxima, so partial aggregation goes before the shuffle.
     """
+    return _grouped(sane(body, start), start, stop)
+
+
+def _grouped(rows: DataFrame, start: int, stop: int, *carried: str) -> DataFrame:
+    """events() of sane rows; carried columns are the same in all rows of a file."""
     stack = F.explode(F.array(*[F.struct(F.col(t).cast("long").alias("ts"), F.lit(k).alias("k")) for t, k in (("mtime", "m"), ("atime", "a"), ("ctime", "c"), ("crtime", "b"))])).alias("e")
-    rows = sane(body, start).select(F.col("inode").cast("string").alias("inode"), "file", stack).select("e.ts", "e.k", "inode", "file").filter((F.col("ts") >= max(0, start)) & (F.lit(stop == 0) | (F.col("ts") < stop)))
+    rows = rows.select(F.col("inode").cast("string").alias("inode"), "file", *carried, stack).select("e.ts", "e.k", "inode", "file", *carried).filter((F.col("ts") >= max(0, start)) & (F.lit(stop == 0) | (F.col("ts") < stop)))
     flags = [F.max(F.when(F.col("k") == k, F.lit(k)).otherwise(F.lit(""))).alias(k) for k in FLAGS]
     shown = F.concat(*[F.when(F.col(k) == "", F.lit(".")).otherwise(F.col(k)) for k in FLAGS])
-    return rows.groupBy("ts", "inode", "file").agg(*flags).select("ts", "inode", "file", shown.alias("macb"))
+    return rows.groupBy("ts", "inode", "file").agg(*flags, *[F.first(c).alias(c) for c in carried]).select("ts", "inode", "file", shown.alias("macb"), *carried)
+
+
+def _attributes() -> Column:
+    return F.struct("mode", F.col("uid").cast("string").alias("uid"), F.col("gid").cast("string").alias("gid"), "size")
 
 
 def attributes(body: DataFrame, users: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
@@ -42,12 +52,16 @@ def attributes(body: DataFrame, users: DataFrame | None = None, groups: DataFram
 
     users and groups (id, names) replace ids by names, white space by slashes; other ids stay.
     """
-    last = sane(body).groupBy("file").agg(F.max_by(F.struct("mode", F.col("uid").cast("string").alias("uid"), F.col("gid").cast("string").alias("gid"), "size"), "row_no").alias("x")).select("file", "x.*")
+    last = sane(body).groupBy("file").agg(F.max_by(_attributes(), "row_no").alias("x")).select("file", "x.*")
+    return _named(last, users, groups).select("file", "mode", "uid", "gid", "size")
+
+
+def _named(rows: DataFrame, users: DataFrame | None, groups: DataFrame | None) -> DataFrame:
     for column, names in (("uid", users), ("gid", groups)):
         if names is not None:
             own = names.select(F.col("id").cast("string").alias(column), F.regexp_replace("names", r"\s", "/").alias("names")).dropDuplicates([column])
-            last = last.join(own, column, "left").withColumn(column, F.coalesce("names", column)).drop("names")
-    return last.select("file", "mode", "uid", "gid", "size")
+            rows = rows.join(own, column, "left").withColumn(column, F.coalesce("names", column)).drop("names")
+    return rows
 
 
 def names_by_id(lines: DataFrame) -> DataFrame:
@@ -57,20 +71,43 @@ def names_by_id(lines: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "name"))), lambda x: x["name"]), " ").alias("names"))
 
 
-def date_text(ts: Column, style: str = "unix") -> Column:
-    """`Mon Jan 01 2024 00:00:00` (unix), with a month number (numeric) or `2024-01-01T00:00:00Z` (iso), UTC."""
+def zone(name: str) -> str:
+    """The name of a time zone, or ValueError if it isn't one."""
+    import zoneinfo
+
+    try:
+        zoneinfo.ZoneInfo(name)
+    except (zoneinfo.ZoneInfoNotFoundError, ValueError) as e:
+        raise ValueError(f"invalid timezone: {name}") from e
+    return name
+
+
+def date_text(ts: Column, style: str = "unix", tz: str = "UTC") -> Column:
+    """`Mon Jan 01 2024 00:00:00` (unix), with a month number (numeric) or `2024-01-01T00:00:00Z` (iso), in a time
+    zone; the session's own is UTC. Time 0 is a row of zeros."""
+    #: How the layouts write dates, and time 0.
     pattern, zero = {"unix": ("EEE MMM dd yyyy HH:mm:ss", "Xxx Xxx 00 0000 00:00:00"), "numeric": ("EEE MM dd yyyy HH:mm:ss", "Xxx Xxx 00 0000 00:00:00"), "iso": ("yyyy-MM-dd'T'HH:mm:ss'Z'", "0000-00-00T00:00:00Z")}[style]
-    return F.when(ts == 0, F.lit(zero)).otherwise(F.date_format(F.timestamp_seconds(ts), pattern))
+    at = F.timestamp_seconds(ts)
+    return F.when(ts == 0, F.lit(zero)).otherwise(F.date_format(at if tz == "UTC" else F.from_utc_timestamp(at, zone(tz)), pattern))
 
 
 def timeline(body: DataFrame, start: int = 0, stop: int = 0, users: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
-    """Events with their file's attributes."""
-    return events(body, start, stop).join(attributes(body, users, groups), "file")
+    """Events with their file's attributes: those of the last row with the file's name.
+
+    One shuffle by file serves both: a window adds the last attributes to each body row, and the events of a file
+    are grouped where it already is."""
+    rows = sane(body).withColumn("x", F.max_by(_attributes(), "row_no").over(Window.partitionBy("file")))
+    return _named(_grouped(sane(rows, start), start, stop, "x").select("ts", "inode", "file", "macb", "x.*"), users, groups)
+
 
+def ordered(rows: DataFrame) -> DataFrame:
+    """A timeline in the order in which it is printed: by time, then the inode as text, then the name."""
+    return rows.orderBy("ts", F.col("inode").cast("string"), "file")
 
-def csv_lines(rows: DataFrame, style: str = "unix") -> DataFrame:
+
+def csv_lines(rows: DataFrame, style: str = "unix", tz: str = "UTC") -> DataFrame:
     """(ts, inode, file, line) in the CSV layout; quotes in file names are doubled."""
-    line = F.concat_ws(",", date_text(F.col("ts"), style), F.col("size").cast("string"), "macb", "mode", "uid", "gid", "inode", F.concat(F.lit('"'), F.replace("file", F.lit('"'), F.lit('""')), F.lit('"')))
+    line = F.concat_ws(",", date_text(F.col("ts"), style, tz), F.col("size").cast("string"), "macb", "mode", "uid", "gid", "inode", F.concat(F.lit('"'), F.replace("file", F.lit('"'), F.lit('""')), F.lit('"')))
     return rows.select("ts", "inode", "file", line.alias("line"))
 
 
@@ -93,6 +130,12 @@ def counts(rows: DataFrame, unit: str = "day") -> DataFrame:
     return rows.groupBy(at.alias("period")).agg(F.count("*").alias("n"), F.min("ts").alias("first")).filter("first > 0").select("period", "n")
 
 
+def index_lines(rows: DataFrame, unit: str = "day") -> DataFrame:
+    """(period, line) of an index of the timeline: `Mon Jan 01 2024: 12`, by hour with the time."""
+    pattern = {"day": "EEE MMM dd yyyy", "hour": "EEE MMM dd yyyy HH:mm:ss"}[unit]
+    return counts(rows, unit).select("period", F.concat(F.date_format("period", pattern), F.lit(": "), F.col("n").cast("string")).alias("line"))
+
+
 def iso_range(text: str) -> tuple[int, int]:
     """(start, stop) in epoch seconds of `date` or `date..date`, UTC; stop 0 is open. Others raise ValueError."""
     import datetime

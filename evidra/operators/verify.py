@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.scalar import digests
@@ -62,3 +62,11 @@ def duplicates(rows: DataFrame, key: str, digest: str = "sha256") -> DataFrame:
 def known(rows: DataFrame, hashes: DataFrame, digest: str = "md5", flagged: bool = True) -> DataFrame:
     """Rows whose digest is (or isn't) in a set of known hashes."""
     return rows.join(hashes.select(digest).distinct(), digest, "left_semi" if flagged else "left_anti")
+
+
+def observed(rows: DataFrame, size: str = "size", name: str = "progress") -> tuple[DataFrame, Observation]:
+    """rows as they are, and what tells, once they have been read, how many rows and bytes went through.
+
+    In a stream the same numbers come with each progress report under the name."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")), seen

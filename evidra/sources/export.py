@@ -76,3 +76,35 @@ def zipped(name: pd.Series, content: pd.Series) -> pd.Series:
 def converted_name(path: Column, kind: str) -> Column:
     """Name of a raw copy: the stem and dd or raw."""
     return F.concat(F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", ""), F.lit(f".{kind}"))
+
+
+def raw_copy(chunks: DataFrame, folder: str, kind: str = "dd") -> DataFrame:
+    """Write images(image_id, offset, len, bytes) as raw files under a folder that every machine mounts: (image_id,
+    path, offset, size) of what each task wrote.
+
+    Every chunk goes to its own place in the file, so tasks need no order, and one that runs again writes the same
+    bytes. Chunks' overlaps are left out. The result must be consumed for the files to be written.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for image, at, n, data, path in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                path = os.path.join(folder, path)
+                with open(path, "r+b" if os.path.exists(path) else "xb") as f:
+                    f.seek(at)
+                    f.write(data[:n])
+                rows.append((image, path, at, n))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["image_id", "path", "offset", "size"])
+
+    # one task creates an image's file: its chunks start with the row that comes first
+    ordered = chunks.select(F.col("image_id").cast("string"), F.col("offset").cast("long"), F.col("len").cast("long"), "bytes", converted_name(F.col("image_id"), kind).alias("path"))
+    return ordered.repartition("image_id").sortWithinPartitions("image_id", "offset").mapInArrow(run, "image_id string, path string, offset long, size long")
+
+
+def hex_html(lines: DataFrame, key: str) -> DataFrame:
+    """(key, page, html): each page of hex lines as an HTML table; one row a page, 1,024 lines at most."""
+    escaped = F.replace(F.replace(F.replace("line", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    row = F.struct("line_no", F.concat(F.lit("<tr><td><pre>"), escaped, F.lit("</pre></td></tr>")).alias("row"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["row"]), "")
+    return lines.groupBy(key, "page").agg(F.concat(F.lit("<html><body><table>"), body, F.lit("</table></body></html>")).alias("html"))

@@ -7,8 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from evidra.operators import history, registry, search, space, timeline, verify
-from evidra.sources import bodyfile
+from evidra.operators import history, paging, registry, search, space, timeline, verify
+from evidra.sources import bodyfile, export
 
 
 def test_overlaps_and_islands(spark):
@@ -146,3 +146,60 @@ def test_scalar_defaults_of_reports(spark):
     up = spark.createDataFrame([('{"data":{"id":"q","attributes":{"sha256":"s","date":5}}}',)], "report string")
     assert tuple(reports.upload_receipt(up).select("id", "sha256", "date").first()) == ("q", "s", "5")
     assert F is not None
+
+
+def test_rows_with_equal_keys_are_searched_apart(spark):
+    rows = spark.createDataFrame([(1, bytearray(b"banana ana")), (1, bytearray(b"xana")), (2, None), (3, bytearray(b""))], "k long, content binary")
+    got = sorted((r.k, r.position) for r in paging.byte_lines(rows, "k", b"ana").collect())
+    assert got == [(1, 1), (1, 1), (1, 3), (1, 7)]
+    assert sorted((r.k, r.position) for r in paging.byte_lines(rows, "k", b"ana", overlapping=False).collect()) == [(1, 1), (1, 1), (1, 7)]
+    plan = paging.byte_lines(rows, "k", b"ana")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    with pytest.raises(ValueError):
+        paging.byte_lines(rows, "k", b"")
+
+
+@pytest.mark.parametrize("width", [7, 50, 10_000])
+def test_islands_over_buckets(spark, width):
+    """Intervals of one key that span buckets, against a plain sweep."""
+    rnd = random.Random(4)
+    rows = [(k % 2, a, a + rnd.choice([1, 3, 40, 200])) for k in range(300) for a in [rnd.randrange(5000)]]
+    want = set()
+    for key in (0, 1):
+        lo = hi = None
+        for _, a, b in sorted(r for r in rows if r[0] == key):
+            if hi is None or a > hi:
+                if hi is not None:
+                    want.add((key, lo, hi))
+                lo, hi = a, b
+            hi = max(hi, b)
+        want.add((key, lo, hi))
+    df = spark.createDataFrame(rows, "k long, start long, end long")
+    assert {(r.k, r.start, r.end) for r in space.islands(df, "k", width=width).collect()} == want
+
+
+def test_chunks_of_one_offset_stay_apart(spark):
+    chunks = spark.createDataFrame([("d", 0, 10), ("d", 0, 100), ("d", 300, 10)], "image_id string, offset long, len long")
+    taken = spark.createDataFrame([("d", 50, 60), ("d", 55, 58), ("d", 200, 290)], "image_id string, start long, end long")
+    assert {(r.offset, r.len) for r in space.free_chunks(chunks, taken, 32).collect()} == {(0, 10), (300, 10)}
+
+
+def test_timeline_reads_its_body_once(spark, sf_dir):
+    from evidra.catalog import QUERIES
+
+    plan = QUERIES["timeline_attributes"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2  # orders and their lines
+
+
+def test_time_zones():
+    assert timeline.zone("Asia/Tokyo") == "Asia/Tokyo"
+    with pytest.raises(ValueError):
+        timeline.zone("Nowhere/Here")
+
+
+def test_raw_copies_and_progress(spark, tmp_path):
+    data = bytes(range(256)) * 40
+    chunks = spark.createDataFrame([("/x/disk.e01", a, 1000, bytearray(data[a : a + 1100])) for a in range(0, 10_000, 1000)] + [("/x/disk.e01", 10_000, 240, bytearray(data[10_000:]))], "image_id string, offset long, len int, bytes binary")
+    rows, seen = verify.observed(export.raw_copy(chunks.repartition(4), str(tmp_path)), "size")
+    assert {r.path for r in rows.collect()} == {str(tmp_path / "disk.dd")}
+    assert (tmp_path / "disk.dd").read_bytes() == data and seen.get == {"rows": 11, "bytes": len(data)}
