@@ -37,10 +37,11 @@ BUCKET, BLOCK = 256, 2048
 ALIKE = 0.5
 
 
-def runs_for(recall: float, threshold: float) -> int:
-    """Runs after which a pair at the threshold has met with the target recall."""
-    shared = 2 * threshold / (1 + threshold) / threshold  # picks of one run that both texts make
-    return max(1, math.ceil(math.log(1 - recall) / -shared))
+def runs_for(recall: float, threshold: float, depth: int = 0) -> int:
+    """Runs after which a pair at the threshold has met with the target recall, in a bucket that is split `depth` times."""
+    shared = 2 * threshold / (1 + threshold)  # share of a text's picks that the other makes as well
+    again = 1 - math.exp(-DEEPER * shared)  # chance of meeting once more in one split
+    return max(1, math.ceil(math.log(1 - recall) / -(shared / threshold * again**depth)))
 
 
 def picks(sample: np.ndarray, seed: int, rate: float) -> np.ndarray:
@@ -133,7 +134,7 @@ def _sets(width: int, bits):
         for batch in batches:
             batch = batch.filter(pa.array(Marks.has(bits.value, batch.column("mark").to_numpy())))
             for first, _, seqs, _, _ in sequences(batch.column("text"), width):
-                own = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in seqs]
+                own = [np.unique(s).tobytes() for s in seqs]
                 yield pa.RecordBatch.from_arrays([batch.column("rid").slice(first, len(own)), pa.array(own, pa.binary())], names=["rid", "set"])
 
     return run
@@ -144,7 +145,7 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     row = np.repeat(np.arange(n), size)
-    token, column, df = np.unique(np.concatenate(sets) if n else np.zeros(0, np.uint32), return_inverse=True, return_counts=True)
+    token, column, df = np.unique(np.concatenate(sets) if n else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
     shared = df[column] > 1
     row, column = row[shared], (np.cumsum(df > 1) - 1)[column[shared]]
     width = int((df > 1).sum())
@@ -183,7 +184,7 @@ def _edges(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("rid").sort_values("rid")
         rid = rows["rid"].to_numpy()
-        root = connected(similar([np.frombuffer(s, np.uint32) for s in rows["set"]], threshold))
+        root = connected(similar([np.frombuffer(s, np.uint64) for s in rows["set"]], threshold))
         other = root != np.arange(len(root))
         return pd.DataFrame({"a": rid[other], "b": rid[root[other]]})
 
@@ -193,7 +194,7 @@ def _edges(threshold: float):
 def _counts(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rid")
-        link = similar([np.frombuffer(s, np.uint32) for s in rows["set"]], threshold)
+        link = similar([np.frombuffer(s, np.uint64) for s in rows["set"]], threshold)
         np.fill_diagonal(link, False)
         if rows["i"].iloc[0] != rows["j"].iloc[0]:  # two blocks: pairs across them only
             side = rows["block"].to_numpy()
@@ -220,7 +221,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     first and give a null class. Rows with equal ids count as rows of their own. Other columns are ignored.
 
     Shingles are lower-cased words of letters, digits and non-ASCII characters, five by default, compared by
-    hash (64 bits in classes and paths, 32 in counts of shared shingles).
+    64-bit hash.
     """
     base = numbered(docs, id_col, text_col, row_col)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -228,7 +229,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     own = rows.filter("n_set > 0")
     reps = stored(own.groupBy("k1", "k2", "n_set").agg(F.count("*").alias("copies"), F.min("doc_id").alias("copy_id"), F.min(F.struct("rid", "sample")).alias("rep")).select("k1", "k2", "n_set", "copies", "copy_id", "rep.rid", "rep.sample"), "classes")
     with scratch(docs.sparkSession):
-        buckets = _buckets(reps, runs_for(recall, threshold), threshold, bucket, depth)
+        buckets = _buckets(reps, runs_for(recall, threshold, depth), threshold, bucket, depth)
     needed = buckets.select("rid").distinct()
     marks = Marks(needed)
     sets = stored(base.select("rid", "text", Marks.column().alias("mark")).mapInArrow(tidied(_sets(width, marks.bits)), "rid long, set binary"), "sets", "lz4")

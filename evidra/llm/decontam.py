@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Marks, flat, fresh, slices, split_marked, stored, texts_of, tidied, with_rows
-from .words import ALNUM, Words, mix, window_hash
+from .words import ALNUM, Words, mix
 
 SHIFT_BITS = 18
 #: Benchmark text that one compiled block may hold; a larger benchmark is searched block by block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -33,35 +33,41 @@ def _slot(block: np.ndarray) -> np.ndarray:
     return (block >> np.uint64(64 - SHIFT_BITS)).astype(np.int64)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The words of one text; the plain form of Words."""
-    data, offsets = flat(pa.array([text], pa.string()))
-    w = Words(data, offsets, ALNUM)
-    return [w.low[a:b].tobytes() for a, b in zip(w.starts, w.ends, strict=True)]
+class Block:
+    """Items of a benchmark as words side by side, and their patterns by length."""
+
+    def __init__(self, names: list[str | None], texts: list[str | None], width: int):
+        self.names = names
+        data, offsets = flat(pa.array(texts, pa.string()))
+        self.words = Words(data, offsets, ALNUM)
+        first, n = self.words.first[:-1], np.diff(self.words.first)
+        self.groups = []
+        for m in np.unique(np.minimum(n, width)).tolist():
+            items = np.flatnonzero(np.minimum(n, width) == m)
+            count = n[items] - m + 1
+            if m:
+                at = np.repeat(first[items] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                self.groups.append(Group(m, self.words, at, np.repeat(items, count)))
 
 
 class Group:
-    """Patterns of the same number of words."""
+    """Patterns of the same number of words: where each begins among the items' words, and its item.
+
+    Nothing is kept but numbers, some 40 bytes for each pattern beside its words."""
 
-    def __init__(self, m: int, patterns: dict[bytes, list[int]]):
+    def __init__(self, m: int, words: Words, at: np.ndarray, items: np.ndarray):
         self.m, self.width = m, min(2, m)
         self.reach = m - self.width + 1  # the largest shift
-        self.strings = list(patterns)
-        self.items = [patterns[s] for s in self.strings]
-        data, offsets = flat(pa.array([s.decode() for s in self.strings], pa.string()))
-        h = Words(data, offsets, ALNUM).hash.reshape(len(self.strings), m)
-        self.whole = np.array([window_hash(x, m)[0] for x in h], np.uint64)
-        blocks = [self.blocks(h, j) for j in range(self.reach)]
+        self.at, self.items = at.astype(np.int32), items.astype(np.int32)
+        self.whole = _windows(words.hash, at, m)
         self.shift = np.full(1 << SHIFT_BITS, self.reach, np.uint8 if m < 255 else np.int64)
-        for j, b in enumerate(blocks):
-            np.minimum.at(self.shift, _slot(b), self.reach - 1 - j)
-        order = np.argsort(blocks[-1], kind="stable")
-        self.order, self.suffix = order, blocks[-1][order]
+        for j in range(self.reach):
+            last = _block(words.hash[at + j], words.hash[at + j + self.width - 1])
+            np.minimum.at(self.shift, _slot(last), self.reach - 1 - j)
+        self.order = np.argsort(last, kind="stable").astype(np.int32)
+        self.suffix = last[self.order]
 
-    def blocks(self, h: np.ndarray, j: int) -> np.ndarray:
-        return _block(h[:, j], h[:, j + 1]) if self.width == 2 else _block(h[:, j], h[:, j])
-
-    def find(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, w: Words, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(place of the first word, pattern) of every occurrence in a batch."""
         first, last = w.first[:-1], w.first[1:]
         h, none = w.hash, (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -74,7 +80,7 @@ class Group:
         stop = np.minimum(at + self.reach, np.repeat(last, n))
         found = []
         while len(at):  # all cursors step at once; most stop at the first look
-            b = _block(h[at - 1], h[at]) if self.width == 2 else _block(h[at], h[at])
+            b = _block(h[at - self.width + 1], h[at])
             s = self.shift[_slot(b)]
             hit = s == 0
             found.append((at[hit], b[hit]))
@@ -88,49 +94,43 @@ class Group:
             return none
         at = np.repeat(at, size) - self.m + 1
         which = self.order[np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-        windows = np.zeros(len(at), np.uint64)
-        for k in range(self.m):
-            windows *= np.uint64(0xC2B2AE3D27D4EB4F)
-            windows += h[at + k]
-            windows ^= windows >> np.uint64(31)
-        same = mix(windows) == self.whole[which]
+        same = _windows(h, at, self.m) == self.whole[which]
         at, which = at[same], which[same]
-        sure = [self.same(w, a, self.strings[p]) for a, p in zip(at.tolist(), which.tolist(), strict=True)]
+        sure = [_words(w, a, self.m) == _words(words, p, self.m) for a, p in zip(at.tolist(), self.at[which].tolist(), strict=True)]
         return (at[sure], which[sure]) if sure else none
 
-    def same(self, w: Words, a: int, pattern: bytes) -> bool:
-        begin, end = w.starts[a : a + self.m].tolist(), w.ends[a : a + self.m].tolist()
-        return b" ".join([w.low[x:y].tobytes() for x, y in zip(begin, end, strict=True)]) == pattern
+
+def _words(w: Words, a: int, m: int) -> list[bytes]:
+    return [w.low[x:y].tobytes() for x, y in zip(w.starts[a : a + m].tolist(), w.ends[a : a + m].tolist(), strict=True)]
 
 
-def compile_block(items: list[tuple[str | None, list[bytes]]], width: int) -> tuple[list[Group], list[str | None]]:
-    by: dict[int, dict[bytes, list[int]]] = {}
-    for k, (_, words) in enumerate(items):
-        m = min(width, len(words))
-        for i in range(len(words) - m + 1) if m else ():
-            at = by.setdefault(m, {}).setdefault(b" ".join(words[i : i + m]), [])
-            if not at or at[-1] != k:
-                at.append(k)
-    return [Group(m, patterns) for m, patterns in sorted(by.items())], [i for i, _ in items]
+def _windows(h: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+    """Hash of the m words from each place."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(m):
+        out *= np.uint64(0xC2B2AE3D27D4EB4F)
+        out += h[at + k]
+        out ^= out >> np.uint64(31)
+    return mix(out)
 
 
-def _blocks(benchmark: DataFrame, width: int, block_bytes: int):
-    """Compiled blocks of the benchmark, each from a bounded amount of text, in any order of rows."""
-    held: list = []
-    size = 0
+def _blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[Block]:
+    """Compiled blocks of the benchmark, one after the other, each of block_bytes of text or a single longer item."""
+    names, texts, size = [], [], 0
     for item, text in benchmark.toLocalIterator():
-        words = words_of(text)
-        held.append((item, words))
-        size += sum(map(len, words)) + len(words)
+        names.append(item)
+        texts.append(text)
+        size += len((text or "").encode("utf-8", "surrogatepass"))
         if size >= block_bytes:
-            yield compile_block(held, width)
-            held, size = [], 0
-    yield compile_block(held, width)
+            yield Block(names, texts, width)
+            names, texts, size = [], [], 0
+    yield Block(names, texts, width)
 
 
 def _scan(compiled) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, names = compiled.value
+        block = compiled.value
+        groups, names = block.groups, block.names
         for batch in batches:
             for i, j in slices(batch.column("text")):
                 part = batch.slice(i, j - i)
@@ -139,11 +139,11 @@ def _scan(compiled) -> callable:
                 edge = np.zeros(len(w) + 1, np.int32)
                 seen = []
                 for g in groups:
-                    at, which = g.find(w)
+                    at, which = g.find(w, block.words)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + g.m, -1)
                     text = np.searchsorted(w.first, at, side="right") - 1
-                    seen += {(t, k) for t, p in {*zip(text.tolist(), which.tolist(), strict=True)} for k in g.items[p]}
+                    seen += zip(text.tolist(), g.items[which].tolist(), strict=True)
                 hit = np.cumsum(edge[:-1]) > 0
                 total = np.concatenate([[0], np.cumsum(hit)])
                 items: list[list[str]] = [[] for _ in range(j - i)]
@@ -174,33 +174,45 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Null and empty texts have no words and no hits; an item without words has no windows; an item whose
     id is null marks words but has no name to report. Other columns of either table are ignored.
 
-    The benchmark is a query set: it is compiled in blocks of bounded text, each broadcast. One block
-    needs no shuffle; the results of more blocks are united and merged by row.
+    The benchmark is a query set: it is compiled in blocks of block_bytes of text, each broadcast, about ten times
+    that in memory. One block needs no shuffle. More blocks are searched one after the other, the results stored, and
+    merged by row at the end.
     """
     spark = docs.sparkSession
     texts = texts_of(docs, id_col, text_col)
+    kind = texts.schema["doc_id"].dataType.simpleString()
     bench = benchmark.select(F.col(f"`{item_col}`").cast("string"), F.col(f"`{item_text_col}`").cast("string"))
-    schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, spans array<struct<first:long,last:long>>"
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(bench, width, block_bytes)]
-    if len(blocks) == 1:
-        return texts.mapInArrow(tidied(_scan(blocks[0])), schema)
-    numbered = with_rows(texts, "rid")
+    rest = "n_words long, n_hit long, items array<string>, spans array<struct<first:long,last:long>>"
+    blocks = _blocks(bench, width, block_bytes)
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        return texts.mapInArrow(tidied(_scan(spark.sparkContext.broadcast(block))), f"doc_id {kind}, {rest}")
+    rows = with_rows(texts, "rid").select(F.struct("rid", "doc_id").alias("doc_id"), "text")
     parts = None
-    for b in blocks:
-        found = numbered.select(F.struct("rid", "doc_id").alias("doc_id"), "text").mapInArrow(tidied(_scan(b)), schema.replace(schema.split(",")[0], f"doc_id struct<rid:long,doc_id:{texts.schema['doc_id'].dataType.simpleString()}>", 1))
+    while block is not None:
+        held = spark.sparkContext.broadcast(block)
+        found = stored(rows.mapInArrow(tidied(_scan(held)), f"doc_id struct<rid:long,doc_id:{kind}>, {rest}"), "block-hits")
+        held.unpersist()
         parts = found if parts is None else parts.unionByName(found)
-    merged = parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    joined = F.aggregate(
-        "spans",
-        F.expr("cast(array() as array<struct<first:long,last:long>>)"),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["last"] >= s["first"] - 1),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.try_element_at(done, F.lit(-1))["first"].alias("first"), F.greatest(F.try_element_at(done, F.lit(-1))["last"], s["last"]).alias("last")))),
-        ).otherwise(F.concat(done, F.array(s))),
-    )
-    merged = merged.withColumn("spans", joined)
-    hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
-    return merged.select("doc_id.doc_id", "n_words", hits.alias("n_hit"), "items", "spans")
+        block, more = more, next(blocks, None) if more is not None else None
+    merged = parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    return merged.select("doc_id.doc_id", "n_words", "items", "spans").mapInArrow(tidied(_united), f"doc_id {kind}, {rest}")
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose spans, of several blocks, are united and counted."""
+    for batch in batches:
+        spans = []
+        for own in batch.column("spans").to_pylist():
+            done: list[dict] = []
+            for s in sorted(own, key=lambda s: s["first"]):
+                if done and done[-1]["last"] >= s["first"] - 1:
+                    done[-1]["last"] = max(done[-1]["last"], s["last"])
+                else:
+                    done.append(s)
+            spans.append(done)
+        hit = [sum(s["last"] - s["first"] + 1 for s in own) for own in spans]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()), batch.column("items"), pa.array(spans, batch.column("spans").type)], names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -23,6 +23,8 @@ BITS = 15
 ORDERS = (1, 2, 3)
 #: Labelled rows of each language that training may take, and how many of them (1 in so many) calibrate.
 ROWS_PER_LANGUAGE = 1500
+#: Labelled rows of all languages together; of more than 16 languages each has less than ROWS_PER_LANGUAGE.
+SAMPLE_ROWS = 24_000
 CALIBRATION = 5
 EPOCHS = 4
 #: Share of each calibration label spread over all languages, so that rows without errors don't ask for certainty.
@@ -165,8 +167,9 @@ def _features(bits: int):
 def train(labelled: DataFrame, bits: int = BITS, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
     """A model from rows (key, text, lang), or None without any. key only picks the sample.
 
-    Document frequencies count every row. The regression takes at most about rows_per_language rows of each
-    language, picked by a hash of key and text over all of them.
+    Document frequencies count every row. The regression takes about rows_per_language rows of each
+    language, SAMPLE_ROWS of all at most, picked by a hash of key and text over all of them. Of equally probable
+    languages the first in order of its name counts.
     """
     labelled = labelled.filter("lang is not null and text is not null")
     frequency = labelled.select("text").mapInArrow(tidied(_frequencies(bits)), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
@@ -175,10 +178,12 @@ def train(labelled: DataFrame, bits: int = BITS, rows_per_language: int = ROWS_P
         df[bucket] = n
     if not df[-1]:
         return None
-    share = labelled.groupBy("lang").agg((F.lit(float(rows_per_language)) / F.count("*")).alias("share"))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    wanted = min(rows_per_language, SAMPLE_ROWS / max(1, sizes.count()))
+    share = sizes.select("lang", (F.lit(float(wanted)) / F.col("n")).alias("share"))
     chance = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.join(F.broadcast(share), "lang").withColumn("chance", chance).filter("chance < share").select("lang", "text", F.pmod(F.hash("key", "text"), F.lit(CALIBRATION)).alias("part"))
-    rows = sample.mapInArrow(tidied(_features(bits)), "lang string, part int, buckets binary, counts binary").limit(rows_per_language * 400).collect()
+    sample = labelled.join(share, "lang").withColumn("chance", chance).filter("chance < share").select("lang", "text", F.pmod(F.hash("key", "text"), F.lit(CALIBRATION)).alias("part"))
+    rows = sample.mapInArrow(tidied(_features(bits)), "lang string, part int, buckets binary, counts binary").collect()
     rows.sort(key=lambda r: (bytes(r.buckets), r.lang))
     languages = sorted({r.lang for r in rows})
     if not languages:
