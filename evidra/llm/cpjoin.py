@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Marks, fresh, scratch, split_marked, stored, tidied, with_rows
+from .common import Marks, fresh, scratch, settle, split_marked, stored, tidied, with_rows
 from .graph import components
 from .shingles import WIDTH, numbered, sequences
 from .words import mix
@@ -32,7 +32,7 @@ RECALL = 0.999
 DEEPER = 2.5
 DEPTH = 3
 #: Texts that a bucket may hold before it is split, and texts of one block of a comparison.
-BUCKET, BLOCK = 256, 2048
+BUCKET, BLOCK = 256, 1024
 #: Mean similarity with its first text from which a bucket isn't split again.
 ALIKE = 0.5
 
@@ -129,12 +129,26 @@ def _buckets(reps: DataFrame, runs: int, threshold: float, bucket: int, depth: i
     return stored(leaves, "buckets", keep=True)
 
 
+#: Bytes of a hash that sets keep: two sets of 20,000 shingles take one for another with a chance of 1 in 700,000.
+SET_BYTES = 6
+
+
+def _set_bytes(shingles: np.ndarray) -> bytes:
+    return np.unique(shingles >> np.uint64(64 - 8 * SET_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes()
+
+
+def _set_of(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // SET_BYTES, 8), np.uint8)
+    out[:, :SET_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, SET_BYTES)
+    return out.view("<u8").ravel()
+
+
 def _sets(width: int, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(Marks.has(bits.value, batch.column("mark").to_numpy())))
             for first, _, seqs, _, _ in sequences(batch.column("text"), width):
-                own = [np.unique(s).tobytes() for s in seqs]
+                own = [_set_bytes(s) for s in seqs]
                 yield pa.RecordBatch.from_arrays([batch.column("rid").slice(first, len(own)), pa.array(own, pa.binary())], names=["rid", "set"])
 
     return run
@@ -184,7 +198,7 @@ def _edges(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("rid").sort_values("rid")
         rid = rows["rid"].to_numpy()
-        root = connected(similar([np.frombuffer(s, np.uint64) for s in rows["set"]], threshold))
+        root = connected(similar([_set_of(s) for s in rows["set"]], threshold))
         other = root != np.arange(len(root))
         return pd.DataFrame({"a": rid[other], "b": rid[root[other]]})
 
@@ -194,7 +208,7 @@ def _edges(threshold: float):
 def _counts(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rid")
-        link = similar([np.frombuffer(s, np.uint64) for s in rows["set"]], threshold)
+        link = similar([_set_of(s) for s in rows["set"]], threshold)
         np.fill_diagonal(link, False)
         if rows["i"].iloc[0] != rows["j"].iloc[0]:  # two blocks: pairs across them only
             side = rows["block"].to_numpy()
@@ -221,21 +235,24 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     first and give a null class. Rows with equal ids count as rows of their own. Other columns are ignored.
 
     Shingles are lower-cased words of letters, digits and non-ASCII characters, five by default, compared by
-    64-bit hash.
+    hash (64 bits in classes and paths, 48 in counts of shared shingles).
     """
     base = numbered(docs, id_col, text_col, row_col)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = stored(base.mapInArrow(tidied(_sketch(width, SAMPLE)), f"rid long, doc_id {kind}, k1 long, k2 long, n_set long, sample array<long>"), "sketches")
     own = rows.filter("n_set > 0")
     reps = stored(own.groupBy("k1", "k2", "n_set").agg(F.count("*").alias("copies"), F.min("doc_id").alias("copy_id"), F.min(F.struct("rid", "sample")).alias("rep")).select("k1", "k2", "n_set", "copies", "copy_id", "rep.rid", "rep.sample"), "classes")
+    settle(docs.sparkSession)
     with scratch(docs.sparkSession):
         buckets = _buckets(reps, runs_for(recall, threshold, depth), threshold, bucket, depth)
+    settle(docs.sparkSession)
     needed = buckets.select("rid").distinct()
     marks = Marks(needed)
     sets = stored(base.select("rid", "text", Marks.column().alias("mark")).mapInArrow(tidied(_sets(width, marks.bits)), "rid long, set binary"), "sets", "lz4")
     edges = _blocked(buckets.join(sets, "rid"), "path", block).groupBy("path", "i", "j").applyInPandas(_edges(threshold), "a long, b long")
     with scratch(docs.sparkSession):
         found = stored(components(edges), "components", keep=True)
+    settle(docs.sparkSession)
     members = found.join(reps.select(F.col("rid").alias("node"), "copies", "copy_id"), "node")
     size = members.groupBy("root").agg(F.count("*").alias("n"), F.min("copy_id").alias("class_id"))
     inside = _blocked(members.join(size.select("root", "n"), "root").select("root", "n", F.col("node").alias("rid"), "copies").join(sets, "rid"), "root", block)

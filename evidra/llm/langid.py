@@ -179,10 +179,12 @@ def train(labelled: DataFrame, bits: int = BITS, rows_per_language: int = ROWS_P
     if not df[-1]:
         return None
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    wanted = min(rows_per_language, SAMPLE_ROWS / max(1, sizes.count()))
+    wanted = min(rows_per_language, SAMPLE_ROWS / max(1, languages := sizes.count()))
+    if languages > SAMPLE_ROWS:
+        raise ValueError(f"{languages} languages are more than the {SAMPLE_ROWS} rows to learn from")
     share = sizes.select("lang", (F.lit(float(wanted)) / F.col("n")).alias("share"))
     chance = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.join(share, "lang").withColumn("chance", chance).filter("chance < share").select("lang", "text", F.pmod(F.hash("key", "text"), F.lit(CALIBRATION)).alias("part"))
+    sample = labelled.join(F.broadcast(share), "lang").withColumn("chance", chance).filter("chance < share").select("lang", "text", F.pmod(F.hash("key", "text"), F.lit(CALIBRATION)).alias("part"))
     rows = sample.mapInArrow(tidied(_features(bits)), "lang string, part int, buckets binary, counts binary").collect()
     rows.sort(key=lambda r: (bytes(r.buckets), r.lang))
     languages = sorted({r.lang for r in rows})
