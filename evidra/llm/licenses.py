@@ -1,8 +1,9 @@
 """Licence scans: a trained classifier of paragraphs, with a template comparison that confirms its predictions.
 
 A sparse multinomial logistic regression over word 1- to 3-grams learns licence families from notices made out of
-the templates below, and `unknown` from a bounded sample of the corpus's own paragraphs. A temperature and the
-least score that a family needs are fitted on notices and paragraphs kept apart. Scoring is a chain of DataFrame
+the templates below, and `unknown` from notices of other licences, denials, and a bounded sample of the corpus's
+own paragraphs. A temperature and the least score that a family needs are fitted on wordings and paragraphs kept
+apart. Scoring is a chain of DataFrame
 operations: paragraphs, words, n-grams, a join with the small table of weights, a softmax. A predicted paragraph
 counts as confirmed if it shares enough word bigrams with a template of its family.
 """
@@ -10,12 +11,14 @@ counts as confirmed if it shares enough word bigrams with a template of its fami
 from __future__ import annotations
 
 import json
+import math
 import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
 from .langid import ftrl, temperature
 from .shingles import numbered
 
@@ -37,11 +40,18 @@ FAMILIES: dict[str, dict[str, list[str]]] = {
     },
     "GPL-3.0": {
         "names": ["the GNU General Public License, version 3", "the GNU General Public License v3.0", "GPL-3.0", "the GNU GPL version 3"],
-        "texts": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+        "texts": [
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+            "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        ],
     },
     "GPL-2.0": {
         "names": ["the GNU General Public License, version 2", "the GNU General Public License v2.0", "GPL-2.0", "the GNU GPL version 2"],
-        "texts": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+        "texts": [
+            "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+            "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+            "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+        ],
     },
     "LGPL": {
         "names": ["the GNU Lesser General Public License, version 2.1", "the GNU Lesser General Public License, version 3", "LGPL-3.0", "the GNU LGPL"],
@@ -85,6 +95,10 @@ FAMILIES: dict[str, dict[str, list[str]]] = {
 }
 #: How notices speak of a licence.
 NOTICES = ["{}.", "Licensed under {}.", "Released under {}.", "Distributed under {}.", "This work is licensed under {}.", "This software is released under the terms of {}.", "This project is made available under {}.", "Available under {}, see the LICENSE file for details.", "The content of this page is published under {}.", "Copyright the authors. Use is governed by {}."]
+#: Names of licences that are no family here; notices of them are `unknown`.
+STRANGERS = ["the Eclipse Public License 2.0", "the Eclipse Public License, version 1.0", "the GNU Affero General Public License, version 3", "the GNU Affero General Public License v3.0", "AGPL-3.0", "the European Union Public Licence 1.2", "the zlib License", "the Boost Software License 1.0", "the Artistic License 2.0", "the PostgreSQL License", "the Common Development and Distribution License, version 1.0", "the Microsoft Public License", "the SIL Open Font License, Version 1.1", "a proprietary license"]
+#: How a licence is spoken of without being granted; these are `unknown`.
+DENIALS = ["This is not licensed under {}.", "Not released under {}.", "This work is not available under {}.", "We never used {} for this project."]
 #: Sentences about licences that name none: they are `unknown`.
 OTHERS = ["A driving license was issued in the version of the form.", "All rights reserved.", "The license fee is paid under the terms of the contract.", "Public records are released under the rule.", "The general public may use this work.", "This program was distributed to the public.", "Version 3 of the program was released.", "Permission was granted to use the software.", "See the license agreement.", "The work is licensed.", "Released under pressure.", "He works at the MIT laboratory.", "The Apache helicopter, version 2.", "Creative work in the commons."]
 UNKNOWN = "unknown"
@@ -93,8 +107,9 @@ WORD = r"[a-z0-9]+"
 SAMPLE_PARAGRAPHS = 3000
 #: N-grams of more than this share of the sampled paragraphs are no features, nor are those of such words only.
 COMMON = 0.005
-#: Share of a paragraph's or template's bigrams that the other must have to confirm a prediction.
-CONFIRM = 0.5
+#: Share of the bigrams of the smaller of paragraph and template that the other must have to confirm a prediction,
+#: share of a name's bigrams that a paragraph must have, and fewest that it must share with a text.
+CONFIRM, NAMED, SHARED = 0.5, 0.8, 6
 
 
 def words(text: str) -> list[str]:
@@ -105,13 +120,16 @@ def grams(ws: list[str], orders: tuple[int, ...] = (1, 2, 3)) -> set[str]:
     return {" ".join(ws[i : i + n]) for n in orders for i in range(len(ws) - n + 1)}
 
 
-def notices() -> list[tuple[str, str]]:
-    """(family, paragraph) of all training notices."""
+def notices() -> list[tuple[str, str, bool]]:
+    """(family, paragraph, kept for calibration) of all notices. Two of the ten ways to speak of a licence, and a
+    quarter of the denials, are never learnt from; texts are all learnt from, three times."""
     out = []
-    for family, parts in FAMILIES.items():
-        out += [(family, notice.format(name)) for name in parts["names"] for notice in NOTICES]
-        out += [(family, t) for t in parts["texts"] for _ in range(3)]
-    return out
+    named = [(f, n) for f, parts in FAMILIES.items() for n in parts["names"]]
+    for family, name in [*named, *((UNKNOWN, n) for n in STRANGERS)]:
+        out += [(family, notice.format(name), k % 5 == 4) for k, notice in enumerate(NOTICES)]
+    out += [(UNKNOWN, denial.format(name), k % 4 == 3) for _, name in named for k, denial in enumerate(DENIALS)]
+    out += [(family, t, False) for family, parts in FAMILIES.items() for t in parts["texts"] for _ in range(3)]
+    return out + [(UNKNOWN, t, False) for t in OTHERS]
 
 
 class Classifier:
@@ -127,18 +145,16 @@ class Classifier:
         for g in clean:
             for x in g:
                 df[x] = df.get(x, 0) + 1
-        rows = [(grams(words(p)), f) for f, p in notices()] + [(grams(words(p)), UNKNOWN) for p in OTHERS for _ in range(2)]
-        rare = {x for g, f in rows for x in g if df.get(x, 0) <= COMMON * len(clean)}
+        rows = [(grams(words(p)), f, held) for f, p, held in notices()]
+        rare = {x for g, _, _ in rows for x in g if df.get(x, 0) <= COMMON * len(clean)}
         #: Words of which every feature has at least one.
         self.anchors = sorted(x for x in rare if " " not in x)
         held_by = set(self.anchors)
         vocabulary = sorted(x for x in rare if held_by.intersection(x.split(" ")))
         self.index = {x: k + 1 for k, x in enumerate(vocabulary)}  # 0 is the bias
-        rows += [(g, UNKNOWN) for g in clean]
-        data = [(np.array([0, *sorted(self.index[x] for x in g if x in self.index)]), self.classes.index(f)) for g, f in rows]
-        data = [(i, np.ones(len(i)), y) for i, y in data]
-        held = [d for k, d in enumerate(data) if k % 5 == 4]
-        fit = [d for k, d in enumerate(data) if k % 5 != 4]
+        rows += [(g, UNKNOWN, k % 5 == 4) for k, g in enumerate(clean)]
+        data = [(np.array([0, *sorted(self.index[x] for x in g if x in self.index)]), self.classes.index(f), held) for g, f, held in rows]
+        held, fit = ([(i, np.ones(len(i)), y) for i, y, own in data if own == kept] for kept in (True, False))
         self.weights = ftrl(fit, len(self.classes), len(vocabulary) + 1, alpha=0.3, l1=0.05, l2=0.05, epochs=8)
         z = np.array([self.weights[i].sum(axis=0) for i, _, _ in held])
         y = np.array([c for *_, c in held])
@@ -165,9 +181,10 @@ class Classifier:
         for family, parts in FAMILIES.items():
             for t, text in enumerate(parts["names"] + parts["texts"]):
                 own = grams(words(text), (2,)) or grams(words(text), (1,))
-                templates += [{"family": family, "template": t, "gram": g, "size": len(own)} for g in sorted(own)]
+                need = math.ceil(NAMED * len(own)) if t < len(parts["names"]) else min(SHARED, len(own))
+                templates += [{"family": family, "template": t, "gram": g, "size": len(own), "need": need} for g in sorted(own)]
         table = lambda rows, kind: spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")).alias("r")).select("r.*")
-        return table(weights, "gram:string,w:array<double>"), table(templates, "family:string,template:int,gram:string,size:int")
+        return table(weights, "gram:string,w:array<double>"), table(templates, "family:string,template:int,gram:string,size:int,need:int")
 
 
 def _ngrams(ws: Column, n: int) -> Column:
@@ -198,7 +215,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     # A paragraph without a feature is unknown (the bias says so), and every feature has an anchor word.
     lines = base.select("rid", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter("line <> ''")
     split = lines.select("rid", "at", F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda w: w != "").alias("ws"))
-    near = split.filter(F.arrays_overlap("ws", F.array(*[F.lit(a) for a in model.anchors])))
+    # the few paragraphs that may be notices are stored, so texts are split once
+    near = stored(split.filter(F.arrays_overlap("ws", F.array(*[F.lit(a) for a in model.anchors]))), "paragraphs")
     every = F.array_distinct(F.concat("ws", _ngrams(F.col("ws"), 2), _ngrams(F.col("ws"), 3)))
     hits = near.select("rid", "at", F.explode(every).alias("gram")).join(F.broadcast(weights), "gram")
     k = len(model.classes)
@@ -209,8 +227,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     total = F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
     predicted = logits.select("rid", "at", family.alias("family"), (1 / total).alias("score")).filter((F.col("family") != UNKNOWN) & (F.col("score") >= model.least))
     bigrams = near.join(predicted, ["rid", "at"]).select("rid", "at", "family", "score", F.explode(F.array_distinct(F.when(F.size("ws") > 1, _ngrams(F.col("ws"), 2)).otherwise(F.col("ws")))).alias("gram"), F.greatest(F.lit(1), F.size(F.array_distinct(_ngrams(F.col("ws"), 2)))).alias("own"))
-    shared = bigrams.join(F.broadcast(templates), ["family", "gram"], "left").groupBy("rid", "at", "family", "score", "own", "template").agg(F.count("size").alias("both"), F.max("size").alias("size"))
-    compared = shared.withColumn("similarity", F.coalesce(F.col("both") / F.least("own", "size"), F.lit(0.0))).groupBy("rid", "at", "family", "score").agg(F.max("similarity").alias("similarity"))
+    shared = bigrams.join(F.broadcast(templates), ["family", "gram"], "left").groupBy("rid", "at", "family", "score", "own", "template").agg(F.count("size").alias("both"), F.max("size").alias("size"), F.max("need").alias("need"))
+    compared = shared.withColumn("similarity", F.when(F.col("both") >= F.col("need"), F.col("both") / F.least("own", "size")).otherwise(F.lit(0.0))).groupBy("rid", "at", "family", "score").agg(F.max("similarity").alias("similarity"))
     sure = F.col("similarity") >= CONFIRM
     best = F.max(F.when(sure, F.struct("score", (-F.col("at")).alias("at"), "family", "similarity")))
     per_doc = compared.groupBy("rid").agg(F.count("*").alias("n_predicted"), F.count(F.when(sure, 1)).alias("n_confirmed"), F.array_join(F.array_sort(F.collect_set(F.when(sure, F.col("family")))), ",").alias("families"), best.alias("best"))

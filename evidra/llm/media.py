@@ -16,12 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import stored, texts_of, tidied
+from .common import slices, stored, texts_of, tidied
 
 FRAME = 192
 RATE = 8000
 #: Frames of a chunk; the first frame of each chunk is its keyframe.
 CHUNK_FRAMES = 64
+#: Bytes of texts or files that are worked on at once; a longer one is alone.
+SLICE_BYTES = 8 << 20
 #: Boxes that hold boxes, with the bytes before the first of them.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"dinf": 0, b"stbl": 0, b"edts": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0, b"dref": 8, b"stsd": 8}
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -108,13 +110,19 @@ def walk(data: bytes, start: int = 0, stop: int | None = None, path: tuple[bytes
 
 
 class Movie:
-    """The first track of a file: codec, timescale, duration, and its frames' sizes, places and keyframes."""
+    """One track of a file, the first by default: codec, timescale, duration, and its frames' sizes, places and keyframes.
 
-    def __init__(self, data: bytes):
+    A file whose frames are in fragments is refused with a ValueError: its sample tables don't tell them."""
+
+    def __init__(self, data: bytes, track: int = 0):
         self.data = data
         found: dict[bytes, tuple[int, int]] = {}
+        at = -1
         for path, a, b in walk(data):
-            if path[:1] == (b"moov",) and path.count(b"trak") == 1 and found.get(path[-1]) is None:
+            if path == (b"moof",):
+                raise ValueError("the file is fragmented")
+            at += path == (b"moov", b"trak")
+            if at == track and path[:2] == (b"moov", b"trak") and found.get(path[-1]) is None:
                 found[path[-1]] = (a, b)
                 if path[-2:-1] == (b"stsd",) and b"entry" not in found:
                     found[b"entry"] = (a, b)
@@ -160,16 +168,20 @@ class Movie:
         return list(zip(self.places[self.keys].tolist(), self.sizes[self.keys].tolist(), strict=True))
 
 
+def movies(data: bytes) -> list[Movie]:
+    """All tracks of a file."""
+    return [Movie(data, k) for k in range(sum(path == (b"moov", b"trak") for path, _, _ in walk(data)))]
+
+
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The media column of every whole text, as a stored table: doc_id, n_bytes, media. Null counts as empty."""
     texts = texts_of(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-            for i in range(0, len(texts), 256):
-                part = [t or b"" for t in texts[i : i + 256]]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 256), pa.array([len(t) for t in part], pa.int64()), pa.array([write(padded(t)) for t in part], pa.binary())], names=["doc_id", "n_bytes", "media"])
+            for i, j in slices(batch.column("text"), SLICE_BYTES):
+                part = [t or b"" for t in batch.column("text").slice(i, j - i).cast(pa.large_binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([len(t) for t in part], pa.int64()), pa.array([write(padded(t)) for t in part], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return stored(texts.mapInArrow(tidied(run), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary"), "media")
 
@@ -187,15 +199,15 @@ def features(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             files = batch.column("media")
-            for i in range(0, len(files), 256):
+            for i, j in slices(files, SLICE_BYTES):
                 rows = []
-                for f in files.slice(i, 256):
+                for f in files.slice(i, j - i):
                     data = f.as_py()
                     m = Movie(data)
                     p, keys = m.payload(), m.keyframes()
                     rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(data), hashlib.sha256(data).hexdigest(), f"{m.codec.strip()}:{m.timescale}:{m.duration}:{len(m.sizes)}:{len(keys)}", m.codec, m.duration / m.timescale if m.timescale else 0.0, [{"offset": a, "length": b} for a, b in keys]))
                 own = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 256), batch.column("n_bytes").slice(i, 256), *own], names=["doc_id", "n_bytes", *names])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("n_bytes").slice(i, j - i), *own], names=["doc_id", "n_bytes", *names])
 
     names = [x.split(" ")[0] for x in FEATURES.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))]

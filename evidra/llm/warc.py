@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, tidied
+from .common import Marks, small_batches, split_marked, stored, tidied, with_rows
 
 #: Fixed value: the magic number of the skippable frame that holds the dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -110,42 +110,49 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_dedupe_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Archives of all pages, as a stored table (n_records, file).
+    """Archives of all pages, as a stored table (n_records, id_type, file).
 
     Of records with equal payloads of at least min_dedupe_bytes, the one with the largest id is a response
     and the others revisit it; smaller payloads are all responses. Null payloads are empty; a null url is
     an empty one; rows with the same id and payload: every row with the largest id is a response. A row
     whose id is null revisits the largest id of its payload if there is one, else it is a response.
     """
-    kind = pages.schema[id_col].dataType
-    page = pages.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    kind = pages.schema[id_col].dataType.simpleString()
+    small_batches(pages.sparkSession)
+    page = with_rows(pages.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).cast("binary").alias("payload")), "rid")
     page = page.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload").cast("long"))
-    # The digest's groups are pre-aggregated; only payloads that occur twice or more go into the join.
-    owner = page.filter(F.col("size") >= min_dedupe_bytes).groupBy("sha", "size").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "size", "first")
-    marked = page.join(owner, ["sha", "size"], "left").withColumn("refers", F.when(F.col("id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first")))
-    marked = marked.select(F.col("id").cast("string").alias("id"), "url", F.when(F.col("refers").isNull(), F.col("payload")).otherwise(F.lit(b"")).alias("payload"), "size", "sha", F.col("refers").cast("string").alias("refers"))
+    names = ["id", "url", "payload", "size", "sha", "refers"]
+    # Digests and ids alone are grouped and joined; payloads stay where they are read.
+    light = stored(page.select("rid", "id", "url", "sha", "size"), "page-digests")
+    owner = light.filter(F.col("size") >= min_dedupe_bytes).groupBy("sha", "size").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "size", "first")
+    again = stored(light.join(owner, ["sha", "size"]).filter(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))).select("rid", "id", "url", F.lit(b"").alias("payload"), "size", "sha", F.col("first").cast("string").alias("refers")), "revisits")
+    marks = Marks(again)
+    maybe, whole = split_marked(page, marks)
+    # rows that are marked and no revisits after all: few, as long as the marks aren't full
+    spared = stored(split_marked(light.select("rid"), marks)[0].join(again.select("rid"), "rid", "left_anti"), "spared")
+    back = split_marked(maybe, Marks(spared))[0].join(spared, "rid", "left_semi")
+    responses = whole.unionByName(back).withColumn("refers", F.lit(None).cast("string"))
+    marked = responses.select(*names).unionByName(again.select(*names)).withColumn("id", F.col("id").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c) for c in ("id", "url", "payload", "size", "sha", "refers")), strict=True):
+            for row in zip(*(batch.column(c) for c in names), strict=True):
                 i, url, payload, n, sha, refers = (x.as_py() for x in row)
                 held.append(record("response" if refers is None else "revisit", "" if i is None else i, url, payload, n, base64.b32encode(sha).decode(), refers))
                 size += len(held[-1])
                 if size >= archive_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64()), pa.array([archive(held)], pa.binary())], names=["n_records", "file"])
+                    yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64()), pa.array([kind]), pa.array([archive(held)], pa.binary())], names=["n_records", "id_type", "file"])
                     held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64()), pa.array([archive(held)], pa.binary())], names=["n_records", "file"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64()), pa.array([kind]), pa.array([archive(held)], pa.binary())], names=["n_records", "id_type", "file"])
 
-    out = stored(marked.mapInArrow(tidied(run), "n_records long, file binary"), "warc", "uncompressed")
-    out.id_type = kind.simpleString()
-    return out
+    return stored(marked.mapInArrow(tidied(run), "n_records long, id_type string, file binary"), "warc", "uncompressed")
 
 
-def read_archives(archives: DataFrame, id_type: str = "long") -> DataFrame:
-    """Records of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to, url, html (null in revisits)."""
+def read_archives(archives: DataFrame) -> DataFrame:
+    """Records of the archives, ids of the type that the pages had: page_id, payload_bytes, payload_digest, record_type, refers_to, url, html (null in revisits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lambda uri: uri.removeprefix("<urn:evidra:page:").removesuffix(">") or None
@@ -171,4 +178,6 @@ def read_archives(archives: DataFrame, id_type: str = "long") -> DataFrame:
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "html"]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
     read = archives.mapInArrow(tidied(run), "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, html string")
+    first = archives.select("id_type").first()
+    id_type = first[0] if first else "long"
     return read.withColumns({"page_id": F.col("page_id").cast(id_type), "refers_to": F.col("refers_to").cast(id_type)})

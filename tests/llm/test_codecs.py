@@ -230,3 +230,26 @@ def test_whole_tables(spark, sf_dir, name):
     table = "pages" if name == "op8_warc" else "documents"
     assert queries.QUERIES[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
     assert pa is not None
+
+
+def test_string_page_ids(spark):
+    rows = [("b", "u", "same"), ("a", None, "same"), ("c", "u", None), (None, "u", "same"), ("d", "u", "other")]
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(spark.createDataFrame(rows, "page_id string, url string, html string"))).collect()}
+    assert got == {"b": ("response", None), "a": ("revisit", "b"), None: ("revisit", "b"), "c": ("response", None), "d": ("response", None)}
+
+
+def test_tracks_are_read_apart():
+    """A file of two tracks, of which only the second has a table of keyframes."""
+    data = media.write(media.padded(b"x" * 30_000))
+    boxes = {path: (a, b) for path, a, b in media.walk(data)}
+    a, b = boxes[(b"moov", b"trak")]
+    trak = data[a:b]
+    at = trak.index(b"stss")
+    moov_a, moov_b = boxes[(b"moov",)]
+    first = media.box(b"trak", trak[:at] + b"skip" + trak[at + 4 :])
+    two = data[: moov_a - 8] + media.box(b"moov", data[moov_a : a - 8], first, media.box(b"trak", trak)) + data[moov_b:] + bytes(len(first))
+    two = two[: len(two) - len(first)] + media.box(b"free", bytes(len(first)))
+    one, other = media.movies(two)
+    assert len(one.keys) == len(one.sizes) and len(other.keys) == 3 < len(other.sizes)
+    with pytest.raises(ValueError):
+        media.Movie(data + media.box(b"moof"))
