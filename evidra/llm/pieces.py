@@ -120,8 +120,10 @@ class Kept:
 def gather(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """values[begin:begin+size] of each entry, one after the other."""
     total = int(size.sum())
-    shift = np.repeat(begin - (np.cumsum(size) - size), size)
-    return values[shift + np.arange(total)]
+    kind = np.int32 if len(values) + total < 1 << 31 else np.int64
+    at = np.repeat((begin - (np.cumsum(size) - size)).astype(kind), size)
+    at += np.arange(total, dtype=kind)
+    return values[at]
 
 
 class Encoder:
