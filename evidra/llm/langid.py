@@ -251,7 +251,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     results. Other columns are ignored.
     """
     model = _model(docs, id_col, text_col, lang_col, folds, fold, bits)
-    rows = _with_text(docs, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), held_out(F.col(f"`{id_col}`"), folds, fold).alias("held_out"), "__text", "__letters")
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), held_out(F.col(f"`{id_col}`"), folds, fold).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
+    rows = _with_text(own, "text").drop("text")
     kind = docs.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(tidied(_score(model)), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
@@ -261,6 +262,6 @@ def accepted(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: st
     model = _model(docs, id_col, text_col, lang_col, folds, fold, bits)
     own = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     order = [f"__c{k}" for k in range(len(docs.columns))]  # own names: columns of docs may be called as ours
-    renamed = _with_text(docs, text_col).toDF(*order, "__text", "__letters")
+    renamed = _with_text(docs.toDF(*order), order[docs.columns.index(text_col)])
     out = renamed.mapInArrow(tidied(_score(model)), T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(order, docs.schema.fields, strict=True)), *own.fields[-2:]]))
     return out.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(n).alias(f.name) for n, f in zip(order, docs.schema.fields, strict=True)])

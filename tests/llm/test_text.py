@@ -508,3 +508,40 @@ def test_pipeline(spark, sf_dir):
         path = stage(spark, path, sf_dir)
     assert path.count() == 0
     assert hashlib is not None
+
+
+def test_stages_on_odd_rows(spark, sf_dir, tmp_path_factory):
+    """Null, empty and very long texts, equal rows, equal ids, ties and clashing columns go through every stage."""
+    import corpus_pipeline
+
+    rnd = random.Random(12)
+    real = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
+    long = " ".join(rnd.choice(W) for _ in range(30_000))
+    odd = [(None, None, None, None, None), (9001, "", "en", "s", 0), (9002, None, "fr", "s", 1), (9003, "the " * 30_000, "en", "s", 2), (9004, long, "en", "s", 3), (9004, long, "en", "s", 3), (9005, long + " tail", "en", None, 4), (9006, "...", "de", "s", 5), (real[0][0], real[1][1], "en", "s", 6), real[2], real[2]]
+    rows = [(*r, 7, "x", 1.5, True) for r in real + odd]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "rid", "__text", "score", "mark"]
+    df = table(spark, tmp_path_factory, rows, "doc_id long, text string, lang string, source string, n_chars long, rid int, __text string, score double, mark boolean")
+    before = df
+    for name, stage in corpus_pipeline.STAGES:
+        after = common.stored(stage(spark, before, sf_dir), "odd")
+        assert after.count() <= before.count()
+        if name != "BPE encoding and decoding":
+            assert after.columns == names
+            assert {(r.rid, r["__text"], r.score, r.mark) for r in after.collect()} == {(7, "x", 1.5, True)}
+        if name == "language ID":
+            assert after.filter("text is null or text in ('', '...')").count() == 0
+        if name == "n-gram Jaccard join":
+            assert after.filter("doc_id in (9004, 9005)").count() == 1 and after.filter("doc_id = 9003").count() <= 1
+        before = after
+    # stages by themselves keep what has no words
+    for stage in (corpus_pipeline.distinct, corpus_pipeline.without_repeats, corpus_pipeline.decontaminated):
+        out = stage(spark, df, sf_dir)
+        assert out.filter("text is null").count() == 2 and out.filter("text = '' and doc_id = 9001").count() == 1
+    left = [(r.doc_id, len(r.text.split())) for r in corpus_pipeline.without_repeats(spark, df, sf_dir).filter("doc_id in (9003, 9004, 9005)").collect()]
+    assert (9003, 30_000) in left and len(left) == 4 and sum(n for i, n in left if i != 9003) == 30_001
+
+
+def test_scores_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "one two", 1, 2, 3), (2, None, 1, 2, 3), (2, "b " * 40_000, 1, 2, 3)], "doc_id long, text string, rid int, held_out int, rare int")
+    got = ctw.score(df).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(1, 3), (2, 1), (2, 40_001)]
