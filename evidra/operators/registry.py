@@ -57,5 +57,5 @@ def hive_files(entries: DataFrame, volumes: DataFrame, path: str) -> DataFrame:
     """The entries that are the hive at a path, on NTFS volumes only; letters count alike in either case.
 
     entries(image_id, start_offset, path, ...), volumes(image_id, start, fs_type)."""
-    ntfs = volumes.filter("fs_type = 'NTFS'").select("image_id", F.col("start").alias("start_offset"))
+    ntfs = volumes.filter("upper(fs_type) = 'NTFS'").select("image_id", F.col("start").alias("start_offset"))
     return entries.filter(F.lower("path") == path.lower()).join(ntfs, ["image_id", "start_offset"], "left_semi")

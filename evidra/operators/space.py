@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +85,43 @@ def read_range(chunks: DataFrame, start: int, length: int) -> DataFrame:
     return own.select("image_id", (F.col("offset") + first).alias("offset"), F.expr("bytes").substr((first + 1).cast("int"), (last - first).cast("int")).alias("bytes"))
 
 
+def read_ranges(chunks: DataFrame, ranges: DataFrame, keys: list[str], width: int = 16 << 20) -> DataFrame:
+    """(image_id, *keys, at, bytes): what chunks hold of each range (image_id, *keys, at, length), a row for each chunk.
+
+    Ranges meet the chunks' places by buckets of `width` bytes, without their bytes; then each chunk is joined with
+    the list of what is wanted of it, and cut in one pass. Parts beyond an image have no rows. A chunk's overlap
+    with the next one isn't read. A range may have any length, but the parts of a chunk are as long as they are."""
+    spread = lambda a, n: F.explode(F.sequence(F.floor(a / width).cast("long"), F.floor((a + n - 1) / width).cast("long")))
+    places = chunks.filter("len > 0").select("image_id", F.col("offset").alias("c_at"), F.col("len").cast("long").alias("c_len"))
+    places = places.withColumn("bucket", spread(F.col("c_at"), F.col("c_len")))
+    asked = ranges.filter("length > 0").select("image_id", F.struct(*keys).alias("key"), F.col("at").cast("long").alias("at"), F.col("length").cast("long").alias("length"))
+    asked = asked.withColumn("bucket", spread(F.col("at"), F.col("length")))
+    low, high = F.greatest("at", "c_at"), F.least(F.col("at") + F.col("length"), F.col("c_at") + F.col("c_len"))
+    met = asked.join(places, ["image_id", "bucket"]).withColumns({"low": low, "high": high})
+    # several buckets may bring the same two together: the one where their common part begins counts
+    met = met.filter((F.col("low") < F.col("high")) & (F.floor(F.col("low") / width) == F.col("bucket")))
+    lists = met.groupBy("image_id", F.col("c_at").alias("offset")).agg(F.collect_list(F.struct("key", F.col("low").alias("at"), (F.col("high") - F.col("low")).alias("length"))).alias("wanted"))
+    both = chunks.filter("len > 0").select("image_id", "offset", "bytes").join(lists, ["image_id", "offset"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                image, offset, data = (batch.column(c)[k].as_py() for c in ("image_id", "offset", "bytes"))
+                wanted = batch.column("wanted")[k].values
+                key, at, size = wanted.field("key"), wanted.field("at").to_pylist(), wanted.field("length").to_pylist()
+                i = 0
+                while i < len(at):
+                    j, held = i, 0
+                    while j < len(at) and (j == i or held + size[j] <= width):
+                        held, j = held + size[j], j + 1
+                    cut = pa.array([data[a - offset : a - offset + n] for a, n in zip(at[i:j], size[i:j], strict=True)], pa.large_binary() if held >= 1 << 31 else pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([image] * (j - i), pa.string()), *(key.field(c).slice(i, j - i) for c in keys), pa.array(at[i:j], pa.int64()), cut], names=["image_id", *keys, "at", "bytes"])
+                    i = j
+
+    types = ranges.schema
+    return both.mapInArrow(run, ", ".join(["image_id string", *(f"`{c}` {types[c].dataType.simpleString()}" for c in keys), "at long", "bytes binary"]))
+
+
 def volume_stats(volumes: DataFrame) -> DataFrame:
     """Size, first and last block, and sector geometry from (start, length, block_size, block_count)."""
     return volumes.withColumns({"end": F.col("start") + F.col("length") - 1, "size": F.col("length") * SECTOR, "volume_size": F.col("block_count") * F.col("block_size"), "first_block": F.lit(0).cast("long"), "last_block": F.col("block_count") - 1})
@@ -110,7 +150,7 @@ def partition_details(volumes: DataFrame, versions: DataFrame | None = None) ->
     else:
         own = own.withColumn("os_version", F.lit(None).cast("string"))
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
-    version = F.when(F.col("fs_type") == "NTFS", shown("os_version")).otherwise(F.lit("N/A"))
+    version = F.when(F.upper("fs_type") == "NTFS", shown("os_version")).otherwise(F.lit("N/A"))
     return own.select("image_id", "addr", shown("desc").alias("desc"), "start", "end", "length", "size", shown("fs_type").alias("fs_type"), shown("block_size").alias("block_size"), shown("block_count").alias("block_count"), F.when(F.col("is_alloc"), F.lit("Allocated")).otherwise(F.lit("Unallocated")).alias("status"), shown("label").alias("label"), version.alias("os_version"))
 
 
