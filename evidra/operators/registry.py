@@ -18,10 +18,16 @@ def key_metadata(keys: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def split_tree(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(keys, values) of a hive's tree."""
+    """(keys, values) of a hive's tree; problems() has the rows of hives that couldn't be read to their end."""
+    tree = tree.filter("path is not null")
     return tree.filter("value_name is null").select("hive", "path", "parent", "name", "ts"), tree.filter("value_name is not null").select("hive", "path", F.col("value_name").alias("name"), F.col("value_type").alias("type"), "value")
 
 
+def problems(tree: DataFrame) -> DataFrame:
+    """(hive, problem) of a tree's hives that couldn't be read to their end."""
+    return tree.filter("path is null and value_type = 'problem'").select("hive", F.col("value").alias("problem"))
+
+
 def listing(keys: DataFrame, values: DataFrame) -> DataFrame:
     """(path, depth, kind, name) of the tree view: keys and, below the root, their values; order by path."""
     of_keys = keys.select("path", F.lit("key").alias("kind"), "name", F.col("parent").isNull().alias("root"))

@@ -122,6 +122,12 @@ def read_ranges(chunks: DataFrame, ranges: DataFrame, keys: list[str], width: in
     return both.mapInArrow(run, ", ".join(["image_id string", *(f"`{c}` {types[c].dataType.simpleString()}" for c in keys), "at long", "bytes binary"]))
 
 
+def whole_ranges(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """Pieces of ranges put together again in order of their places: one row for each of the keys."""
+    parts = F.array_sort(F.collect_list(F.struct("at", "bytes")))
+    return pieces.groupBy(*keys).agg(F.aggregate(parts, F.lit(b""), lambda a, p: F.concat(a, p["bytes"])).alias("bytes"))
+
+
 def volume_stats(volumes: DataFrame) -> DataFrame:
     """Size, first and last block, and sector geometry from (start, length, block_size, block_count)."""
     return volumes.withColumns({"end": F.col("start") + F.col("length") - 1, "size": F.col("length") * SECTOR, "volume_size": F.col("block_count") * F.col("block_size"), "first_block": F.lit(0).cast("long"), "last_block": F.col("block_count") - 1})

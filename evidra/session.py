@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "evidra", **conf: str) -> SparkSession:
@@ -29,3 +29,16 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(top))
     sc.addPyFile(str(path))
     sc._evidra_shipped = True
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut off its lineage in the session's shared checkpoint folder; a local session without one gets its own."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            root = tempfile.mkdtemp(prefix="evidra-")
+        spark.sparkContext.setCheckpointDir(root)
+    return df.checkpoint()

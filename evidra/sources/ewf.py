@@ -63,14 +63,27 @@ class Image:
 
 
 def media(images: DataFrame, chunk_bytes: int = 16 << 20) -> DataFrame:
-    """(image_id, chunk_no, offset, len, bytes, stored_md5, stored_sha1) of images (image_id, segments array<binary>)."""
+    """(image_id, chunk_no, offset, len, bytes, stored_md5, stored_sha1, problem) of images (image_id, segments array<binary>).
+
+    An image that can't be read to its end gives the chunks before, and a row with `problem` and no bytes."""
+
+    types = {"chunk_no": pa.int64(), "offset": pa.int64(), "len": pa.int64(), "bytes": pa.binary(), "stored_md5": pa.string(), "stored_sha1": pa.string(), "problem": pa.string()}
+
+    def chunks(segments: list[bytes] | None) -> Iterator[dict]:
+        try:
+            image = Image(segments or [])
+            if not image.chunk:
+                raise ValueError("no EWF volume")
+            for k, at in enumerate(range(0, image.size, chunk_bytes)):
+                data = image.read(at, chunk_bytes)
+                yield {"chunk_no": k, "offset": at, "len": len(data), "bytes": data, "stored_md5": image.md5, "stored_sha1": image.sha1}
+        except (ValueError, TypeError, IndexError, struct.error, zlib.error) as e:
+            yield {"problem": str(e)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, segments in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                image = Image(segments.as_py())
-                for k, at in enumerate(range(0, image.size, chunk_bytes)):
-                    data = image.read(at, chunk_bytes)
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k]), pa.array([at]), pa.array([len(data)]), pa.array([data], pa.binary()), pa.array([image.md5], pa.string()), pa.array([image.sha1], pa.string())], names=["image_id", "chunk_no", "offset", "len", "bytes", "stored_md5", "stored_sha1"])
+                for row in chunks(segments.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), *(pa.array([row.get(c)], t) for c, t in types.items())], names=["image_id", *types])
 
-    return images.select("image_id", "segments").mapInArrow(run, "image_id string, chunk_no long, offset long, len long, bytes binary, stored_md5 string, stored_sha1 string")
+    return images.select("image_id", "segments").mapInArrow(run, "image_id string, chunk_no long, offset long, len long, bytes binary, stored_md5 string, stored_sha1 string, problem string")

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.space import SECTOR, read_ranges
+from ..operators.space import SECTOR, read_ranges, whole_ranges
+from ..session import checkpointed
 
 #: The root directory's record, and attribute types.
 ROOT = 5
@@ -135,7 +136,7 @@ def tables(chunks: DataFrame, volumes: DataFrame) -> DataFrame:
 
     problem is null, or why the table can't be read, or that it goes on in other records, whose part is not read."""
     places = volumes.select("image_id", F.col("start").cast("long").alias("start_offset")).distinct()
-    boots = _whole(read_ranges(chunks, places.select(*KEYS, (F.col("start_offset") * SECTOR).alias("at"), F.lit(SECTOR).cast("long").alias("length")), ["start_offset"]), KEYS)
+    boots = whole_ranges(read_ranges(chunks, places.select(*KEYS, (F.col("start_offset") * SECTOR).alias("at"), F.lit(SECTOR).cast("long").alias("length")), ["start_offset"]), KEYS)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +144,7 @@ def tables(chunks: DataFrame, volumes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("start_offset"), *(pa.array([f[k] for f in found], pa.int64()) for k in range(3))], names=[*KEYS, "cluster", "record", "table"])
 
     known = boots.select(*KEYS, "bytes").mapInArrow(first, "image_id string, start_offset long, cluster long, record long, table long")
-    zero = _whole(read_ranges(chunks, known.filter("table is not null").select(*KEYS, (F.col("start_offset") * SECTOR + F.col("table")).alias("at"), F.col("record").alias("length")), ["start_offset"]), KEYS)
+    zero = whole_ranges(read_ranges(chunks, known.filter("table is not null").select(*KEYS, (F.col("start_offset") * SECTOR + F.col("table")).alias("at"), F.col("record").alias("length")), ["start_offset"]), KEYS)
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,12 +158,6 @@ def tables(chunks: DataFrame, volumes: DataFrame) -> DataFrame:
     return places.join(known, KEYS, "left").join(read, KEYS, "left").select(*KEYS, "cluster", "record", "runs", "size", missing.alias("problem"))
 
 
-def _whole(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """Pieces of one range put together again in order of their places."""
-    parts = F.array_sort(F.collect_list(F.struct("at", "bytes")))
-    return pieces.groupBy(*keys).agg(F.aggregate(parts, F.lit(b""), lambda a, p: F.concat(a, p["bytes"])).alias("bytes"))
-
-
 def _ranges(rows: DataFrame, width: int, end: str) -> DataFrame:
     """(..., pos, at, length): rows' runs cut into ranges of at most `width` bytes, as far as the column `end`; gaps have none."""
     flat = rows.withColumn("run", F.explode("runs")).filter("run.lcn >= 0")
@@ -181,7 +176,7 @@ def records(chunks: DataFrame, volumes: DataFrame) -> DataFrame:
     out. The result is read more than once by what follows: write it to a table first where the images are large."""
     said = tables(chunks, volumes).filter("runs is not null")
     wanted = _ranges(said, TABLE_PIECE, "size").select(*KEYS, "cluster", "record", "pos", "at", "length")
-    pieces = _whole(read_ranges(chunks, wanted, ["start_offset", "cluster", "record", "pos"]), [*KEYS, "cluster", "record", "pos"])
+    pieces = whole_ranges(read_ranges(chunks, wanted, ["start_offset", "cluster", "record", "pos"]), [*KEYS, "cluster", "record", "pos"])
     plain = {"inode": pa.int64(), "seq": pa.int64(), "base": pa.int64(), "base_seq": pa.int64(), "in_use": pa.bool_(), "is_directory": pa.bool_(), "names": _NAMES, "runs": _RUN, "size": pa.int64(), "valid": pa.int64(), "kept": pa.binary(), "coded": pa.bool_(), "problem": pa.string()}
     stamps = ["created", "modified", "changed", "accessed"]
 
@@ -216,19 +211,9 @@ def _paths(folders: DataFrame) -> DataFrame:
 
     up is the directory that path is below, null where path is whole. Each round puts the path of `up` in front and
     takes over its `up`, so what is known doubles, and is cut off its lineage by a checkpoint."""
-    spark = folders.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            root = tempfile.mkdtemp(prefix="evidra-")
-        spark.sparkContext.setCheckpointDir(root)
     folders = folders.withColumn("own", F.col("path"))
     for _ in range(ROUNDS):
-        folders = folders.checkpoint()
+        folders = checkpointed(folders)
         if folders.filter("up is not null").isEmpty():
             break
         above = folders.select(*KEYS, F.col("inode").alias("up"), F.col("up").alias("next"), F.col("path").alias("front"))

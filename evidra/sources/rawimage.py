@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.space import read_ranges, whole_ranges
+from ..session import checkpointed
+
 SECTOR = 512
 SCHEMA = "image_id string, chunk_no long, offset long, len long, bytes binary"
 #: Partition types of an MBR and of a GPT that have names here.
@@ -174,3 +177,54 @@ def volumes(images: DataFrame, image: str = "path", content: str = "content") ->
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     return images.select(image, content).mapInArrow(run, "image_id string, addr int, desc string, start long, length long, is_alloc boolean, fs_type string, block_size int").filter("desc <> ''")
+
+
+#: Bytes at an image's beginning that its volume table lies in, and at a volume's that tell its filesystem.
+HEAD, PROBE = 64 << 10, 33000
+
+
+def volumes_of_chunks(chunks: DataFrame) -> DataFrame:
+    """(image_id, addr, desc, start, length, is_alloc, fs_type, block_size) of images as chunk tables, of any size.
+
+    An image's head and the first sectors of its volumes are read as ranges. Tables of logical partitions are read one
+    round each, since each says where the next one is. Images without a volume table have no rows.
+    """
+    ends = chunks.groupBy("image_id").agg(F.max(F.col("offset") + F.col("len")).alias("size"))
+    heads = whole_ranges(read_ranges(chunks, ends.select("image_id", F.lit(0).cast("long").alias("at"), F.lit(HEAD).cast("long").alias("length")), []), ["image_id"])
+    state = ends.join(heads.withColumnRenamed("bytes", "head"), "image_id").withColumn("more", F.expr("cast(array() as array<struct<sector:bigint,bytes:binary>>)"))
+    layout = pa.list_(pa.struct([("addr", pa.int32()), ("desc", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("is_alloc", pa.bool_())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, wants = [], []
+            for head, size, more in zip(*(batch.column(c).to_pylist() for c in ("head", "size", "more")), strict=True):
+                known, missing = {m["sector"]: m["bytes"] or b"" for m in more}, []
+
+                def sector(s: int, head: bytes = head, known: dict = known, missing: list = missing) -> bytes:
+                    if (s + 1) * SECTOR <= len(head):
+                        return head[s * SECTOR : (s + 1) * SECTOR]
+                    if s not in known:
+                        missing.append(s)
+                    return known.get(s, b"")
+
+                rows.append([dict(zip(("addr", "desc", "start", "length", "is_alloc"), r, strict=True)) for r in volume_table(head, size // SECTOR, sector)])
+                wants.append(missing[0] if missing else None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("image_id", "size", "head", "more")), pa.array(rows, layout), pa.array(wants, pa.int64())], names=["image_id", "size", "head", "more", "rows", "want"])
+
+    while True:
+        found = checkpointed(state.select("image_id", "size", "head", "more").mapInArrow(run, "image_id string, size long, head binary, more array<struct<sector:bigint,bytes:binary>>, rows array<struct<addr:int,desc:string,start:bigint,length:bigint,is_alloc:boolean>>, want long"))
+        asked = found.filter("want is not null").select("image_id", "want", (F.col("want") * SECTOR).alias("at"), F.lit(SECTOR).cast("long").alias("length"))
+        if asked.isEmpty():
+            break
+        read = whole_ranges(read_ranges(chunks, asked, ["want"]), ["image_id", "want"]).select("image_id", F.col("bytes").alias("read"))
+        state = found.join(read, "image_id", "left").withColumn("more", F.when(F.col("want").isNull(), F.col("more")).otherwise(F.concat("more", F.array(F.struct(F.col("want").alias("sector"), F.col("read").alias("bytes"))))))
+    listed = found.select("image_id", F.explode("rows").alias("r")).select("image_id", "r.*").filter("desc <> ''")
+    probes = listed.filter("is_alloc").select("image_id", "addr", (F.col("start") * SECTOR).alias("at"), F.lit(PROBE).cast("long").alias("length"))
+    boots = whole_ranges(read_ranges(chunks, probes, ["addr"]), ["image_id", "addr"])
+
+    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [filesystem(b) or (None, None) for b in batch.column("bytes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("addr"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32())], names=["image_id", "addr", "fs_type", "block_size"])
+
+    return listed.join(boots.select("image_id", "addr", "bytes").mapInArrow(kinds, "image_id string, addr int, fs_type string, block_size int"), ["image_id", "addr"], "left")

@@ -8,7 +8,7 @@ from io import BytesIO
 
 import pytest
 
-from evidra.operators import carve
+from evidra.operators import carve, registry
 from evidra.sources import ewf, export, fat, rawimage, regf
 from evidra.streaming import counts
 
@@ -118,6 +118,35 @@ def test_volumes_and_fat(spark, tmp_path):
     assert bytes(rows["/_ELETED.BIN"].content) == b"gone!" and not rows["/_ELETED.BIN"].is_allocated
     assert rows["/DIR/IN.TXT"].parent_inode == rows["/DIR"].inode
     assert str(rows["/DIR/IN.TXT"].modified) == "2024-01-15 14:00:00"
+    broken = spark.createDataFrame([("a", 64, fat16()), ("b", 0, b"short"), ("c", 0, bytes(512)), ("d", 0, None)], "image_id string, start_offset long, bytes binary")
+    got = fat.entries(broken).collect()
+    assert sum(r.image_id == "a" and r.problem is None for r in got) == 4
+    assert sorted(r.image_id for r in got if r.problem is not None) == ["b", "c", "d"] and all(r.path is None for r in got if r.problem)
+
+
+def extended_disk():
+    """A primary FAT volume, and two logical ones whose tables lie 200 and 400 sectors on."""
+    out = bytearray(disk() + bytes(512 * 600))
+    struct.pack_into("<B3xB3xII", out, 462, 0, 0x05, 5200, 500)
+    for at, (start, length), onward in ((5200, (10, 100), 200), (5400, (10, 90), None)):
+        struct.pack_into("<B3xB3xII", out, at * 512 + 446, 0, 0x83, start, length)
+        if onward:
+            struct.pack_into("<B3xB3xII", out, at * 512 + 462, 0, 0x05, onward, 200)
+        out[at * 512 + 510 : at * 512 + 512] = b"\x55\xaa"
+    return bytes(out)
+
+
+@pytest.mark.parametrize("width", [1000, 1 << 16])
+def test_volumes_of_chunks(spark, width):
+    """The same volumes from chunks as from whole images; logical partitions beyond the head too."""
+    images = spark.createDataFrame([("a", disk()), ("b", extended_disk()), ("wiped", bytes(9000))], "path string, content binary")
+    key = lambda r: (r.image_id, r.addr)
+    columns = ["image_id", "addr", "desc", "start", "length", "is_alloc", "fs_type", "block_size"]
+    want = sorted(rawimage.volumes(images).select(columns).collect(), key=key)
+    got = sorted(rawimage.volumes_of_chunks(rawimage.chunks_of_files(images, width)).select(columns).collect(), key=key)
+    assert got == want
+    assert [(r.start, r.length) for r in got if r.desc == "Linux (0x83)"] == [(5210, 100), (5410, 90)]
+    assert {r.image_id for r in got} == {"a", "b"}
 
 
 def test_raw_image_source(spark, tmp_path):
@@ -172,6 +201,15 @@ def test_hive(spark):
     assert rows == [("ROOT", None, None, None), ("ROOT\\Child", None, None, None), ("ROOT\\Child", "(default)", "RegSZ", "hi"), ("ROOT\\Child", "num", "RegDWord", "42")]
     with pytest.raises(ValueError):
         regf.Hive(b"no hive at all")
+    cut = bytearray(hive())
+    at = cut.index(b"vk") + 8  # where the first value's data lies
+    cut[at : at + 4] = struct.pack("<I", 1 << 20)
+    df = spark.createDataFrame([("good", hive()), ("bad", b"no hive at all"), ("none", None), ("cut", bytes(cut))], "path string, content binary")
+    tree = regf.tree(df)
+    assert {r.hive: r.problem for r in registry.problems(tree).collect()} == {"bad": "no registry hive", "none": "no registry hive", "cut": "a cell lies outside the hive"}
+    keys, values = registry.split_tree(tree)
+    assert sorted((r.hive, r.path) for r in keys.collect()) == [("cut", "ROOT"), ("good", "ROOT"), ("good", "ROOT\\Child")]
+    assert sorted((r.hive, r.name) for r in values.collect()) == [("good", "(default)"), ("good", "num")]
 
 
 def segment(data, chunk=1024):
@@ -202,6 +240,13 @@ def test_ewf(spark):
     df = spark.createDataFrame([("e", [segment(data)])], "image_id string, segments array<binary>")
     rows = ewf.media(df, 4096).orderBy("offset").collect()
     assert b"".join(bytes(r.bytes) for r in rows) == data and rows[0].stored_md5 == image.md5
+    cut = segment(data)
+    at = cut.rindex(zlib.compress(data[:1024]))  # the tenth chunk
+    df = spark.createDataFrame([("e", [segment(data)]), ("bad", [b"no segment"]), ("none", None), ("cut", [cut[:at] + b"\xff" * 20 + cut[at + 20 :]])], "image_id string, segments array<binary>")
+    got = ewf.media(df, 4096).collect()
+    assert sorted(r.image_id for r in got if r.problem is not None) == ["bad", "cut", "none"]
+    assert [(r.offset, r.len) for r in got if r.image_id == "cut" and r.problem is None] == [(0, 4096), (4096, 4096)]
+    assert b"".join(bytes(r.bytes) for r in sorted((r for r in got if r.image_id == "e"), key=lambda r: r.offset)) == data
 
 
 def test_export(spark, tmp_path):
