@@ -16,7 +16,7 @@ from .functions import scalar as S
 from .functions import text as X
 from .operators import carve, history, paging, registry, reports, search, space, timeline, verify
 from .plans import evidence, samples
-from .sources import bodyfile, export
+from .sources import bodyfile, export, rawimage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -760,3 +760,32 @@ def registry_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, values = _hive(spark, sf_dir)
     first = values.agg(F.min("path")).first()[0]
     return registry.value_table(values, first or "").select("name", "type", "value")
+
+
+@_query("""WITH d AS (SELECT doc_id, encode(text) AS b, strlen(text) AS size, doc_id % 97 AS a FROM documents),
+r AS (SELECT doc_id, a, b, size, size // 2 + doc_id % 3000 AS n FROM d)
+SELECT doc_id, CAST(a AS BIGINT) AS "offset", CAST(octet_length(b[a + 1:a + n]) AS BIGINT) AS size, sha256(b[a + 1:a + n]) AS sha256 FROM r WHERE size > a AND n > 0""")
+def range_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One range of every file, over all the chunks that it crosses."""
+    files = evidence.files(spark, sf_dir)
+    chunks = rawimage.chunks_of_files(files.select(F.col("inode").cast("string").alias("path"), "content"), 1000)
+    at = (F.col("inode") % 97).cast("long")
+    length = F.floor(F.octet_length("content") / 2).cast("long") + F.col("inode") % 3000
+    ranges = files.select(F.col("inode").cast("string").alias("image_id"), F.col("inode").alias("doc_id"), at.alias("at"), length.alias("length"))
+    got = space.whole_ranges(space.read_ranges(chunks, ranges, ["doc_id"], 4096), ["image_id", "doc_id"])
+    return got.select("doc_id", (F.col("doc_id") % 97).cast("long").alias("offset"), F.octet_length("bytes").cast("long").alias("size"), F.sha2("bytes", 256).alias("sha256"))
+
+
+PLACED = "c_custkey AS k, 2 + c_custkey % 500 AS start, 1 + c_custkey * 37 AS length FROM customer"
+
+
+@_query(f"""WITH p AS (SELECT {PLACED})
+SELECT CAST(k AS VARCHAR) AS image_id, 0 AS addr, 'Primary Table (#0)' AS "desc", CAST(0 AS BIGINT) AS start, CAST(1 AS BIGINT) AS length, false AS is_alloc FROM p
+UNION ALL SELECT CAST(k AS VARCHAR), 1, 'Unallocated', 1, start - 1, false FROM p UNION ALL SELECT CAST(k AS VARCHAR), 2, 'Linux (0x83)', start, length, true FROM p""")
+def partition_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The volume table of an image for each customer, made as bytes and read from its chunks."""
+    word = lambda c: F.concat(*[F.substring(F.lpad(F.hex(c), 8, "0"), at, 2) for at in (7, 5, 3, 1)])
+    rows = evidence.table(spark, sf_dir, "customer").selectExpr(*PLACED.replace(" FROM customer", "").split(", "))
+    sector = F.concat(F.lit("00" * 446 + "00" * 4 + "83" + "00" * 3), word(F.col("start")), word(F.col("length")), F.lit("00" * 48 + "55AA"))
+    chunks = rawimage.chunks_of_files(rows.select(F.col("k").cast("string").alias("path"), F.unhex(sector).alias("content")), 300)
+    return rawimage.volumes_of_chunks(chunks).select("image_id", "addr", "desc", "start", "length", "is_alloc")
