@@ -28,6 +28,7 @@ WHOLE = 256 << 20
 #: Doublings of known path lengths: 2**ROUNDS levels.
 ROUNDS = 9
 KEYS = ["image_id", "start_offset"]
+STAMPS = ["created", "modified", "changed", "accessed"]
 REF = (1 << 48) - 1
 
 
@@ -134,7 +135,8 @@ _PLACES = "array<struct<vcn:bigint,lcn:bigint,n:bigint>>"
 def tables(chunks: DataFrame, volumes: DataFrame) -> DataFrame:
     """(image_id, start_offset, cluster, record, runs, size, problem) of the file table of each volume (image_id, start in sectors).
 
-    problem is null, or why the table can't be read, or that it goes on in other records, whose part is not read."""
+    problem is null, or why the table can't be read, or that parts of it weren't found. A file table that goes on in other
+    records is followed from those that are known, a round each time that it grows."""
     places = volumes.select("image_id", F.col("start").cast("long").alias("start_offset")).distinct()
     boots = whole_ranges(read_ranges(chunks, places.select(*KEYS, (F.col("start_offset") * SECTOR).alias("at"), F.lit(SECTOR).cast("long").alias("length")), ["start_offset"]), KEYS)
 
@@ -150,12 +152,22 @@ def tables(chunks: DataFrame, volumes: DataFrame) -> DataFrame:
         for batch in batches:
             said = [record(b) or {"runs": [], "size": 0, "listed": False, "problem": "no file table"} for b in batch.column("bytes").to_pylist()]
             places = [[{"vcn": a, "lcn": b, "n": c} for a, b, c in r["runs"]] for r in said]
-            problem = [r["problem"] or ("the file table goes on in other records" if r["listed"] else None if r["runs"] else "no file table") for r in said]
-            yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("start_offset"), pa.array(places, _RUN), pa.array([r["size"] for r in said], pa.int64()), pa.array(problem, pa.string())], names=[*KEYS, "runs", "size", "problem"])
+            problem = [r["problem"] or (None if r["runs"] else "no file table") for r in said]
+            plain = [pa.array([r.get(c) for r in said], t) for c, t in (("size", pa.int64()), ("seq", pa.int64()), ("listed", pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("start_offset"), pa.array(places, _RUN), *plain, pa.array(problem, pa.string())], names=[*KEYS, "runs", "size", "seq", "listed", "problem"])
 
-    read = zero.select(*KEYS, "bytes").mapInArrow(opened, f"image_id string, start_offset long, runs {_PLACES}, size long, problem string")
+    read = zero.select(*KEYS, "bytes").mapInArrow(opened, f"image_id string, start_offset long, runs {_PLACES}, size long, seq long, listed boolean, problem string")
     missing = F.when(F.col("cluster").isNull(), F.lit("no NTFS boot sector")).when(F.col("runs").isNull(), F.lit("the file table lies outside the image")).otherwise(F.col("problem"))
-    return places.join(known, KEYS, "left").join(read, KEYS, "left").select(*KEYS, "cluster", "record", "runs", "size", missing.alias("problem"))
+    found = checkpointed(places.join(known, KEYS, "left").join(read, KEYS, "left").select(*KEYS, "cluster", "record", "runs", "size", "seq", "listed", missing.alias("problem")))
+    grown = found.filter("listed and problem is null")
+    while not grown.isEmpty():
+        more = _parsed(chunks, grown).join(found.select(*KEYS, F.col("seq").alias("own_seq")), KEYS).filter("base = 0 and inode > 0 and in_use and base_seq = own_seq and size(runs) > 0")
+        more = more.groupBy(*KEYS).agg(F.flatten(F.collect_list("runs")).alias("more"))
+        after = found.join(more, KEYS, "left").withColumn("all", F.array_sort(F.array_union("runs", F.coalesce("more", "runs"))))
+        after = checkpointed(after.select(*KEYS, "cluster", "record", F.coalesce("all", "runs").alias("runs"), "size", "seq", (F.size("all") > F.size("runs")).alias("listed"), "problem"))
+        found, grown = after, after.filter("listed and problem is null")
+    held = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["n"]) * F.col("cluster")
+    return found.select(*KEYS, "cluster", "record", "runs", "size", F.when(F.col("problem").isNull() & (held < F.col("size")), F.lit("parts of the file table weren't found")).otherwise(F.col("problem")).alias("problem"))
 
 
 def _ranges(rows: DataFrame, width: int, end: str) -> DataFrame:
@@ -167,18 +179,11 @@ def _ranges(rows: DataFrame, width: int, end: str) -> DataFrame:
     return cut.withColumns({"pos": F.col("_pos") + F.col("_k"), "at": F.col("_at") + F.col("_k"), "length": F.least(F.lit(width).cast("long"), F.col("_size") - F.col("_k"))}).drop("run", "_pos", "_size", "_at", "_k")
 
 
-def records(chunks: DataFrame, volumes: DataFrame) -> DataFrame:
-    """A row for each file of each NTFS volume: inode, seq, in_use, is_directory, names, times, size, valid (bytes that
-    were ever written), kept (content held in the record), runs, coded (compressed or encrypted), cluster, problem.
-
-    volumes(image_id, start) are places of NTFS volumes in sectors; other volumes give no rows (tables() says why).
-    Records that continue a file are joined to it by its number and sequence; those of files that are gone are left
-    out. The result is read more than once by what follows: write it to a table first where the images are large."""
-    said = tables(chunks, volumes).filter("runs is not null")
+def _parsed(chunks: DataFrame, said: DataFrame) -> DataFrame:
+    """The records of file tables (image_id, start_offset, cluster, record, runs, size), each as it stands."""
     wanted = _ranges(said, TABLE_PIECE, "size").select(*KEYS, "cluster", "record", "pos", "at", "length")
     pieces = whole_ranges(read_ranges(chunks, wanted, ["start_offset", "cluster", "record", "pos"]), [*KEYS, "cluster", "record", "pos"])
     plain = {"inode": pa.int64(), "seq": pa.int64(), "base": pa.int64(), "base_seq": pa.int64(), "in_use": pa.bool_(), "is_directory": pa.bool_(), "names": _NAMES, "runs": _RUN, "size": pa.int64(), "valid": pa.int64(), "kept": pa.binary(), "coded": pa.bool_(), "problem": pa.string()}
-    stamps = ["created", "modified", "changed", "accessed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,21 +194,31 @@ def records(chunks: DataFrame, volumes: DataFrame) -> DataFrame:
                     r = record(data[k : k + size])
                     if r is not None:
                         inode = (pos + k) // size
-                        if not r["base"]:
+                        if not r["base"] and not r["base_seq"]:
                             r |= {"base": inode, "base_seq": r["seq"]}
                         rows.append(r | {"inode": inode, "runs": [{"vcn": a, "lcn": b, "n": c} for a, b, c in r["runs"]]})
                 held = [pa.array([image.as_py()] * len(rows), pa.string()), *(pa.array([x.as_py()] * len(rows), pa.int64()) for x in (start, cluster))]
                 held += [pa.array([r[c] for r in rows], t) for c, t in plain.items()] + [pa.array([r["times"][k] for r in rows], pa.timestamp("us")) for k in range(4)]
-                yield pa.RecordBatch.from_arrays(held, names=[*KEYS, "cluster", *plain, *stamps])
+                yield pa.RecordBatch.from_arrays(held, names=[*KEYS, "cluster", *plain, *STAMPS])
+
+    schema = f"image_id string, start_offset long, cluster long, inode long, seq long, base long, base_seq long, in_use boolean, is_directory boolean, names array<struct<parent:bigint,parent_seq:bigint,space:int,name:string>>, runs {_PLACES}, size long, valid long, kept binary, coded boolean, problem string, " + ", ".join(f"{s} timestamp_ntz" for s in STAMPS)
+    return pieces.mapInArrow(run, schema)
 
-    schema = f"image_id string, start_offset long, cluster long, inode long, seq long, base long, base_seq long, in_use boolean, is_directory boolean, names array<struct<parent:bigint,parent_seq:bigint,space:int,name:string>>, runs {_PLACES}, size long, valid long, kept binary, coded boolean, problem string, " + ", ".join(f"{s} timestamp_ntz" for s in stamps)
-    parsed = pieces.mapInArrow(run, schema)
-    own = F.first(F.when(F.col("inode") == F.col("base"), F.struct("seq", "in_use", "is_directory", *stamps, F.col("problem").alias("own_problem"))), ignorenulls=True)
+
+def records(chunks: DataFrame, volumes: DataFrame) -> DataFrame:
+    """A row for each file of each NTFS volume: inode, seq, in_use, is_directory, names, times, size, valid (bytes that
+    were ever written), kept (content held in the record), runs, coded (compressed or encrypted), cluster, problem.
+
+    volumes(image_id, start) are places of NTFS volumes in sectors; other volumes give no rows (tables() says why).
+    Records that continue a file are joined to it by its number and sequence; those of files that are gone are left
+    out. The result is read more than once by what follows: write it to a table first where the images are large."""
+    parsed = _parsed(chunks, tables(chunks, volumes).filter("runs is not null"))
+    own = F.first(F.when(F.col("inode") == F.col("base"), F.struct("seq", "in_use", "is_directory", *STAMPS, F.col("problem").alias("own_problem"))), ignorenulls=True)
     part = F.collect_list(F.struct("base_seq", "names", "runs", "size", "valid", "kept", "coded", "problem"))
     files = parsed.groupBy(*KEYS, "cluster", F.col("base").alias("inode")).agg(own.alias("o"), part.alias("parts")).filter("o is not null")
     files = files.withColumn("parts", F.filter("parts", lambda p: p["base_seq"] == F.col("o.seq")))
     most = lambda c: F.array_max(F.transform("parts", lambda p: p[c])).alias(c)
-    return files.select(*KEYS, "cluster", "inode", "o.seq", "o.in_use", "o.is_directory", *[f"o.{c}" for c in stamps], F.flatten("parts.names").alias("names"), F.array_sort(F.flatten("parts.runs")).alias("runs"), most("size"), most("valid"), most("kept"), F.exists("parts", lambda p: p["coded"]).alias("coded"), F.coalesce("o.own_problem", most("problem")).alias("problem"))
+    return files.select(*KEYS, "cluster", "inode", "o.seq", "o.in_use", "o.is_directory", *[f"o.{c}" for c in STAMPS], F.flatten("parts.names").alias("names"), F.array_sort(F.flatten("parts.runs")).alias("runs"), most("size"), most("valid"), most("kept"), F.exists("parts", lambda p: p["coded"]).alias("coded"), F.coalesce("o.own_problem", most("problem")).alias("problem"))
 
 
 def _paths(folders: DataFrame) -> DataFrame:

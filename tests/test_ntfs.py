@@ -53,7 +53,7 @@ def standard():
 LONG = bytes(range(256)) * 14
 
 
-def volume():
+def volume(split=False):
     """A file table in two runs, folders, a hive, a kept file, gaps, a deleted file, hard links, a file in two records."""
     own = hive()
     folder = lambda text, parent, **kw: entry([standard(), name(text, parent)], flags=3, **kw)
@@ -78,6 +78,10 @@ def volume():
         33: entry([standard(), name("Pool", 32)], flags=3),
         34: entry([standard(), name("end", 5), stored(0x80, [(195, 50)], 50 * CLUSTER)]),  # beyond the image
     }
+    if split:  # the table's second run is told by record 20, its third part by a record of the second
+        table[0] = entry([standard(), resident(0x20, b"list"), name("$MFT", 5), stored(0x80, [(4, 24)], 40 * RECORD)])
+        table[20] = entry([stored(0x80, [(60, 8)], 0, vcn=24)], base=1 << 48)
+        table[29] = entry([stored(0x80, [(68, 8)], 0, vcn=32)], base=1 << 48)
     torn = bytearray(entry([standard(), name("torn", 5)]))
     torn[510:512] = b"xx"
     table[35] = bytes(torn)
@@ -97,11 +101,11 @@ def volume():
     return bytes(out)
 
 
-def image():
+def image(split=False):
     head = bytearray(START * 512)
     struct.pack_into("<B3xB3xII", head, 446, 0x80, 0x07, START, 400)
     head[510:512] = b"\x55\xaa"
-    return bytes(head) + volume()
+    return bytes(head) + volume(split)
 
 
 @pytest.fixture(scope="module", params=[1000, 65536])
@@ -179,3 +183,15 @@ def test_records_that_are_broken():
     with pytest.raises(ValueError):
         list(ntfs.runs(b"\x11\x00\x05\x00"))
     assert ntfs.geometry(bytes(512)) is None and ntfs.geometry(b"short") is None
+
+
+def test_a_file_table_in_parts(spark):
+    places = spark.createDataFrame([("i", START), ("cut", START)], "image_id string, start long")
+    cut = bytearray(image(split=True))
+    at = (START * 512) + 24 * CLUSTER  # record 20
+    cut[at : at + 4] = b"BAAD"
+    whole, parts = (rawimage.chunks_of_files(spark.createDataFrame([("i", b), ("cut", bytes(cut))], "path string, content binary"), 5000) for b in (image(), image(split=True)))
+    key = lambda r: (r.path, r.inode)
+    names = lambda chunks: sorted(key(r) for r in ntfs.entries(ntfs.records(chunks, places)).filter("image_id = 'i'").collect())
+    assert names(parts) == names(whole)
+    assert {r.image_id: r.problem for r in ntfs.tables(parts, places).collect()} == {"i": None, "cut": "parts of the file table weren't found"}
