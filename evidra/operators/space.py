@@ -90,7 +90,8 @@ def read_ranges(chunks: DataFrame, ranges: DataFrame, keys: list[str], width: in
 
     Ranges meet the chunks' places by buckets of `width` bytes, without their bytes; then each chunk is joined with
     the list of what is wanted of it, and cut in one pass. Parts beyond an image have no rows. A chunk's overlap
-    with the next one isn't read. A range may have any length, but the parts of a chunk are as long as they are."""
+    with the next one isn't read. The list of a chunk is as long as ranges that meet it, so ask for no range twice;
+    a part is as long as the chunk allows, whatever `width` is."""
     spread = lambda a, n: F.explode(F.sequence(F.floor(a / width).cast("long"), F.floor((a + n - 1) / width).cast("long")))
     places = chunks.filter("len > 0").select("image_id", F.col("offset").alias("c_at"), F.col("len").cast("long").alias("c_len"))
     places = places.withColumn("bucket", spread(F.col("c_at"), F.col("c_len")))
@@ -104,19 +105,28 @@ def read_ranges(chunks: DataFrame, ranges: DataFrame, keys: list[str], width: in
     both = chunks.filter("len > 0").select("image_id", "offset", "bytes").join(lists, ["image_id", "offset"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        images, held_keys, places, cuts, held = [], [], [], [], 0
+
+        def batch_of() -> pa.RecordBatch:
+            own = [pa.concat_arrays([k.field(c) for k in held_keys]) for c in keys]
+            return pa.RecordBatch.from_arrays([pa.array(images, pa.string()), *own, pa.array(places, pa.int64()), pa.array(cuts, pa.binary())], names=["image_id", *keys, "at", "bytes"])
+
         for batch in batches:
             for k in range(batch.num_rows):
-                image, offset, data = (batch.column(c)[k].as_py() for c in ("image_id", "offset", "bytes"))
-                wanted = batch.column("wanted")[k].values
+                image, offset = batch.column("image_id")[k].as_py(), batch.column("offset")[k].as_py()
+                data, wanted = batch.column("bytes")[k].as_buffer(), batch.column("wanted")[k].values
                 key, at, size = wanted.field("key"), wanted.field("at").to_pylist(), wanted.field("length").to_pylist()
-                i = 0
-                while i < len(at):
-                    j, held = i, 0
-                    while j < len(at) and (j == i or held + size[j] <= width):
-                        held, j = held + size[j], j + 1
-                    cut = pa.array([data[a - offset : a - offset + n] for a, n in zip(at[i:j], size[i:j], strict=True)], pa.large_binary() if held >= 1 << 31 else pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([image] * (j - i), pa.string()), *(key.field(c).slice(i, j - i) for c in keys), pa.array(at[i:j], pa.int64()), cut], names=["image_id", *keys, "at", "bytes"])
-                    i = j
+                for j in range(len(at)):
+                    if cuts and (held + size[j] > width or len(cuts) >= 2000):
+                        yield batch_of()
+                        images, held_keys, places, cuts, held = [], [], [], [], 0
+                    images.append(image)
+                    held_keys.append(key.slice(j, 1))
+                    places.append(at[j])
+                    cuts.append(data[at[j] - offset : at[j] - offset + size[j]].to_pybytes())
+                    held += size[j]
+        if cuts:
+            yield batch_of()
 
     types = ranges.schema
     return both.mapInArrow(run, ", ".join(["image_id string", *(f"`{c}` {types[c].dataType.simpleString()}" for c in keys), "at long", "bytes binary"]))
