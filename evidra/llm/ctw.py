@@ -2,11 +2,14 @@
 
 A byte is eight binary decisions, each with its own context tree over the preceding bytes. Every node has a
 Krichevsky-Trofimov estimate from its counts of zeros and ones, and a weighted probability that mixes the
-estimate with the product of its children's. Counts of all training texts are gathered as byte (DEPTH+1)-grams;
-a context of three bytes or more is in the tree if enough of the training bytes follow it. A depth has at most
-CONTEXTS contexts for a corpus of 1 GiB, and that bound grows with the cube root of the corpus, so the tree that
-each task holds does too; what pruned children held is one child more. With the counts fixed, the mixture of a
-path is one probability for each (context, byte), and a text's code length is their sum.
+estimate with the product of its children's. Counts of all training texts are gathered as byte (DEPTH+1)-grams, and
+every context that occurs is a node, at every depth. With the counts fixed, the mixture of a path is one probability
+for each (context, byte), and a text's code length is their sum.
+
+The tree is never in one place. All grams behind the same two bytes are in one bucket, which has whole trees below
+them; what lies above is 256 contexts and the root, of fixed size. A bounded number of the most frequent grams
+(HEADS) have their probabilities at hand where the text is; a text's other grams meet their bucket by a join, those
+that no training text has as well: a gram without counts changes nothing in the tree that it is added to.
 
 Words of the unigram base are counted by 64-bit hash. Words that make up at least one 2**WORD_BITS-th of the
 tokens, a bounded number, are looked up where the text is; the others' counts come by a join.
@@ -29,12 +32,22 @@ from .pieces import Kept
 from .words import LOWER, SOLID, Words
 
 DEPTH = 5
-#: Contexts that a depth may have for a corpus of 1 GiB; for one of n GiB this times the cube root of n.
-CONTEXTS = 1 << 17
+#: Bytes of context that all grams of a bucket's trees have in common.
+BASE = 2
+#: Grams whose probabilities every task has at hand; the others' come by a join.
+HEADS = 1 << 19
+#: A head makes up at least one 2**HEAD_BITS-th of the training bytes.
+HEAD_BITS = 24
+#: Grams that a task holds before it sends them to their buckets.
+HELD = 1 << 20
+#: Grams that a bucket answers at once.
+ASKED = 1 << 22
+#: Grams of one row of a bucket.
+ROW_GRAMS = 1 << 17
 WORD_BITS = 20
 #: Hash that stands for a text's end among the words.
 END_WORD = 0x5851F42D4C957F2D
-WORDS, GRAMS, TOTALS = 0, 1, 2
+WORDS, GRAMS, TOTALS, TOP, HEAD = range(5)
 
 
 def code_of(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -83,6 +96,11 @@ class Tally:
         return self.parts[0]
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each gram, by the last two bytes of its context."""
+    return (((keys >> np.uint64(8) & np.uint64(0xFFFF)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
 def _prepared(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     """(words, lower-cased bytes with a NUL after each text, offsets)."""
     data, offsets = flat(column)
@@ -107,9 +125,9 @@ def _gather(buckets: int, depth: int):
             return
         rows = [(TOTALS, 0, n_bytes, n_tokens, b"", b"")]
         words.parts.append((np.array([END_WORD], np.uint64), np.array([n_texts])))
-        for kind, t, bucket in ((WORDS, words, lambda k: k % np.uint64(buckets)), (GRAMS, grams, lambda k: ((k >> np.uint64(8) & np.uint64(0xFFFF)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets))):
+        for kind, t, bucket in ((WORDS, words, lambda k: (k % np.uint64(buckets)).astype(np.int64)), (GRAMS, grams, lambda k: bucket_of(k, buckets))):
             keys, counts = t.merge()
-            of = bucket(keys).astype(np.int64)
+            of = bucket(keys)
             order = np.argsort(of, kind="stable")
             at = np.searchsorted(of[order], np.arange(buckets + 1))
             keys, counts = keys[order], counts[order]
@@ -120,37 +138,6 @@ def _gather(buckets: int, depth: int):
     return run
 
 
-def kept_contexts(keys: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
-    """Whether at least `least` bytes follow the context of each gram; grams are sorted."""
-    context = keys >> np.uint64(8)
-    edge = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    total = np.add.reduceat(counts, edge) if len(edge) else counts
-    return np.repeat(total >= least, np.diff(np.append(edge, len(keys))))
-
-
-def _merge(least: int, depth: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        kind = int(rows["kind"].iloc[0])
-        t = Tally()
-        for k, c in zip(rows["keys"], rows["counts"], strict=True):
-            t.parts.append((np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)))
-            t.held += len(t.parts[-1][0])
-            if t.held > 2 * t.base + (2 << 20):
-                t.merge()
-        keys, counts = t.merge()
-        if kind == WORDS:
-            return pd.DataFrame({"kind": np.int32(kind), "depth": np.int32(0), "key": keys.view(np.int64), "n": counts})
-        out = []
-        for d in range(depth, 1, -1):  # all grams whose context ends in the same two bytes are here
-            if d < depth:
-                keys, counts = tally(keys & np.uint64((1 << 8 * (d + 1)) - 1), counts)
-            keep = kept_contexts(keys, counts, least if d > 2 else 0)
-            out.append(pd.DataFrame({"kind": np.int32(kind), "depth": np.int32(d), "key": keys[keep].view(np.int64), "n": counts[keep]}))
-        return pd.concat(out)
-
-    return run
-
-
 def lgamma(x: np.ndarray) -> np.ndarray:
     """log gamma of positive numbers, by Stirling's series beyond 8."""
     shift = np.zeros_like(x)
@@ -160,156 +147,217 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+_SMALL = 1 << 14
+_HALF, _WHOLE = (np.array([math.lgamma(n + x) for n in range(_SMALL)]) for x in (0.5, 1.0))
+
+
+def _lgamma_of(n: np.ndarray, table: np.ndarray, more: float) -> np.ndarray:
+    """log gamma of whole numbers and `more`."""
+    out = table[np.minimum(n, _SMALL - 1).astype(np.int64)]
+    large = n >= _SMALL
+    out[large] = lgamma(n[large] + more)
+    return out
+
+
 def kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """log of the Krichevsky-Trofimov probability of any sequence with these counts."""
-    return lgamma(zeros + 0.5) + lgamma(ones + 0.5) - lgamma(zeros + ones + 1.0) - np.log(np.pi)
+    return _lgamma_of(zeros, _HALF, 0.5) + _lgamma_of(ones, _HALF, 0.5) - _lgamma_of(zeros + ones, _WHOLE, 1.0) - np.log(np.pi)
 
 
-class Tree:
-    """The weighted trees of a counted corpus.
+def _weighed(zeros: np.ndarray, ones: np.ndarray, split: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log of the weighted probability, weight of the KT estimate, probability of a one) of nodes; split: the log of
+    the product of their children's weighted probabilities, None for leaves."""
+    own, one = kt(zeros, ones), (ones + 0.5) / (zeros + ones + 1)
+    if split is None:
+        return own, np.ones(len(own)), one
+    log_w = np.logaddexp(own, split) - np.log(2)
+    return log_w, np.exp(own - np.log(2) - log_w), one
 
-    cells: for each depth the sorted grams and the log10 probability of their byte where the path ends
-    there. nodes: for each (depth, bit) the sorted node keys, the KT probability of a one, the weight of the
-    KT estimate, and the probability of a one among pruned children.
-    """
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
-        self.depth = len(grams) - 1
-        codes = [g for g, _ in grams]
-        self.codes, self.nodes = codes, [[None] * 8 for _ in codes]
-        parent = [None] + [np.searchsorted(codes[d - 1], codes[d] & np.uint64((1 << 8 * d) - 1)) for d in range(1, len(codes))]
-        at = [[None] * 8 for _ in codes]  # cell -> node
-        log_w = [[None] * 8 for _ in codes]
-        zero, one = ([[None] * 8 for _ in codes] for _ in range(2))
-        for d, (code, n) in enumerate(grams):
-            for k in range(8):
+def _node(code: np.ndarray, d: int, k: int) -> np.ndarray:
+    """Number of the node that has the first k bits of each gram's byte behind d bytes of context."""
+    context = code >> np.uint64(8) & np.uint64((1 << 8 * d) - 1)
+    return (context << np.uint64(8) | np.uint64(1 << k) | (code & np.uint64(255)) >> np.uint64(8 - k)).astype(np.int64)
+
+
+class Subtrees:
+    """The trees behind BASE bytes of context, of distinct grams in order; grams may have a count of 0."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int):
+        self.levels, self.parents = [(keys, counts.astype(float))], []
+        for d in range(depth - 1, BASE - 1, -1):
+            low, up = np.unique(self.levels[-1][0] & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+            self.levels.append((low, np.bincount(up, weights=self.levels[-1][1], minlength=len(low))))
+            self.parents.append(up)
+
+    def walk(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the grams at `wanted`, the probability of each bit of their byte as the nodes here mix it; for all nodes
+        behind one byte of context, the sum of the logs of the weighted probabilities below; counts of (context, byte)."""
+        out, under = np.empty((len(wanted), 8)), np.zeros(1 << 16)
+        last = self.levels[-1][0]
+        for k in range(8):
+            bit = (self.levels[0][0][wanted] >> np.uint64(7 - k) & np.uint64(1)).astype(bool)
+            cell, q, log_w, edge = wanted, None, None, None
+            nodes = []
+            for i, (code, n) in enumerate(self.levels):
                 key = code >> np.uint64(8 - k)
-                edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-                at[d][k] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])) if len(key) else edge
-                bit = (code >> np.uint64(7 - k) & np.uint64(1)).astype(float)
-                total = np.add.reduceat(n.astype(float), edge) if len(edge) else np.zeros(0)
-                one[d][k] = np.add.reduceat(n * bit, edge) if len(edge) else np.zeros(0)
-                zero[d][k] = total - one[d][k]
-                self.nodes[d][k] = [key[edge], edge]
-        for d in range(self.depth, -1, -1):
-            for k in range(8):
-                a, b = zero[d][k], one[d][k]
-                keys, edge = self.nodes[d][k]
-                own = kt(a, b)
-                if d == self.depth:
-                    log_w[d][k], weight, rest = own, np.ones(len(a)), np.full(len(a), 0.5)
-                else:
-                    up = at[d][k][parent[d + 1][self.nodes[d + 1][k][-1]]]  # the parent of each child node
-                    under = lambda x: np.bincount(up, weights=x, minlength=len(a))  # noqa: E731, B023
-                    a0, b0 = np.maximum(0, a - under(zero[d + 1][k])), np.maximum(0, b - under(one[d + 1][k]))
-                    split = under(log_w[d + 1][k]) + kt(a0, b0)
-                    log_w[d][k] = np.logaddexp(own, split) - np.log(2)
-                    weight, rest = np.exp(own - np.log(2) - log_w[d][k]), (b0 + 0.5) / (a0 + b0 + 1)
-                self.nodes[d][k] = [keys, ((b + 0.5) / (a + b + 1)).astype(np.float32), weight.astype(np.float32), rest.astype(np.float32), edge]
-        self.cells = [self._ending(d, codes, parent, at) for d in range(len(codes))]
-        for row in self.nodes:
-            for node in row:
-                node.pop()
-
-    def _ending(self, m: int, codes: list, parent: list, at: list) -> np.ndarray:
-        """log10 probability of each cell's byte if its path ends at depth m."""
-        out = np.zeros(len(codes[m]))
+                new = np.concatenate([[True], key[1:] != key[:-1]])
+                at = np.cumsum(new) - 1
+                split = np.bincount(at[self.parents[i - 1][edge]], weights=log_w, minlength=at[-1] + 1) if i else None
+                edge = np.flatnonzero(new)
+                ones = np.add.reduceat(n * (code >> np.uint64(7 - k) & np.uint64(1)), edge)
+                log_w, weight, one = _weighed(np.add.reduceat(n, edge) - ones, ones, split)
+                nodes.append((at, weight, one))
+            under += np.bincount(_node(last[edge], BASE - 1, k), weights=log_w, minlength=len(under))
+            for i, (at, weight, one) in enumerate(nodes):
+                node = at[cell]
+                own = np.where(bit, one[node], 1 - one[node])
+                q = own if q is None else weight[node] * own + (1 - weight[node]) * q
+                if i < len(self.parents):
+                    cell = self.parents[i][cell]
+            out[:, k] = q
+        return out, under, np.bincount((last & np.uint64(0xFFFF)).astype(np.int64), weights=self.levels[-1][1], minlength=1 << 16)
+
+
+class Top:
+    """The root and the contexts of one byte: the weight of each node's KT estimate and its probability of a one."""
+
+    def __init__(self, under: np.ndarray, counts: np.ndarray):
+        self.weight, self.one = [np.zeros(1 << 8), np.zeros(1 << 16)], [np.zeros(1 << 8), np.zeros(1 << 16)]
         for k in range(8):
-            bit = (codes[m] >> np.uint64(7 - k) & np.uint64(1)).astype(bool)
-            cell, p = np.arange(len(codes[m])), None
-            for d in range(m, -1, -1):
-                _, own, weight, rest, _ = self.nodes[d][k]
-                node = at[d][k][cell]
-                below = (own[node] if m == self.depth else rest[node]) if p is None else p
-                p = weight[node].astype(float) * own[node] + (1 - weight[node]) * below
-                if d:
-                    cell = parent[d][cell]
-            out += np.log10(np.where(bit, p, 1 - p))
-        return out.astype(np.float32)
-
-    def paths(self, code: np.ndarray) -> np.ndarray:
-        """log10 probability of the byte of each gram, node by node; any gram will do."""
+            at = (np.arange(256)[:, None] << 8 | 1 << k | np.arange(1 << k)).ravel()
+            n = counts.reshape(256, 1 << k, 2, -1).sum(-1)
+            log_w, self.weight[1][at], self.one[1][at] = _weighed(*n.reshape(-1, 2).T, under[at])
+            root = 1 << k | np.arange(1 << k)
+            _, self.weight[0][root], self.one[0][root] = _weighed(*n.sum(0).T, log_w.reshape(256, -1).sum(0))
+
+    def log10(self, code: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """log10 probability of the byte of each gram, from its bits' probabilities as Subtrees has them."""
         out = np.zeros(len(code))
         for k in range(8):
-            bit = (code >> np.uint64(7 - k) & np.uint64(1)).astype(bool)
-            found, deepest = [], np.full(len(code), -1)
-            for d in range(self.depth + 1):
-                keys = self.nodes[d][k][0]
-                key = (code & np.uint64((1 << 8 * (d + 1)) - 1)) >> np.uint64(8 - k)
-                at = np.searchsorted(keys, key)
-                at[at == len(keys)] = 0
-                if len(keys):
-                    deepest[keys[at] == key] = d
-                found.append(at)
-            p = np.full(len(code), 0.5)
-            for d in range(self.depth, -1, -1):
-                _, own, weight, rest = self.nodes[d][k]
-                here = np.flatnonzero(deepest >= d)
-                at = found[d][here]
-                below = np.where(deepest[here] == d, own[at] if d == self.depth else rest[at], p[here])
-                p[here] = weight[at].astype(float) * own[at] + (1 - weight[at]) * below
-            out += np.log10(np.where(bit, p, 1 - p))
+            bit, p = (code >> np.uint64(7 - k) & np.uint64(1)).astype(bool), q[:, k].astype(float)
+            for d in (1, 0):
+                node = _node(code, d, k)
+                one, weight = self.one[d][node], self.weight[d][node]
+                p = weight * np.where(bit, one, 1 - one) + (1 - weight) * p
+            out += np.log10(p)
         return out
 
+
+def answers(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray, top: Top, depth: int) -> np.ndarray:
+    """log10 probability of the byte of each distinct gram asked for, in order; keys are all training grams behind the
+    same bytes, in order."""
+    both, sums = tally(np.concatenate([keys, asked]), np.concatenate([counts, np.zeros(len(asked), np.int64)]))
+    return top.log10(asked, Subtrees(both, sums, depth).walk(np.searchsorted(both, asked))[0]) if len(both) else np.zeros(0)
+
+
+class Tree:
+    """The weighted trees of a counted corpus in one place; grams are those of every depth."""
+
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
+        self.depth, (self.keys, self.counts) = len(grams) - 1, grams[-1]
+        self.top = Top(*Subtrees(self.keys, self.counts, self.depth).walk(np.zeros(0, np.int64))[1:])
+
     def log10(self, code: np.ndarray) -> np.ndarray:
-        """log10 probability of the byte of each distinct gram."""
-        out = np.zeros(len(code))
-        todo = np.arange(len(code))
-        for d in range(self.depth, -1, -1):
-            if not len(todo):
-                break
-            own = code[todo] & np.uint64((1 << 8 * (d + 1)) - 1)
-            keys = self.codes[d]
-            at = np.searchsorted(keys, own)
-            hit = np.zeros(len(own), bool)
-            if len(keys):
-                hit = keys[np.minimum(at, len(keys) - 1)] == own
-            out[todo[hit]] = self.cells[d][at[hit]]
-            todo, own = todo[~hit], own[~hit]
-            # a context that is kept but never had this byte: its nodes still weigh in
-            contexts = self.nodes[d][0][0]
-            if d and len(contexts):
-                context = own >> np.uint64(8)
-                near = np.searchsorted(contexts, context)
-                kept = contexts[np.minimum(near, len(contexts) - 1)] == context
-                out[todo[kept]] = self.paths(code[todo[kept]])
-                todo = todo[~kept]
-        if len(todo):
-            out[todo] = self.paths(code[todo])
-        return out
+        """log10 probability of the byte of each gram; any gram will do."""
+        asked, back = np.unique(code, return_inverse=True)
+        return answers(self.keys, self.counts, asked, self.top, self.depth)[back]
 
 
-class Scorer:
-    """Code lengths of texts, with the probabilities of recent grams at hand."""
+_MERGED = "kind int, bucket int, key long, n long, w double, keys binary, data binary"
+
+
+def _merge(least: int, depth: int):
+    """Words with their counts; grams of a bucket, what its trees add to the nodes above, and its frequent grams with
+    their bits' probabilities, by the logarithm of their counts."""
+
+    def rows(kind: int, bucket: int = 0, key=0, n=0, w=0.0, keys: list | None = None, data: list | None = None) -> pd.DataFrame:
+        return pd.DataFrame({"kind": np.int32(kind), "bucket": np.int32(bucket), "key": key, "n": n, "w": w, "keys": keys, "data": data})
+
+    def run(parts: pd.DataFrame) -> pd.DataFrame:
+        kind, bucket = int(parts["kind"].iloc[0]), int(parts["bucket"].iloc[0])
+        t = Tally()
+        for k, c in zip(parts["keys"], parts["counts"], strict=True):
+            t.parts.append((np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)))
+            t.held += len(t.parts[-1][0])
+            if t.held > 2 * t.base + (2 << 20):
+                t.merge()
+        keys, counts = t.merge()
+        if kind == WORDS:
+            return rows(kind, key=keys.view(np.int64), n=counts)
+        often = np.flatnonzero(counts >= least)
+        q, under, bytes_ = Subtrees(keys, counts, depth).walk(often)
+        cut = range(0, len(keys), ROW_GRAMS)
+        out = [rows(GRAMS, bucket, keys=[keys[a : a + ROW_GRAMS].tobytes() for a in cut], data=[counts[a : a + ROW_GRAMS].astype(np.int64).tobytes() for a in cut], key=[0] * len(cut))]
+        node = np.flatnonzero((under != 0) | (bytes_ != 0))
+        out.append(rows(TOP, key=node, n=bytes_[node].astype(np.int64), w=under[node]))
+        size = (4 * np.log2(counts[often])).astype(np.int64)
+        for x in np.unique(size).tolist():
+            own = size == x
+            out.append(rows(HEAD, key=[x], n=int(own.sum()), keys=[keys[often[own]].tobytes()], data=[q[own].astype(np.float32).tobytes()]))
+        return pd.concat(out)
+
+    return run
 
-    def __init__(self, tree: Tree, bits: int = 19):
-        self.tree, self.bits = tree, bits
-        self.keys, self.values = np.full(1 << bits, (1 << 64) - 1, np.uint64), np.zeros(1 << bits)
 
-    def __call__(self, low: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of each text with its end."""
-        code = code_of(low, offsets, self.tree.depth)
-        slot = (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+class Scorer:
+    """Code lengths of texts from the grams at hand, and the grams that aren't."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray, depth: int):
+        self.depth, self.bits = depth, max(4, (2 * len(codes)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, (1 << 64) - 1, np.uint64), np.zeros(1 << self.bits)
+        slot = self._slot(codes)
+        self.keys[slot] = codes  # the later ones, which are more frequent, stay
+        mine = self.keys[slot] == codes
+        self.values[slot[mine]] = values[mine]
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        return (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each text with its end, but for the grams left out; these, and their texts."""
+        code = code_of(low, offsets, self.depth)
+        slot = self._slot(code)
         value = self.values[slot]
         miss = np.flatnonzero(self.keys[slot] != code)
-        if len(miss):
-            new, back = np.unique(code[miss], return_inverse=True)
-            got = self.tree.log10(new)
-            value[miss] = got[back]
-            self.keys[slot[miss]] = code[miss]
-            self.values[slot[miss]] = value[miss]
-        return np.add.reduceat(value, offsets[:-1])
+        value[miss] = 0
+        return np.add.reduceat(value, offsets[:-1]), code[miss], np.searchsorted(offsets, miss, side="right") - 1
+
+
+def _asked(held: list, buckets: int, doc_type: pa.DataType) -> pa.RecordBatch:
+    """Rows of (first rid, grams, their rids after the first) for each bucket."""
+    keys, rids = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(keys)
+    keys, rids = keys[order], rids[order]
+    of = bucket_of(keys, buckets)
+    order = np.argsort(of, kind="stable")
+    keys, rids, of, base = keys[order], rids[order], of[order], int(rids.min())
+    edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist()
+    after = (rids - base).astype(np.uint64)
+    columns = {
+        "rid": pa.array([base] * len(edge), pa.int64()), "bucket": pa.array(of[edge], pa.int32()),
+        "keys": pa.array([keys[a:b].tobytes() for a, b in zip(edge, [*edge[1:], len(of)], strict=True)], pa.binary()),
+        "data": pa.array([after[a:b].tobytes() for a, b in zip(edge, [*edge[1:], len(of)], strict=True)], pa.binary()),
+    }
+    kinds = {"doc_id": doc_type, "held_out": pa.bool_(), "base": pa.float64(), "score": pa.float64(), "rare": pa.list_(pa.int64())}
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(len(edge), kinds.get(c, pa.int64())) for c in _SCORED], names=_SCORED)
+
 
+_SCORED = ["rid", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base", "score", "rare", "bucket", "keys", "data"]
 
-def _score(model):
+
+def _score(model, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not hasattr(model, "ready"):  # a worker has one object for a broadcast, whatever the task
-            tree, heads, log_counts = model.value
+            codes, values, depth, heads, log_counts = model.value
             kept = Kept(max(4, (2 * len(heads)).bit_length()))
             kept.add(heads)
-            model.ready = Scorer(tree), kept, np.append(log_counts, 0.0)
+            model.ready = Scorer(codes, values, depth), kept, np.append(log_counts, 0.0)
         score, kept, log_counts = model.ready
+        held: list = []
+        n, doc_type = 0, None
         for batch in batches:
+            doc_type = batch.column("doc_id").type
             for i, j in slices(batch.column("text"), 1 << 20):
                 part = batch.slice(i, j - i)
                 w, low, offsets = _prepared(part.column("text"))
@@ -321,60 +369,110 @@ def _score(model):
                 known = slot >= 0
                 rare = h[~known].view(np.int64)
                 upto = np.concatenate([[0], np.cumsum(np.add.reduceat(~known, begin, dtype=np.int64))])
+                own, left, text = score(low, offsets)
+                held.append((left, part.column("rid").to_numpy()[text]))
+                n += len(left)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("rid", "doc_id", "held_out")), pa.array(size, pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(np.add.reduceat(known, begin, dtype=np.int64)), pa.array(np.add.reduceat(log_counts[slot], begin)), pa.array(score(low, offsets)), pa.LargeListArray.from_arrays(upto, pa.array(rare)).cast(pa.list_(pa.int64()))],
-                    names=["rid", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base", "score", "rare"],
+                    [*(part.column(c) for c in _SCORED[:3]), pa.array(size, pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(np.add.reduceat(known, begin, dtype=np.int64)), pa.array(np.add.reduceat(log_counts[slot], begin)), pa.array(own), pa.LargeListArray.from_arrays(upto, pa.array(rare)).cast(pa.list_(pa.int64())), *(pa.nulls(j - i, t) for t in (pa.int32(), pa.binary(), pa.binary()))],
+                    names=_SCORED,
                 )
+                if n >= HELD:
+                    yield _asked(held, buckets, doc_type)
+                    held, n = [], 0
+        if n:
+            yield _asked(held, buckets, doc_type)
 
     return run
 
 
-def grams_of(cells: DataFrame, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Cells of every depth; those of depths 0 and 1 are sums of depth 2."""
-    table = cells.select("depth", "key", "n").toArrow()
-    d, key, n = (table.column(c).to_numpy() for c in ("depth", "key", "n"))
-    key = key.view(np.uint64)
-    out = []
-    for k in range(2, depth + 1):
-        own = np.flatnonzero(d == k)
-        own = own[np.argsort(key[own])]
-        out.append((key[own], n[own]))
-    one = tally(out[0][0] & np.uint64(0xFFFF), out[0][1])
-    return [tally(one[0] & np.uint64(255), one[1]), one, *out]
+def _answer(top, depth: int):
+    """Sums of log10 probabilities by rid, of rows sorted by bucket: its grams, then what texts ask for."""
+
+    def summed(trained: list, held: list) -> pa.RecordBatch:
+        keys, rids = (np.concatenate(x) for x in zip(*held, strict=True))
+        asked, back = np.unique(keys, return_inverse=True)
+        own = [np.concatenate(x) for x in zip(*trained, strict=True)] if trained else [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        got = answers(*own, asked, top.value, depth)[back]
+        rids, back = np.unique(rids, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(rids), pa.array(np.bincount(back, weights=got, minlength=len(rids)))], names=["rid", "left"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, trained, held, n = None, [], [], 0
+        for batch in batches:
+            for own, rid, asked, keys, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "rid", "asked")), batch.column("keys"), batch.column("data"), strict=True):
+                if held and (own != bucket or n >= ASKED):
+                    yield summed(trained, held)
+                    held, n = [], 0
+                if own != bucket:
+                    bucket, trained = own, []
+                keys = np.frombuffer(keys.as_buffer(), np.uint64)
+                if asked:
+                    held.append((keys, np.frombuffer(data.as_buffer(), np.uint64).astype(np.int64) + rid))
+                    n += len(keys)
+                else:
+                    trained.append((keys, np.frombuffer(data.as_buffer(), np.int64)))
+        if held:
+            yield summed(trained, held)
+
+    return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, depth: int = DEPTH, contexts: int = CONTEXTS) -> DataFrame:
+def _heads(merged: DataFrame, top: Top, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, log10 probability of their byte) of at most `most` of the most frequent grams, the most frequent last."""
+    rows = merged.filter(F.col("kind") == HEAD)
+    least, n = 0, 0
+    for size, count in sorted(rows.groupBy("key").agg(F.sum("n")).collect(), reverse=True):
+        n += count
+        if n > most:
+            least = size + 1
+            break
+    table = rows.filter(F.col("key") >= least).select("key", "keys", "data").toArrow()
+    codes, values = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    for k in np.argsort(table.column("key").to_numpy(), kind="stable").tolist():
+        codes.append(np.frombuffer(table.column("keys")[k].as_buffer(), np.uint64))
+        values.append(top.log10(codes[-1], np.frombuffer(table.column("data")[k].as_buffer(), np.float32).reshape(-1, 8)))
+    return np.concatenate(codes), np.concatenate(values)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, depth: int = DEPTH, heads: int = HEADS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row.
 
     Both models learn from the rows that aren't held out, over all their texts; A-Z count as a-z in both.
     score is the log10 probability of the lower-cased bytes and the end of the text, bits_per_byte the code length
     of these bytes, the end among them. Null texts are empty:
     one token, the end. Rows with equal ids are rows of their own. Without training rows every token is
-    unknown and the byte model is uniform. Other columns are ignored.
+    unknown and the byte model is uniform. Other columns are ignored. Every context of up to `depth` bytes (2 to 7) that
+    the training texts have counts, whatever their size; heads is how many grams are looked up without a join.
     """
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     base = base.withColumn("held_out", held_out(F.col("doc_id"), folds, fold))
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * partitions
     parts = stored(base.filter("not held_out").select("text").mapInArrow(tidied(_gather(buckets, depth)), "kind int, bucket int, n_bytes long, n_tokens long, keys binary, counts binary"), "ctw-parts")
     n_bytes, n_tokens = (x or 0 for x in parts.filter(F.col("kind") == TOTALS).agg(F.sum("n_bytes"), F.sum("n_tokens")).first())
-    least = max(1, math.ceil((n_bytes or 1) / (contexts * ((n_bytes or 1) / (1 << 30)) ** (1 / 3))))
-    counts = stored(parts.filter(F.col("kind") != TOTALS).groupBy("kind", "bucket").applyInPandas(_merge(least, depth), "kind int, depth int, key long, n long"), "ctw-counts")
+    merged = stored(parts.filter(F.col("kind") != TOTALS).groupBy("kind", "bucket").applyInPandas(_merge(max(1, n_bytes >> HEAD_BITS), depth), _MERGED), "ctw-counts")
     drop_stored(parts)
-    words = counts.filter(F.col("kind") == WORDS)
+    words = merged.filter(F.col("kind") == WORDS)
     distinct = words.count()
     often = max(1, -(-n_tokens >> WORD_BITS))
-    heads = words.filter(F.col("n") >= often).select("key", "n").toArrow()
-    tree = Tree(grams_of(counts.filter(F.col("kind") == GRAMS), depth))
-    model = spark.sparkContext.broadcast((tree, heads.column("key").to_numpy().view(np.uint64), np.log10(heads.column("n").to_numpy() + 1.0)))
+    frequent = words.filter(F.col("n") >= often).select("key", "n").toArrow()
+    nodes = merged.filter(F.col("kind") == TOP).groupBy("key").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).toArrow()
+    at = nodes.column("key").to_numpy()
+    top = Top(*(np.bincount(at, weights=nodes.column(c).to_numpy(), minlength=1 << 16) for c in ("w", "n")))
+    model = spark.sparkContext.broadcast((*_heads(merged, top, heads), depth, frequent.column("key").to_numpy().view(np.uint64), np.log10(frequent.column("n").to_numpy() + 1.0)))
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = stored(base.select("rid", "doc_id", "held_out", "text").mapInArrow(tidied(_score(model)), f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, score double, rare array<long>"), "ctw-scored")
+    scored = stored(base.select("rid", "doc_id", "held_out", "text").mapInArrow(tidied(_score(model, buckets)), f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, score double, rare array<long>, bucket int, keys binary, data binary"), "ctw-scored")
     rest = words.filter(F.col("n") < often).select("key", F.log10(F.col("n") + 1.0).alias("log_count"))
     rare = scored.select("rid", F.explode("rare").alias("key")).groupBy("rid", "key").count().join(rest, "key").groupBy("rid").agg(F.sum("count").alias("more"), F.sum(F.col("count") * F.col("log_count")).alias("rare_base"))
+    asked = scored.filter("bucket is not null").select("bucket", "rid", F.lit(True).alias("asked"), "keys", "data")
+    grams = merged.filter(F.col("kind") == GRAMS).select("bucket", F.lit(0).cast("long").alias("rid"), F.lit(False).alias("asked"), "keys", "data")
+    left = grams.unionByName(asked).repartition(partitions, "bucket").sortWithinPartitions("bucket", "asked").mapInArrow(tidied(_answer(spark.sparkContext.broadcast(top), depth)), "rid long, left double").groupBy("rid").agg(F.sum("left").alias("left"))
     unit = float(np.log10(n_tokens + distinct + 1))
-    return scored.join(rare, "rid", "left").select(
+    score_ = F.col("score") + F.coalesce("left", F.lit(0.0))
+    return scored.filter("bucket is null").join(rare, "rid", "left").join(left, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(unit)).alias("base_score"), "score",
-        (F.col("score") * F.lit(-math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(unit)).alias("base_score"), score_.alias("score"),
+        (score_ * F.lit(-math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -179,6 +179,54 @@ def test_context_tree_against_recursion():
     assert abs((10 ** tree.log10(every)).sum() - 1) < 1e-5
 
 
+def ctw_by_recursion(texts, depth):
+    """log10 probability of a text and its end, by the weighted trees of all contexts that the texts have."""
+    n, kids = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for text in texts:
+        padded = b"\0" * depth + text + b"\0"
+        for i in range(depth, len(padded)):
+            for d in range(depth + 1):
+                kids[padded[i - d + 1 : i]].add(padded[i - d : i]) if d else None
+                for k in range(8):
+                    n[padded[i - d : i], k, padded[i] >> (8 - k)][padded[i] >> (7 - k) & 1] += 1
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    memo = {}
+
+    def weighted(node):
+        if node not in memo:
+            own = kt(*n[node])
+            split = sum(weighted((c, *node[1:]))[0] for c in kids[node[0]] if (c, *node[1:]) in n)
+            total = own if len(node[0]) == depth else np.logaddexp(own, split) - math.log(2)
+            memo[node] = total, 1.0 if len(node[0]) == depth else math.exp(own - math.log(2) - total)
+        return memo[node]
+
+    def score(text):
+        out, padded = 0.0, b"\0" * depth + text + b"\0"
+        for i in range(depth, len(padded)):
+            for k in range(8):
+                p = 0.5
+                for d in range(depth, -1, -1):
+                    node = (padded[i - d : i], k, padded[i] >> (8 - k))
+                    if node in n:
+                        w = weighted(node)[1]
+                        p = w * (n[node][1] + 0.5) / (sum(n[node]) + 1) + (1 - w) * p
+                out += math.log10(p if padded[i] >> (7 - k) & 1 else 1 - p)
+        return out
+
+    return score
+
+
+@pytest.mark.parametrize("options", [{}, {"heads": 300}, {"heads": 0}, {"depth": 3, "heads": 50}])
+def test_scores_of_every_context(spark, options):
+    rnd = random.Random(11)
+    rows = [(k, " ".join(rnd.choice(W[:150] + ["é", "the", "Of"]) for _ in range(rnd.randrange(60)))) for k in range(60)] + [(100, None), (101, ""), (102, "not seen 中\0 at all"), (103, "zzz")]
+    texts = {i: (t or "").translate(LOW).encode() for i, t in rows}
+    score = ctw_by_recursion([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2], options.get("depth", 5))
+    got = {r.doc_id: r.score for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()}
+    assert got.keys() == texts.keys()
+    assert all(abs(got[i] - score(t)) < 1e-5 * (1 + len(t)) for i, t in texts.items())
+
+
 def near_duplicates(rnd):
     """Groups of copies and edited copies, a line that many share, and odd rows."""
     docs = []
