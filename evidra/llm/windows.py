@@ -16,6 +16,12 @@ A leader may share a line and no more. Therefore each pair gives back, for the c
 passages of the shortest length that the other side doesn't hold in that place, of its own text and of the leader;
 these meet once more by the hash of the whole passage. So every repeat of min_words words is found: of two texts
 that hold it, each either agrees with a leader that holds it, or both give it back.
+
+Texts that are similar to one another and not to their leaders meet again as well. Cells that aren't copies of their
+leader's come together once more by their anchors, the leaders' among them. A cell is open if its anchor is in no
+passage found with its leader, or if it leads an open one; of up to ALL cells the open ones are compared with all. Of
+more, one leads, and what differs from it goes on by anchors and shingle, for each shingle near the anchor that the
+leader doesn't have there, until no open cell is left that shares one.
 """
 
 from __future__ import annotations
@@ -40,6 +46,8 @@ THRESHOLD = 0.8
 PLACE_BITS = 10
 #: Cells that a task holds before it pairs them and lets them go.
 HELD = 1 << 20
+#: Cells with the same anchors that are compared each with each.
+ALL = 256
 #: Share of the shortest passage's shingles that both sides must have near an anchor to be looked at closely.
 NEAR = 0.6
 ROWS = "key long, rid long, pos long, lead_rid long, lead_pos long"
@@ -213,6 +221,71 @@ def _pairs(rows: DataFrame, within: bool) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "rid", "pos").mapInArrow(tidied(_lead(within)), ROWS).filter("lead_rid is not null")
 
 
+def _compared(key: np.ndarray, rid: np.ndarray, pos: np.ndarray, met: np.ndarray, copy: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of the cells of whole keys, in order; key is 0 for those that are compared each with each.
+
+    met: twice the row that a cell has met, and 1 if it is open; -1 for one that leads. Cells with equal shingles (copy)
+    are a class: each is compared with the first one, and this with those of other classes.
+    """
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    end = np.append(head[1:], len(key))
+    size = end - head
+    texts = np.add.reduceat(np.concatenate([[True], (key[1:] != key[:-1]) | (rid[1:] != rid[:-1])]), head, dtype=np.int64)
+    other = rid != np.repeat(rid[head], size)
+    # a key of one text, of two that have met, or of no open cell says nothing
+    use = (texts > 2) | (texts == 2) & (np.maximum.reduceat(np.where(other, met >> 1, -1), head) != rid[head])
+    use &= np.maximum.reduceat((met & 1).astype(bool), head)
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (rid[1:] != rid[:-1]) | (pos[1:] != pos[:-1])])
+    first = np.flatnonzero(new)
+    open_ = np.zeros(len(key), bool)
+    open_[first] = np.maximum.reduceat((met & 1).astype(bool), first)
+    out: list = []
+    n = 0
+    for a, b in zip(head[use].tolist(), end[use].tolist(), strict=True):
+        own = a + np.flatnonzero(new[a:b])
+        if len(own) <= most:
+            x, y = np.tril_indices(len(own), -1)
+            _, rep, of = np.unique(copy[own], return_index=True, return_inverse=True)
+            is_rep = rep[of] == np.arange(len(own))
+            ok = (rid[own[x]] != rid[own[y]]) & (open_[own[x]] | open_[own[y]]) & (is_rep[x] & is_rep[y] | (rep[of][x] == y))
+            x, y = own[x[ok]], own[y[ok]]
+            done = set(zip(rid[a:b].tolist(), (met[a:b] >> 1).tolist(), strict=True))
+            ok = np.array([(v, u) not in done for v, u in zip(rid[x].tolist(), rid[y].tolist(), strict=True)], bool)
+            x, y, k = x[ok], y[ok], np.zeros(int(ok.sum()), np.int64)
+        else:
+            x, y = own[1:], np.repeat(own[:1], len(own) - 1)
+            k = key[x] & -4 | 2 | open_[x]
+        out.append((k, rid[x], pos[x], rid[y], pos[y]))
+        n += len(x)
+        if n >= 1 << 16:
+            yield _batch(*(np.concatenate(z) for z in zip(*out, strict=True)))
+            out, n = [], 0
+    if n:
+        yield _batch(*(np.concatenate(z) for z in zip(*out, strict=True)))
+
+
+def _meet(most: int):
+    """Pairs of rows sorted by key, rid and pos, see _compared()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for batch in batches:
+            rows = [x.to_numpy() for x in batch.columns]
+            if not len(batch):
+                continue
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            if held and (last or held[-1][0][-1] != rows[0][0]):
+                yield from _compared(*(np.concatenate([*z, x[:last]]) for x, *z in zip(rows, *held, strict=True)), most)
+                held = []
+            elif last:
+                yield from _compared(*(x[:last] for x in rows), most)
+            held.append([x[last:] for x in rows])
+        if held:
+            yield from _compared(*(np.concatenate(z) for z in zip(*held, strict=True)), most)
+
+    return run
+
+
 def grow(match: np.ndarray, at: int, gap: float) -> tuple[int, int]:
     """The span around `at` where matches count 1 and others -gap, grown each way as long as the sum gains."""
     score = np.where(match, 1.0, -gap)
@@ -463,8 +536,63 @@ def given_back(own: np.ndarray, other: np.ndarray, pos: np.ndarray, lead_pos: np
     return mine, theirs[theirs + t <= len(other)]
 
 
+def _alike(own: np.ndarray, other: np.ndarray, pos: np.ndarray, lead_pos: np.ndarray, base: int, t: int) -> np.ndarray:
+    """Which cells have the same shingles as their leader's."""
+    (begin, end, _, _), (lb, le, _, _) = _unpacked(pos), _unpacked(lead_pos)
+    lb, le = lb - base, le - base
+    ok = (end - begin == le - lb) & (le + t <= len(other))
+    for x, y in ((begin, lb), (end, le)):  # the first passage and the last one overlap
+        ok[ok] = span_hash(own, x[ok], x[ok] + t) == span_hash(other, y[ok], y[ok] + t)
+    return ok
+
+
+def _outside(c: np.ndarray, spans: list[tuple[int, int, int, int, float]]) -> np.ndarray:
+    """Which anchors are in none of the passages."""
+    out = np.ones(len(c), bool)
+    for x, y, *_ in spans:
+        out &= (c < x) | (c > y)
+    return out
+
+
+def _copy(own: np.ndarray, begin: np.ndarray, end: np.ndarray, t: int) -> np.ndarray:
+    """Hash of the shingles of each cell, by its first passage and its last one, which overlap."""
+    return mix(span_hash(own, begin, begin + t) ^ mix(span_hash(own, end, end + t) + (end - begin).astype(np.uint64))).view(np.int64)
+
+
+def _entries(own: np.ndarray, other: np.ndarray, rid: int, lead_rid: int, pos: np.ndarray, lead_pos: np.ndarray, base: int, equal: np.ndarray | None, spans: list, t: int) -> list[np.ndarray]:
+    """(key, rid, pos, met, copy) of cells that aren't copies of their leader's, and of the leaders of open ones."""
+    begin, end, c, d = _unpacked(pos)
+    if equal is None:
+        differ = ~_alike(own, other, pos, lead_pos, base, t)
+    else:
+        upto = np.concatenate([[0], np.cumsum(~equal[: len(own)])])
+        differ = upto[end + 1] > upto[begin]
+    key = mix(own[c].astype(np.uint64) << np.uint64(32) | own[d].astype(np.uint64)).view(np.int64)
+    is_open = differ & _outside(c, spans)
+    a, b = int(differ.sum()), int(is_open.sum())
+    lb, le, _, _ = _unpacked(lead_pos[is_open])
+    return [np.concatenate([key[differ], key[is_open]]), np.repeat([rid, lead_rid], [a, b]), np.concatenate([pos[differ], lead_pos[is_open]]), np.concatenate([2 * lead_rid + is_open[differ], np.full(b, -1)]), np.concatenate([_copy(own, begin[differ], end[differ], t), _copy(other, lb - base, le - base, t)])]
+
+
+def _narrower(own: np.ndarray, other: np.ndarray, rid: int, lead_rid: int, key: np.ndarray, pos: np.ndarray, lead_pos: np.ndarray, base: int, spans: list, t: int) -> list[np.ndarray]:
+    """(key, rid, pos, met, copy) for each shingle near an anchor that the leader of a key doesn't have there."""
+    begin, end, c, _ = _unpacked(pos)
+    _, _, lc, _ = _unpacked(lead_pos)
+    is_open = (key & 1).astype(bool) & _outside(c, spans)
+    keys, which = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for k in np.flatnonzero(key != 0).tolist():
+        a, b = int(c[k]), int(lc[k]) - base
+        near = np.unique(own[max(0, a - t + 1) : a + t])
+        near = near[~_held(near, other[max(0, b - t + 1) : b + t])]
+        keys.append(mix(mix(near.astype(np.uint64) + np.uint64(1)) ^ (key[k : k + 1] & -4).view(np.uint64)))
+        which.append(np.full(len(near), k))
+    keys, which = np.concatenate(keys).view(np.int64), np.concatenate(which)
+    return [keys, np.full(len(keys), rid), pos[which], 2 * lead_rid + is_open[which], _copy(own, begin, end, t)[which]]
+
+
 _FOUND = "first:long,last:long,lead_first:long,lead_last:long,similarity:double"
 _AGAIN = "key:long,rid:long,pos:long"
+_MORE = "key:long,rid:long,pos:long,met:long,copy:long"
 
 
 def _lists(parts: list[list[np.ndarray]], names: list[str], kinds: list[pa.DataType]) -> pa.ListArray:
@@ -474,7 +602,7 @@ def _lists(parts: list[list[np.ndarray]], names: list[str], kinds: list[pa.DataT
     return pa.ListArray.from_arrays(pa.array(size), pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names))
 
 
-def _check(threshold: float, t: int, width: int):
+def _check(threshold: float, t: int, width: int, first: bool):
     four = [pa.int64()] * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -483,30 +611,52 @@ def _check(threshold: float, t: int, width: int):
                 batch = whole.slice(a, 512)
                 anchors = batch.column("anchors")
                 at = anchors.offsets.to_numpy()
-                pos, lead_pos = (x.to_numpy() for x in anchors.values.flatten())
-                found, again = [], []
+                pos, lead_pos, *keys_of = (x.to_numpy() for x in anchors.values.flatten())
+                found, again, more = [], [], []
                 for k, (rid, lead_rid, base) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("rid", "lead_rid", "base")), strict=True)):
                     own, other = (np.frombuffer(batch.column(x)[k].as_buffer(), np.uint32) for x in ("seq", "lead_seq"))
                     p, q = pos[at[k] : at[k + 1]], lead_pos[at[k] : at[k + 1]]
                     spans: list = []
-                    if rid == lead_rid:
+                    equal = None
+                    if not first:
+                        if rid != lead_rid:
+                            spans = _near(own, other, p, q, base, threshold, t)
+                        mine = theirs = np.zeros(0, np.int64)
+                    elif rid == lead_rid:
                         begin, end, _, _ = _unpacked(p)
                         mine, theirs = np.flatnonzero(_ranges(begin, end, len(own))), np.zeros(0, np.int64)
                     else:
                         (_, _, c, d), (_, _, lc, ld) = _unpacked(p), _unpacked(q)
                         spans, begins, ends, equal = verified(own, other, np.concatenate([c, d]), np.concatenate([lc, ld]) - base, threshold, t)
                         mine, theirs = given_back(own, other, p, q, base, begins[: len(c)], ends[: len(c)], equal, t)
+                    more.append(_entries(own, other, rid, lead_rid, p, q, base, equal, spans, t) if first else _narrower(own, other, rid, lead_rid, keys_of[0][at[k] : at[k + 1]], p, q, base, spans, t))
                     found.append([np.array(x) for x in zip(*((x, y + width - 1, u + base, v + base + width - 1, like) for x, y, u, v, like in spans), strict=True)] if spans else [np.zeros(0)] * 5)
                     keys = [span_hash(v, x, x + t) if len(x) else np.zeros(0, np.uint64) for v, x in ((own, mine), (other, theirs))]
                     again.append([np.concatenate(keys).view(np.int64), np.repeat([rid, lead_rid], [len(mine), len(theirs)]), np.concatenate([mine, theirs + base])])
-                yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("lead_rid"), _lists(found, ["first", "last", "lead_first", "lead_last", "similarity"], [*four, pa.float64()]), _lists(again, ["key", "rid", "pos"], four[:3])], names=["rid", "lead_rid", "found", "again"])
+                yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("lead_rid"), _lists(found, ["first", "last", "lead_first", "lead_last", "similarity"], [*four, pa.float64()]), _lists(again, ["key", "rid", "pos"], four[:3]), _lists(more, ["key", "rid", "pos", "met", "copy"], [*four, pa.int64()])], names=["rid", "lead_rid", "found", "again", "more"])
 
     return run
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, t: int, width: int) -> DataFrame:
-    """(rid, lead_rid, found, again) of each pair of texts; pairs are gathered by text, sequences join them."""
-    anchors = pairs.groupBy("rid", "lead_rid").agg(F.collect_list(F.struct("pos", "lead_pos")).alias("anchors"))
+def _near(own: np.ndarray, other: np.ndarray, pos: np.ndarray, lead_pos: np.ndarray, base: int, threshold: float, t: int) -> list[tuple[int, int, int, int, float]]:
+    """Passages around the anchors of cells, if they have enough in common near one; others have been found before."""
+    (_, _, c, d), (_, _, lc, ld) = _unpacked(pos), _unpacked(lead_pos)
+    _, some = np.unique(np.stack([c - lc, c // max(1, t // 4)]), axis=1, return_index=True)
+    some = np.array([k for k in some.tolist() if _common(own, other, int(c[k]), int(lc[k]) - base, t) >= NEAR * t], np.int64)
+    if not len(some):
+        return []
+    spans, *_ = verified(own, other, np.concatenate([c[some], d[some]]), np.concatenate([lc[some], ld[some]]) - base, threshold, t)
+    return [f for f in spans if ((f[0] <= c) & (c <= f[1])).any()]
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, t: int, width: int, first: bool = True) -> DataFrame:
+    """(rid, lead_rid, found, again, more) of each pair of texts; pairs are gathered by text, sequences join them.
+
+    first: pairs have no key, and cells that aren't copies of their leader's go on; else what differs from the leader
+    of a key does, and no pair has met before.
+    """
+    gathered = F.collect_list(F.struct("pos", "lead_pos")) if first else F.collect_set(F.struct("pos", "lead_pos", "key"))
+    anchors = pairs.groupBy("rid", "lead_rid").agg(gathered.alias("anchors"))
     leads = texts.select(F.col("rid").alias("lead_rid"), F.col("seq").alias("lead_seq"))
     begins = F.transform("anchors", lambda x: F.shiftright(x["lead_pos"], 3 * PLACE_BITS + 1))
     # only the part of the leading text that the cells cover, and some beside it, goes to the other text
@@ -514,7 +664,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, t: int, width:
     cut = anchors.join(leads, "lead_rid").select("rid", "lead_rid", "anchors", base.alias("base"), (F.array_max(begins) + 5 * t).alias("top"), "lead_seq")
     cut = cut.withColumn("lead_seq", F.expr("substring(lead_seq, cast(base * 4 + 1 as int), cast((top - base) * 4 as int))")).drop("top")
     both = cut.join(texts.select("rid", "seq"), "rid").select("rid", "lead_rid", "anchors", "base", "seq", "lead_seq")
-    return both.mapInArrow(tidied(_check(threshold, t, width)), f"rid long, lead_rid long, found array<struct<{_FOUND}>>, again array<struct<{_AGAIN}>>")
+    return both.mapInArrow(tidied(_check(threshold, t, width, first)), f"rid long, lead_rid long, found array<struct<{_FOUND}>>, again array<struct<{_AGAIN}>>, more array<struct<{_MORE}>>")
 
 
 def _once(held: list) -> list[np.ndarray]:
@@ -560,15 +710,16 @@ def _sequences(width: int, bits):
     return run
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, threshold: float = THRESHOLD, bands: int = BANDS, width: int = WIDTH, row_col: str | None = None) -> DataFrame:
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, threshold: float = THRESHOLD, bands: int = BANDS, width: int = WIDTH, row_col: str | None = None, most: int = ALL) -> DataFrame:
     """rid, doc_id, source_id, first_word, last_word, source_first, source_last, similarity: one row for each
     passage of min_words or more words that is, up to the similarity, in an earlier row of the table as well.
 
     Words are counted from 0, and rows as by with_rows(). The earliest row that holds a passage is a source and has
     no row for it; a passage that repeats inside one text only is none. Passages of one text and source may
     overlap; one that lies inside another has no row. Every repeat of min_words words is reported; one with edits
-    is found by its signatures, with a chance. Null, empty and shorter texts have no passages, rows with equal ids
-    are rows of their own, other columns are ignored. min_words may be up to 1,000. row_col: a column that
+    is found by its signatures, with a chance, whatever texts lead them. Null, empty and shorter texts have no passages, rows with equal ids
+    are rows of their own, other columns are ignored. min_words may be up to 1,000. most: how many cells with the same
+    anchors meet each other at once; more go on by what differs from the first. row_col: a column that
     with_rows() has made before.
     """
     t = min_words - width + 1
@@ -583,6 +734,15 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     once = stored(_verify(pairs, texts, threshold, t, width), "found")
     drop_stored(pairs)
     found = once.select("rid", "lead_rid", F.explode("found").alias("f")).unionByName(_repeats(once, t, width))
+    last = once
+    while True:  # until no open cells are left that share what their leader hasn't
+        rows = last.select(F.explode("more").alias("x")).select("x.*").repartition("key").sortWithinPartitions("key", "rid", "pos")
+        met = stored(rows.mapInArrow(tidied(_meet(most)), ROWS), "window-met")
+        if met.isEmpty():
+            break
+        last = stored(_verify(met, texts, threshold, t, width, False), "found-more")
+        drop_stored(met)
+        found = found.unionByName(last.select("rid", "lead_rid", F.explode("found").alias("f")))
     # a passage inside another one with the same source goes, the longest come first; all others stay
     kept = found.groupBy("rid", "lead_rid").agg(F.collect_list(F.struct((F.col("f.first") - F.col("f.last")).alias("size"), "f.first", "f.last", "f.lead_first", "f.lead_last", "f.similarity")).alias("all"))
     chosen = F.aggregate(F.array_sort("all"), F.expr(f"cast(array() as array<struct<size:long,{_FOUND}>>)"), lambda done, x: F.when(F.exists(done, lambda d: (d["first"] <= x["first"]) & (x["last"] <= d["last"])), done).otherwise(F.concat(done, F.array(x))))

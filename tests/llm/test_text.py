@@ -418,6 +418,22 @@ def test_equal_passages_meet_whatever_line_leads_them(spark, tmp_path_factory):
     assert pairs == want, len(pairs & want)
 
 
+@pytest.mark.parametrize("options", [{}, {"most": 2}, {"most": 1000}])
+def test_edited_passages_meet_whatever_parts_lead_them(spark, tmp_path_factory, options):
+    """Earlier texts hold the first or the last 42 words of passages of 58, and lead most signatures inside; two later
+    texts that hold the whole passage, one of them with an edit, are found still."""
+    rnd = random.Random(23)
+    rt = lambda n: [rnd.choice(W) for _ in range(n)]
+    inner = [rt(58) for _ in range(60)]
+    docs = [[x for p in inner for x in [*rt(30), *(p[16:] if k % 2 else p[:42])]] for k in range(30)]
+    for p in inner:
+        docs += [[*rt(60), *p, *rt(60)], [*rt(60), *p[:29], "edit", *p[30:], *rt(60)]]
+    df = table(spark, tmp_path_factory, [(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string", 1)
+    pairs = {frozenset((r.doc_id, r.source_id)) for r in windows.passages(df, **options).collect()}
+    want = {frozenset((30 + 2 * k, 31 + 2 * k)) for k in range(60)}
+    assert not pairs - want and len(pairs) >= 54, (len(pairs), len(pairs & want))
+
+
 def test_every_exact_repeat_is_reported(spark):
     """Every word of every 50 words that an earlier row has as well, over a whole table, against a plain search."""
     sf = "/root/testdata/sf0.01"
