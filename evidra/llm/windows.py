@@ -18,10 +18,11 @@ these meet once more by the hash of the whole passage. So every repeat of min_wo
 that hold it, each either agrees with a leader that holds it, or both give it back.
 
 Texts that are similar to one another and not to their leaders meet again as well. Cells that aren't copies of their
-leader's come together once more by their anchors, the leaders' among them. A cell is open if its anchor is in no
-passage found with its leader, or if it leads an open one; of up to ALL cells the open ones are compared with all. Of
-more, one leads, and what differs from it goes on by anchors and shingle, for each shingle near the anchor that the
-leader doesn't have there, until no open cell is left that shares one.
+leader's come together once more by their anchors, the leaders' among them, if one is open: if its anchor is in no
+passage found with its leader. Cells with equal shingles are a class. Each class brings its shingles along and is
+compared with all earlier ones of the same anchors that it isn't linked with yet, directly or over others; sketches,
+bitmaps of the shingles, tell for certain of most that they have too little in common. So any two cells of the same
+anchors that are alike are linked, and links are as many as cells, whatever a line or a group of near copies repeats.
 """
 
 from __future__ import annotations
@@ -46,10 +47,16 @@ THRESHOLD = 0.8
 PLACE_BITS = 10
 #: Cells that a task holds before it pairs them and lets them go.
 HELD = 1 << 20
-#: Cells with the same anchors that are compared each with each.
+#: Cells of the same anchors whose sketches are compared with all earlier ones' at once.
 ALL = 256
+#: Pairs of sketches that are compared at once.
+BLOCK = 1 << 21
+#: 64-bit words of a sketch.
+LANES = 4
 #: Share of the shortest passage's shingles that both sides must have near an anchor to be looked at closely.
 NEAR = 0.6
+#: Share of what similar passages of t shingles have in common that cells must have to be looked at closely.
+ALIKE = 0.95
 ROWS = "key long, rid long, pos long, lead_rid long, lead_pos long"
 _NAMES = [x.split(" ")[0] for x in ROWS.split(", ")]
 _PLACE = (1 << PLACE_BITS) - 1
@@ -221,11 +228,29 @@ def _pairs(rows: DataFrame, within: bool) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "rid", "pos").mapInArrow(tidied(_lead(within)), ROWS).filter("lead_rid is not null")
 
 
-def _compared(key: np.ndarray, rid: np.ndarray, pos: np.ndarray, met: np.ndarray, copy: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of the cells of whole keys, in order; key is 0 for those that are compared each with each.
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, rid, pos, met, copy) sorted by key, rid and pos, see _grouped()."""
+    held: list = []
+    for batch in batches:
+        rows = [x.to_numpy() for x in batch.columns]
+        if not len(batch):
+            continue
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        if held and (last or held[-1][0][-1] != rows[0][0]):
+            yield from _grouped(*(np.concatenate([*z, x[:last]]) for x, *z in zip(rows, *held, strict=True)))
+            held = []
+        elif last:
+            yield from _grouped(*(x[:last] for x in rows))
+        held.append([x[last:] for x in rows])
+    if held:
+        yield from _grouped(*(np.concatenate(z) for z in zip(*held, strict=True)))
+
 
-    met: twice the row that a cell has met, and 1 if it is open; -1 for one that leads. Cells with equal shingles (copy)
-    are a class: each is compared with the first one, and this with those of other classes.
+def _grouped(key: np.ndarray, rid: np.ndarray, pos: np.ndarray, met: np.ndarray, copy: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of cells with the first of their class, and, without a leader, the first cells of classes that aren't all
+    linked, with the number of what is linked (lead_pos).
+
+    met: twice the row that a cell has met, and 1 if it is open; -1 for one that leads.
     """
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     end = np.append(head[1:], len(key))
@@ -235,28 +260,24 @@ def _compared(key: np.ndarray, rid: np.ndarray, pos: np.ndarray, met: np.ndarray
     # a key of one text, of two that have met, or of no open cell says nothing
     use = (texts > 2) | (texts == 2) & (np.maximum.reduceat(np.where(other, met >> 1, -1), head) != rid[head])
     use &= np.maximum.reduceat((met & 1).astype(bool), head)
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (rid[1:] != rid[:-1]) | (pos[1:] != pos[:-1])])
-    first = np.flatnonzero(new)
-    open_ = np.zeros(len(key), bool)
-    open_[first] = np.maximum.reduceat((met & 1).astype(bool), first)
     out: list = []
     n = 0
     for a, b in zip(head[use].tolist(), end[use].tolist(), strict=True):
-        own = a + np.flatnonzero(new[a:b])
-        if len(own) <= most:
-            x, y = np.tril_indices(len(own), -1)
-            _, rep, of = np.unique(copy[own], return_index=True, return_inverse=True)
-            is_rep = rep[of] == np.arange(len(own))
-            ok = (rid[own[x]] != rid[own[y]]) & (open_[own[x]] | open_[own[y]]) & (is_rep[x] & is_rep[y] | (rep[of][x] == y))
-            x, y = own[x[ok]], own[y[ok]]
-            done = set(zip(rid[a:b].tolist(), (met[a:b] >> 1).tolist(), strict=True))
-            ok = np.array([(v, u) not in done for v, u in zip(rid[x].tolist(), rid[y].tolist(), strict=True)], bool)
-            x, y, k = x[ok], y[ok], np.zeros(int(ok.sum()), np.int64)
-        else:
-            x, y = own[1:], np.repeat(own[:1], len(own) - 1)
-            k = key[x] & -4 | 2 | open_[x]
-        out.append((k, rid[x], pos[x], rid[y], pos[y]))
-        n += len(x)
+        r, p, m = rid[a:b], pos[a:b], met[a:b]
+        _, rep, of = np.unique(copy[a:b], return_index=True, return_inverse=True)
+        new = np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])])
+        member = np.flatnonzero(new & (r[rep[of]] != r) & (np.maximum.reduceat(m & 1, np.flatnonzero(new))[np.cumsum(new) - 1] != 0) & (m >> 1 != r[rep[of]]))
+        part = np.arange(len(rep))
+        leader = {x: c for x, c in zip(r[m == -1][::-1].tolist(), of[m == -1][::-1].tolist(), strict=True)}
+        for x, c in zip((m[m & 1 == 0] >> 1).tolist(), of[m & 1 == 0].tolist(), strict=True):  # linked with their leader, and so with one another
+            with_ = leader.setdefault(x, c)
+            if part[with_] != part[c]:
+                part[part == part[c]] = part[with_]
+        first = rep if (part != part[0]).any() else rep[:0]
+        none = np.full(len(first), -1)
+        out.append((np.full(len(member), key[a]), r[member], p[member], r[rep[of[member]]], p[rep[of[member]]]))
+        out.append((np.full(len(first), key[a]), r[first], p[first], none, part[: len(first)]))
+        n += len(member) + len(first)
         if n >= 1 << 16:
             yield _batch(*(np.concatenate(z) for z in zip(*out, strict=True)))
             out, n = [], 0
@@ -264,24 +285,123 @@ def _compared(key: np.ndarray, rid: np.ndarray, pos: np.ndarray, met: np.ndarray
         yield _batch(*(np.concatenate(z) for z in zip(*out, strict=True)))
 
 
-def _meet(most: int):
-    """Pairs of rows sorted by key, rid and pos, see _compared()."""
+def _sketches(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Bitmaps of the values of each part of flat that begins at first, LANES words each."""
+    bit = mix(flat.astype(np.uint64)) >> np.uint64(32)
+    table = np.zeros((LANES, len(bit)), np.uint64)
+    table[(bit >> np.uint64(6)) % np.uint64(LANES), np.arange(len(bit))] = np.uint64(1) << (bit & np.uint64(63))
+    return np.bitwise_or.reduceat(table, first, axis=1)
+
+
+def _common_bound(x: np.ndarray, size: np.ndarray, y: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """The most shingles that each x may have in common with each y: a bit of one that the other hasn't is one less."""
+    mine, theirs = (np.zeros((len(size), len(other_size)), np.int32) for _ in range(2))
+    for a, b in zip(x[..., None], y, strict=True):
+        mine += np.bitwise_count(a & ~b)
+        theirs += np.bitwise_count(~a & b)
+    return np.minimum(size[:, None] - mine, other_size - theirs)
+
+
+def _least(threshold: float, t: int) -> float:
+    return ALIKE * 2 * threshold / (1 + threshold) * t
+
+
+def _most(held: np.ndarray, first: np.ndarray, t: int) -> np.ndarray:
+    """The most values held of t side by side, for each part that begins at first, the last one's end included."""
+    upto = np.concatenate([[0], np.cumsum(held)])
+    sums = upto[t:] - upto[:-t]
+    sums[np.repeat(first[1:] - t, np.diff(first))[: len(sums)] < np.arange(len(sums))] = 0  # these reach into the next part
+    return np.maximum.reduceat(sums, first[:-1])
+
+
+def _like(a: np.ndarray, c: int, b: np.ndarray, d: int, threshold: float, t: int) -> int:
+    """Of the shingles of two cells with anchors at c and d: 2 if passages of t are similar on the anchors' diagonal or
+    where each has most of the other, 1 if others may be, 0 if they have too little in common."""
+    same = a[:, None] == b
+    at = []
+    for held in (same.any(axis=1), same.any(axis=0)):
+        upto = np.concatenate([[0], np.cumsum(held)])
+        sums = upto[t:] - upto[:-t]
+        at.append(int(sums.argmax()))
+        if sums[at[-1]] < _least(threshold, t):
+            return 0
+    if _similarity(a[at[0] : at[0] + t], b[at[1] : at[1] + t]) >= threshold:
+        return 2
+    x, y = max(0, c - d), max(0, d - c)
+    n = min(len(a) - x, len(b) - y)
+    if n >= t:
+        upto = np.concatenate([[0], np.cumsum(a[x : x + n] == b[y : y + n])])
+        k = int((upto[t:] - upto[:-t]).argmax())
+        if _similarity(a[x + k : x + k + t], b[y + k : y + k + t]) >= threshold:
+            return 2
+    return 1
+
+
+def _links(rid: np.ndarray, pos: np.ndarray, part: np.ndarray, flat: np.ndarray, first: np.ndarray, threshold: float, t: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the cells of one key, in order: each with earlier ones that may be like it, as long as they aren't linked."""
+    size = np.diff(first)
+    bits = _sketches(flat, first[:-1])
+    begin, _, c, _ = _unpacked(pos)
+    c = c - begin
+    least = _least(threshold, t)
+    values, flat = np.unique(flat, return_inverse=True)
+    mine = np.zeros(len(values), bool)
+    x, y = [], []
+    most = max(1, min(most, BLOCK // max(1, len(rid))))
+    for a in range(0, len(rid), most):
+        b = min(len(rid), a + most)
+        bound = _common_bound(bits[:, a:b], size[a:b], bits[:, :b], size[:b])
+        for k in range(max(a, 1), b):
+            todo = np.flatnonzero((bound[k - a, :k] >= least) & (rid[:k] != rid[k]) & (part[:k] != part[k]))
+            own = flat[first[k] : first[k + 1]]
+            if len(todo) > 4:  # what has too little of this one's goes at once
+                each = np.concatenate([[0], np.cumsum(size[todo])])
+                mine[own] = True
+                held = mine[flat[np.arange(each[-1]) + np.repeat(first[todo] - each[:-1], size[todo])]]
+                mine[own] = False
+                todo = todo[_most(held, each, t) >= least]
+            todo = todo[np.argsort(-bound[k - a, todo], kind="stable")]
+            while len(todo):
+                j, todo = int(todo[0]), todo[1:]
+                like = _like(own, int(c[k]), flat[first[j] : first[j + 1]], int(c[j]), threshold, t)
+                if like:
+                    x.append(k)
+                    y.append(j)
+                if like == 2:
+                    part[part == part[j]] = part[k]
+                    todo = todo[part[todo] != part[k]]
+    return np.array(x, np.int64), np.array(y, np.int64)
+
+
+def _linked(threshold: float, t: int, most: int):
+    """Pairs of cells, from rows (key, rid, pos, part, span) sorted by key, rid and pos, see _links()."""
+
+    def of(key: np.ndarray, rid: np.ndarray, pos: np.ndarray, part: np.ndarray, spans: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        spans = pa.concat_arrays(spans)
+        flat = np.frombuffer(b"".join(spans.to_pylist()), np.uint32)
+        first = np.concatenate([[0], np.cumsum(pc.binary_length(spans).to_numpy() // 4)]).astype(np.int64)
+        edge = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            x, y = _links(rid[a:b], pos[a:b], part[a:b].copy(), flat[first[a] : first[b]], first[a : b + 1] - first[a], threshold, t, most)
+            if len(x):
+                yield _batch(key[a + x], rid[a + x], pos[a + x], rid[a + y], pos[a + y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         for batch in batches:
-            rows = [x.to_numpy() for x in batch.columns]
             if not len(batch):
                 continue
+            rows = [x.to_numpy() for x in batch.columns[:4]]
             last = int(np.searchsorted(rows[0], rows[0][-1]))
-            if held and (last or held[-1][0][-1] != rows[0][0]):
-                yield from _compared(*(np.concatenate([*z, x[:last]]) for x, *z in zip(rows, *held, strict=True)), most)
+            if last or held and held[-1][0][-1] != rows[0][0]:
+                held.append([*(x[:last] for x in rows), batch.column(4)[:last]])
+                *z, spans = zip(*held, strict=True)
+                yield from of(*(np.concatenate(x) for x in z), list(spans))
                 held = []
-            elif last:
-                yield from _compared(*(x[:last] for x in rows), most)
-            held.append([x[last:] for x in rows])
+            held.append([*(x[last:] for x in rows), batch.column(4)[last:]])
         if held:
-            yield from _compared(*(np.concatenate(z) for z in zip(*held, strict=True)), most)
+            *z, spans = zip(*held, strict=True)
+            yield from of(*(np.concatenate(x) for x in z), list(spans))
 
     return run
 
@@ -569,25 +689,25 @@ def _entries(own: np.ndarray, other: np.ndarray, rid: int, lead_rid: int, pos: n
         differ = upto[end + 1] > upto[begin]
     key = mix(own[c].astype(np.uint64) << np.uint64(32) | own[d].astype(np.uint64)).view(np.int64)
     is_open = differ & _outside(c, spans)
-    a, b = int(differ.sum()), int(is_open.sum())
-    lb, le, _, _ = _unpacked(lead_pos[is_open])
-    return [np.concatenate([key[differ], key[is_open]]), np.repeat([rid, lead_rid], [a, b]), np.concatenate([pos[differ], lead_pos[is_open]]), np.concatenate([2 * lead_rid + is_open[differ], np.full(b, -1)]), np.concatenate([_copy(own, begin[differ], end[differ], t), _copy(other, lb - base, le - base, t)])]
-
-
-def _narrower(own: np.ndarray, other: np.ndarray, rid: int, lead_rid: int, key: np.ndarray, pos: np.ndarray, lead_pos: np.ndarray, base: int, spans: list, t: int) -> list[np.ndarray]:
-    """(key, rid, pos, met, copy) for each shingle near an anchor that the leader of a key doesn't have there."""
-    begin, end, c, _ = _unpacked(pos)
-    _, _, lc, _ = _unpacked(lead_pos)
-    is_open = (key & 1).astype(bool) & _outside(c, spans)
-    keys, which = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for k in np.flatnonzero(key != 0).tolist():
-        a, b = int(c[k]), int(lc[k]) - base
-        near = np.unique(own[max(0, a - t + 1) : a + t])
-        near = near[~_held(near, other[max(0, b - t + 1) : b + t])]
-        keys.append(mix(mix(near.astype(np.uint64) + np.uint64(1)) ^ (key[k : k + 1] & -4).view(np.uint64)))
-        which.append(np.full(len(near), k))
-    keys, which = np.concatenate(keys).view(np.int64), np.concatenate(which)
-    return [keys, np.full(len(keys), rid), pos[which], 2 * lead_rid + is_open[which], _copy(own, begin, end, t)[which]]
+    lead, at = np.unique(lead_pos[is_open], return_index=True)
+    a, b = int(differ.sum()), len(lead)
+    lb, le, _, _ = _unpacked(lead)
+    copy = np.concatenate([_copy(own, begin[differ], end[differ], t), _copy(other, lb - base, le - base, t)])
+    return [np.concatenate([key[differ], key[is_open][at]]), np.repeat([rid, lead_rid], [a, b]), np.concatenate([pos[differ], lead]), np.concatenate([2 * lead_rid + is_open[differ], np.full(b, -1)]), copy]
+
+
+def _once_led(parts: list[list[np.ndarray]]) -> None:
+    """Of the leaders' rows among those of many pairs, all but the first of equal ones go."""
+    size = np.cumsum([len(p[0]) for p in parts])
+    key, rid, pos, met = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:4])
+    lead = np.flatnonzero(met == -1)
+    order = lead[np.lexsort((pos[lead], rid[lead], key[lead]))]
+    again = (key[order[1:]] == key[order[:-1]]) & (rid[order[1:]] == rid[order[:-1]]) & (pos[order[1:]] == pos[order[:-1]])
+    keep = np.ones(len(key), bool)
+    keep[order[1:][again]] = False
+    for k, (a, b) in enumerate(zip([0, *size[:-1]], size, strict=True)):
+        if not keep[a:b].all():
+            parts[k] = [x[keep[a:b]] for x in parts[k]]
 
 
 _FOUND = "first:long,last:long,lead_first:long,lead_last:long,similarity:double"
@@ -611,7 +731,7 @@ def _check(threshold: float, t: int, width: int, first: bool):
                 batch = whole.slice(a, 512)
                 anchors = batch.column("anchors")
                 at = anchors.offsets.to_numpy()
-                pos, lead_pos, *keys_of = (x.to_numpy() for x in anchors.values.flatten())
+                pos, lead_pos = (x.to_numpy() for x in anchors.values.flatten())
                 found, again, more = [], [], []
                 for k, (rid, lead_rid, base) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("rid", "lead_rid", "base")), strict=True)):
                     own, other = (np.frombuffer(batch.column(x)[k].as_buffer(), np.uint32) for x in ("seq", "lead_seq"))
@@ -629,10 +749,12 @@ def _check(threshold: float, t: int, width: int, first: bool):
                         (_, _, c, d), (_, _, lc, ld) = _unpacked(p), _unpacked(q)
                         spans, begins, ends, equal = verified(own, other, np.concatenate([c, d]), np.concatenate([lc, ld]) - base, threshold, t)
                         mine, theirs = given_back(own, other, p, q, base, begins[: len(c)], ends[: len(c)], equal, t)
-                    more.append(_entries(own, other, rid, lead_rid, p, q, base, equal, spans, t) if first else _narrower(own, other, rid, lead_rid, keys_of[0][at[k] : at[k + 1]], p, q, base, spans, t))
+                    more.append(_entries(own, other, rid, lead_rid, p, q, base, equal, spans, t) if first else [np.zeros(0, np.int64)] * 5)
                     found.append([np.array(x) for x in zip(*((x, y + width - 1, u + base, v + base + width - 1, like) for x, y, u, v, like in spans), strict=True)] if spans else [np.zeros(0)] * 5)
                     keys = [span_hash(v, x, x + t) if len(x) else np.zeros(0, np.uint64) for v, x in ((own, mine), (other, theirs))]
                     again.append([np.concatenate(keys).view(np.int64), np.repeat([rid, lead_rid], [len(mine), len(theirs)]), np.concatenate([mine, theirs + base])])
+                if first and more:
+                    _once_led(more)
                 yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("lead_rid"), _lists(found, ["first", "last", "lead_first", "lead_last", "similarity"], [*four, pa.float64()]), _lists(again, ["key", "rid", "pos"], four[:3]), _lists(more, ["key", "rid", "pos", "met", "copy"], [*four, pa.int64()])], names=["rid", "lead_rid", "found", "again", "more"])
 
     return run
@@ -652,10 +774,9 @@ def _near(own: np.ndarray, other: np.ndarray, pos: np.ndarray, lead_pos: np.ndar
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, t: int, width: int, first: bool = True) -> DataFrame:
     """(rid, lead_rid, found, again, more) of each pair of texts; pairs are gathered by text, sequences join them.
 
-    first: pairs have no key, and cells that aren't copies of their leader's go on; else what differs from the leader
-    of a key does, and no pair has met before.
+    first: cells that aren't copies of their leader's go on; else none does, and no pair has met before.
     """
-    gathered = F.collect_list(F.struct("pos", "lead_pos")) if first else F.collect_set(F.struct("pos", "lead_pos", "key"))
+    gathered = F.collect_list(F.struct("pos", "lead_pos")) if first else F.collect_set(F.struct("pos", "lead_pos"))
     anchors = pairs.groupBy("rid", "lead_rid").agg(gathered.alias("anchors"))
     leads = texts.select(F.col("rid").alias("lead_rid"), F.col("seq").alias("lead_seq"))
     begins = F.transform("anchors", lambda x: F.shiftright(x["lead_pos"], 3 * PLACE_BITS + 1))
@@ -698,6 +819,18 @@ def _repeats(checked: DataFrame, t: int, width: int) -> DataFrame:
     return spans.select("rid", "lead_rid", F.struct("first", "last", (F.col("first") - F.col("shift")).alias("lead_first"), (F.col("last") - F.col("shift")).alias("lead_last"), F.lit(1.0).alias("similarity")).alias("f"))
 
 
+def _met(checked: DataFrame, texts: DataFrame, threshold: float, t: int, most: int) -> DataFrame:
+    """Pairs, as _pairs() has them, of cells that come together by their anchors beyond their leader."""
+    keys = Marks(checked.select(F.explode("more").alias("x")).filter("x.met & 1 = 1").select("x.key"), "key")
+    rows, _ = split_marked(checked.select(F.explode("more").alias("x")).select("x.*"), keys, "key")
+    classes = stored(rows.repartition("key").sortWithinPartitions("key", "rid", "pos").mapInArrow(tidied(_classes), ROWS), "classes")
+    begin, more = F.shiftright("pos", 3 * PLACE_BITS + 1), F.shiftright("pos", 2 * PLACE_BITS).bitwiseAND(_PLACE)
+    span = F.expr("substring(seq, cast(begin * 4 + 1 as int), cast(size * 4 as int))")
+    cells = classes.filter("lead_rid = -1").withColumns({"begin": begin, "size": more + t}).join(texts.select("rid", "seq"), "rid").select("key", "rid", "pos", F.col("lead_pos").alias("part"), span.alias("span"))
+    links = cells.repartition("key").sortWithinPartitions("key", "rid", "pos").mapInArrow(tidied(_linked(threshold, t, most)), ROWS)
+    return stored(links.unionByName(classes.filter("lead_rid >= 0")).drop("key"), "window-met")
+
+
 def _sequences(width: int, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -718,9 +851,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     no row for it; a passage that repeats inside one text only is none. Passages of one text and source may
     overlap; one that lies inside another has no row. Every repeat of min_words words is reported; one with edits
     is found by its signatures, with a chance, whatever texts lead them. Null, empty and shorter texts have no passages, rows with equal ids
-    are rows of their own, other columns are ignored. min_words may be up to 1,000. most: how many cells with the same
-    anchors meet each other at once; more go on by what differs from the first. row_col: a column that
-    with_rows() has made before.
+    are rows of their own, other columns are ignored. min_words may be up to 1,000. most: how many open cells with the same
+    anchors are compared with all others at once. row_col: a column that with_rows() has made before.
     """
     t = min_words - width + 1
     if not 0 < t <= _PLACE:
@@ -733,16 +865,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     texts = stored(base.withColumn("mark", Marks.column()).mapInArrow(tidied(_sequences(width, marks.bits)), f"rid long, doc_id {kind}, seq binary"), "sequences", "lz4")
     once = stored(_verify(pairs, texts, threshold, t, width), "found")
     drop_stored(pairs)
-    found = once.select("rid", "lead_rid", F.explode("found").alias("f")).unionByName(_repeats(once, t, width))
-    last = once
-    while True:  # until no open cells are left that share what their leader hasn't
-        rows = last.select(F.explode("more").alias("x")).select("x.*").repartition("key").sortWithinPartitions("key", "rid", "pos")
-        met = stored(rows.mapInArrow(tidied(_meet(most)), ROWS), "window-met")
-        if met.isEmpty():
-            break
-        last = stored(_verify(met, texts, threshold, t, width, False), "found-more")
-        drop_stored(met)
-        found = found.unionByName(last.select("rid", "lead_rid", F.explode("found").alias("f")))
+    more = stored(_verify(_met(once, texts, threshold, t, most), texts, threshold, t, width, False), "found-more")
+    found = once.select("rid", "lead_rid", F.explode("found").alias("f")).unionByName(_repeats(once, t, width)).unionByName(more.select("rid", "lead_rid", F.explode("found").alias("f")))
     # a passage inside another one with the same source goes, the longest come first; all others stay
     kept = found.groupBy("rid", "lead_rid").agg(F.collect_list(F.struct((F.col("f.first") - F.col("f.last")).alias("size"), "f.first", "f.last", "f.lead_first", "f.lead_last", "f.similarity")).alias("all"))
     chosen = F.aggregate(F.array_sort("all"), F.expr(f"cast(array() as array<struct<size:long,{_FOUND}>>)"), lambda done, x: F.when(F.exists(done, lambda d: (d["first"] <= x["first"]) & (x["last"] <= d["last"])), done).otherwise(F.concat(done, F.array(x))))

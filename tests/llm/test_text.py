@@ -434,6 +434,27 @@ def test_edited_passages_meet_whatever_parts_lead_them(spark, tmp_path_factory,
     assert not pairs - want and len(pairs) >= 54, (len(pairs), len(pairs & want))
 
 
+def test_a_line_of_many_texts_makes_no_pairs_of_all(spark, tmp_path_factory, monkeypatch):
+    """Cells around a line that 120 texts share are not verified each with each; an edited passage there is found still."""
+    rnd = random.Random(29)
+    rt = lambda n: [rnd.choice(W) for _ in range(n)]
+    line, made, stored = rt(30), [], windows.stored
+
+    def counted(df, name, *args, **kwargs):
+        out = stored(df, name, *args, **kwargs)
+        if name == "window-met":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(windows, "stored", counted)
+    docs = [[*rt(60), *line, *rt(60)] for _ in range(120)]
+    inner = [*rt(20), *line, *rt(20)]
+    docs += [[*rt(60), *inner, *rt(60)], [*rt(60), *inner[:10], "edit", *inner[11:], *rt(60)]]
+    df = table(spark, tmp_path_factory, [(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string", 1)
+    assert {frozenset((r.doc_id, r.source_id)) for r in windows.passages(df).collect()} == {frozenset((120, 121))}
+    assert sum(made) <= 4 * len(docs), made
+
+
 def test_every_exact_repeat_is_reported(spark):
     """Every word of every 50 words that an earlier row has as well, over a whole table, against a plain search."""
     sf = "/root/testdata/sf0.01"
