@@ -21,7 +21,8 @@ Texts that are similar to one another and not to their leaders meet again as wel
 leader's come together once more by their anchors, the leaders' among them, if one is open: if its anchor is in no
 passage found with its leader. Cells with equal shingles are a class. Each class brings its shingles along and is
 compared with all earlier ones of the same anchors that it isn't linked with yet, directly or over others; sketches,
-bitmaps of the shingles, tell for certain of most that they have too little in common. So any two cells of the same
+bitmaps of the shingles, tell for certain of most that they have too little in common. Places count, and different
+shingles: a passage that repeats a few has many places in common with texts that aren't like it. So any two cells of the same
 anchors that are alike are linked, and links are as many as cells, whatever a line or a group of near copies repeats.
 """
 
@@ -51,6 +52,8 @@ HELD = 1 << 20
 ALL = 256
 #: Pairs of sketches that are compared at once.
 BLOCK = 1 << 21
+#: Shingles that are hashed at once.
+HASHED = 1 << 20
 #: 64-bit words of a sketch.
 LANES = 4
 #: Share of the shortest passage's shingles that both sides must have near an anchor to be looked at closely.
@@ -293,13 +296,13 @@ def _sketches(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduceat(table, first, axis=1)
 
 
-def _common_bound(x: np.ndarray, size: np.ndarray, y: np.ndarray, other_size: np.ndarray) -> np.ndarray:
-    """The most shingles that each x may have in common with each y: a bit of one that the other hasn't is one less."""
-    mine, theirs = (np.zeros((len(size), len(other_size)), np.int32) for _ in range(2))
+def _bits_apart(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bits each x has that each y hasn't, and the other way round: a shingle for each isn't in common."""
+    mine, theirs = (np.zeros((x.shape[1], y.shape[1]), np.int32) for _ in range(2))
     for a, b in zip(x[..., None], y, strict=True):
         mine += np.bitwise_count(a & ~b)
         theirs += np.bitwise_count(~a & b)
-    return np.minimum(size[:, None] - mine, other_size - theirs)
+    return mine, theirs
 
 
 def _least(threshold: float, t: int) -> float:
@@ -314,12 +317,36 @@ def _most(held: np.ndarray, first: np.ndarray, t: int) -> np.ndarray:
     return np.maximum.reduceat(sums, first[:-1])
 
 
+def _new(x: np.ndarray, t: int) -> np.ndarray:
+    """For each t values side by side, which of them hasn't stood before among them."""
+    order = np.argsort(x, kind="stable")
+    again = np.flatnonzero(x[order[1:]] == x[order[:-1]])
+    before = np.full(len(x), -1)
+    before[order[again + 1]] = order[again]
+    begin = np.arange(len(x) - t + 1)
+    return before[begin[:, None] + np.arange(t)] < begin[:, None]
+
+
+def _share(x: np.ndarray, held: np.ndarray, t: int) -> float:
+    """The largest share of the different values among t side by side that is held."""
+    new = _new(x, t)
+    return float(((new & np.lib.stride_tricks.sliding_window_view(held, t)).sum(axis=1) / new.sum(axis=1)).max())
+
+
+def _kinds(cell: np.ndarray, flat: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of numbers below n, those that each cell has, without repeats: (cells, numbers)."""
+    return np.divmod(np.unique(cell * n + flat), n)
+
+
 def _like(a: np.ndarray, c: int, b: np.ndarray, d: int, threshold: float, t: int) -> int:
     """Of the shingles of two cells with anchors at c and d: 2 if passages of t are similar on the anchors' diagonal or
-    where each has most of the other, 1 if others may be, 0 if they have too little in common."""
+    where each has most of the other, 1 if others may be, 0 if they have too little in common.
+
+    Similarity is of sets: where shingles repeat, many places in common may be few shingles, so these are counted too."""
     same = a[:, None] == b
     at = []
-    for held in (same.any(axis=1), same.any(axis=0)):
+    sides = same.any(axis=1), same.any(axis=0)
+    for held in sides:
         upto = np.concatenate([[0], np.cumsum(held)])
         sums = upto[t:] - upto[:-t]
         at.append(int(sums.argmax()))
@@ -327,6 +354,9 @@ def _like(a: np.ndarray, c: int, b: np.ndarray, d: int, threshold: float, t: int
             return 0
     if _similarity(a[at[0] : at[0] + t], b[at[1] : at[1] + t]) >= threshold:
         return 2
+    for v, held in zip((a, b), sides, strict=True):
+        if len(set(v.tolist())) < len(v) and _share(v, held, t) < ALIKE * threshold:
+            return 0
     x, y = max(0, c - d), max(0, d - c)
     n = min(len(a) - x, len(b) - y)
     if n >= t:
@@ -339,18 +369,39 @@ def _like(a: np.ndarray, c: int, b: np.ndarray, d: int, threshold: float, t: int
 
 def _links(rid: np.ndarray, pos: np.ndarray, part: np.ndarray, flat: np.ndarray, first: np.ndarray, threshold: float, t: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of the cells of one key, in order: each with earlier ones that may be like it, as long as they aren't linked."""
-    size = np.diff(first)
-    bits = _sketches(flat, first[:-1])
-    begin, _, c, _ = _unpacked(pos)
-    c = c - begin
     least = _least(threshold, t)
-    values, flat = np.unique(flat, return_inverse=True)
-    mine = np.zeros(len(values), bool)
+    _, flat = np.unique(flat, return_inverse=True)
+    values, live = int(flat.max()) + 1, np.arange(len(rid))
+    while True:  # cells that have too little of all others together are like none
+        size = np.diff(first)
+        cell = np.repeat(np.arange(len(live)), size)
+        kind_of, kinds = _kinds(cell, flat, values)
+        shared = np.bincount(kinds, minlength=values) > 1
+        keep = _most(shared[flat], first, t) >= least
+        if keep.all() or keep.sum() < 2:
+            break
+        flat, live, first = flat[keep[cell]], live[keep], np.concatenate([[0], np.cumsum(size[keep])])
     x, y = [], []
-    most = max(1, min(most, BLOCK // max(1, len(rid))))
-    for a in range(0, len(rid), most):
-        b = min(len(rid), a + most)
-        bound = _common_bound(bits[:, a:b], size[a:b], bits[:, :b], size[:b])
+    if keep.sum() < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rid, pos, part = rid[live], pos[live], part[live]
+    begin, _, c, _ = _unpacked(pos)
+    c = c - begin
+    different = np.bincount(kind_of, minlength=len(live))
+    fewest = np.maximum(1, different - size + t)  # different ones among t side by side, at least
+    for k in np.flatnonzero((different < size) & (size > t)).tolist():
+        fewest[k] = _new(flat[first[k] : first[k + 1]], t).sum(axis=1).min()
+    fewest = ALIKE * threshold * fewest
+    kind_of, kinds = kind_of[shared[kinds]], kinds[shared[kinds]]
+    bits = _sketches(kinds, np.searchsorted(kind_of, np.arange(len(live))))
+    different, places = np.bincount(kind_of, minlength=len(live)), np.bincount(cell[shared[flat]], minlength=len(live))
+    mine = np.zeros(values, bool)
+    most = max(1, min(most, BLOCK // len(live)))
+    for a in range(0, len(live), most):
+        b = min(len(live), a + most)
+        own_bits, other_bits = _bits_apart(bits[:, a:b], bits[:, :b])
+        bound = np.minimum(places[a:b, None] - own_bits, places[:b] - other_bits)
+        bound[np.minimum(different[a:b, None] - own_bits, different[:b] - other_bits) < np.maximum(fewest[a:b, None], fewest[:b])] = 0
         for k in range(max(a, 1), b):
             todo = np.flatnonzero((bound[k - a, :k] >= least) & (rid[:k] != rid[k]) & (part[:k] != part[k]))
             own = flat[first[k] : first[k + 1]]
@@ -370,7 +421,7 @@ def _links(rid: np.ndarray, pos: np.ndarray, part: np.ndarray, flat: np.ndarray,
                 if like == 2:
                     part[part == part[j]] = part[k]
                     todo = todo[part[todo] != part[k]]
-    return np.array(x, np.int64), np.array(y, np.int64)
+    return live[np.array(x, np.int64)], live[np.array(y, np.int64)]
 
 
 def _linked(threshold: float, t: int, most: int):
@@ -437,16 +488,16 @@ def _next(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, int, int] | Non
     best = None
     if apart.size and (least := int(apart.argmin())) >= 0 and apart.flat[least] <= min(most, _SIDE):
         best = divmod(least, len(y))
-    elif most > _SIDE:
-        place: dict[int, int] = {}
-        for q, v in enumerate(b[: most + 1].tolist()):
-            place.setdefault(v, q)
-        for p, v in enumerate(a[: most + 1].tolist()):
-            if p > most:
-                break
-            q = place.get(v)
-            if q is not None and p + q <= most:
-                best, most = (p, q), p + q - 1
+    elif most > _SIDE and len(x) and len(y):
+        x, y = a[: most + 1], b[: most + 1]
+        order = np.argsort(y, kind="stable")
+        q = np.searchsorted(y, x, sorter=order)
+        q = order[np.minimum(q, len(y) - 1)]
+        hit = np.flatnonzero(y[q] == x)
+        if len(hit):
+            k = int(hit[(hit + q[hit]).argmin()])
+            if k + q[k] <= most:
+                best = k, int(q[k])
     return best and (*best, _run(a[best[0] :], b[best[1] :]))
 
 
@@ -489,7 +540,11 @@ def longest(own: np.ndarray, other: np.ndarray, runs: list[tuple[int, int, int]]
     todo, out = [runs], []
     while todo:
         part = todo.pop()
-        if not part:
+        if not part or min(part[-1][k] + part[-1][2] - part[0][k] for k in (0, 1)) < t:
+            continue
+        if len(part) == 1:
+            (x, u, n), = part
+            out.append((x, x + n - 1, u, u + n - 1, 1.0))
             continue
         i, j, n = np.array(part, np.int64).T
         gap = np.concatenate([[0], i[1:] + j[1:] - i[:-1] - j[:-1] - 2 * n[:-1]])
@@ -557,6 +612,11 @@ def _held(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, None] == b).any(axis=1) if len(a) * len(b) <= 1 << 14 else np.isin(a, b)
 
 
+def _zone(own: np.ndarray, other: np.ndarray, a: int, b: int, n: int) -> tuple[bytes, ...]:
+    """What lies n or fewer places around a in own and b in other: equal ones give equal results that look no further."""
+    return own[max(0, a - n) : a].tobytes(), own[a : a + n].tobytes(), other[max(0, b - n) : b].tobytes(), other[b : b + n].tobytes()
+
+
 def _beyond(own: np.ndarray, other: np.ndarray, span: tuple[int, int, int, int, float], weight: float, t: int) -> bool:
     """Whether a passage's sides have shingles in common that are near enough to make it longer."""
     x, y, u, v, _ = span
@@ -564,9 +624,13 @@ def _beyond(own: np.ndarray, other: np.ndarray, span: tuple[int, int, int, int,
     return bool(_held(own[y + 1 : y + 1 + most], other[v + 1 : v + 1 + most]).any() or _held(own[max(0, x - most) : x], other[max(0, u - most) : u]).any())
 
 
-def _common(own: np.ndarray, other: np.ndarray, c: int, lc: int, t: int) -> int:
-    """Shingles near the anchor in own that are near it in other as well."""
-    return int(_held(own[max(0, c - t + 1) : c + t], other[max(0, lc - t + 1) : lc + t]).sum())
+def _much(own: np.ndarray, other: np.ndarray, c: int, lc: int, t: int) -> bool:
+    """Whether enough shingles near the anchor in own are near it in other as well, and enough different ones."""
+    near = own[max(0, c - t + 1) : c + t]
+    held = _held(near, other[max(0, lc - t + 1) : lc + t])
+    if len(near) < t or np.count_nonzero(held) < NEAR * t:
+        return False
+    return len(set(near.tolist())) == len(near) or _share(near, held, t) >= NEAR
 
 
 def verified(own: np.ndarray, other: np.ndarray, c: np.ndarray, lc: np.ndarray, threshold: float, t: int) -> tuple[list[tuple[int, int, int, int, float]], np.ndarray, np.ndarray, np.ndarray]:
@@ -579,12 +643,22 @@ def verified(own: np.ndarray, other: np.ndarray, c: np.ndarray, lc: np.ndarray,
     within, equal = np.zeros(len(own) + 1, bool), np.zeros(len(own) + 1, bool)
     wide: list[tuple[int, int, int, int, float]] = []
     seen: dict[int, list[tuple[int, int]]] = {}
+    chains: dict[tuple, list[tuple[int, int, int]]] = {}
+    arounds: dict[tuple, tuple[bool, list | None]] = {}
 
     def chained(a: int, b: int) -> bool:
         return any(x <= a < y for x, y in seen.get(a - b, ()))
 
     def linked(a: int, b: int) -> list[tuple[int, int, int, int, float]]:
-        runs = chain(own, other, a, b, weight, t)
+        key = _zone(own, other, a, b, 4 * t)
+        if key in chains:  # text that repeats itself
+            runs = [(a + i, b + j, n) for i, j, n in chains[key]]
+        else:
+            runs = chain(own, other, a, b, weight, t)
+            look = int((sum(n for _, _, n in runs) + t) / weight) + 1
+            (i, j, _), (x, y, n) = runs[0], runs[-1]
+            if min(i - look - a, j - look - b) >= -4 * t and max(x + n + look - a, y + n + look - b) <= 4 * t:
+                chains[key] = [(i - a, j - b, n) for i, j, n in runs]
         for i, j, n in runs:
             seen.setdefault(i - j, []).append((i, i + n))
         out = longest(own, other, runs, threshold, weight, t)
@@ -617,13 +691,22 @@ def verified(own: np.ndarray, other: np.ndarray, c: np.ndarray, lc: np.ndarray,
     tried: dict[int, int] = {}
     for k in left.tolist():
         a, b = int(c[k]), int(lc[k])
-        if within[a] or tried.get(a - b, -t) > a - t or _common(own, other, a, b, t) < NEAR * t:
+        if within[a] or tried.get(a - b, -t) > a - t:
+            continue
+        key = _zone(own, other, a, b, t)
+        if key not in arounds:
+            arounds[key] = _much(own, other, a, b, t), None
+        much, got = arounds[key]
+        if not much:
             continue
         tried[a - b] = a
         more = [] if chained(a, b) else linked(a, b)
         if not within[a]:
-            got = around(own, other, (max(0, a - t + 1), a, min(len(own) - 1, a + t - 1)), (max(0, b - t + 1), b, min(len(other) - 1, b + t - 1)), threshold, t)
-            more += [got] if got else []
+            if got is None:
+                got = around(own, other, (max(0, a - t + 1), a, min(len(own) - 1, a + t - 1)), (max(0, b - t + 1), b, min(len(other) - 1, b + t - 1)), threshold, t)
+                got = [(got[0] - a, got[1] - a, got[2] - b, got[3] - b, got[4])] if got else []
+                arounds[key] = much, got
+            more += [(x + a, y + a, u + b, v + b, like) for x, y, u, v, like in got]
         for x, y, *_ in more:
             within[x : y + 1] = True
         spans += more
@@ -674,26 +757,49 @@ def _outside(c: np.ndarray, spans: list[tuple[int, int, int, int, float]]) -> np
     return out
 
 
-def _copy(own: np.ndarray, begin: np.ndarray, end: np.ndarray, t: int) -> np.ndarray:
-    """Hash of the shingles of each cell, by its first passage and its last one, which overlap."""
-    return mix(span_hash(own, begin, begin + t) ^ mix(span_hash(own, end, end + t) + (end - begin).astype(np.uint64))).view(np.int64)
+def _hashes(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """span_hash() of each (values, starts, ends), of many at once."""
+    out: list[np.ndarray] = []
+    size = np.cumsum([len(v) if len(x) else 0 for v, x, _ in parts])
+    while len(out) < len(parts):
+        a = len(out)
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + HASHED, side="right")))
+        some = [(v if len(x) else v[:0], x, y) for v, x, y in parts[a:b]]
+        count = [len(x) for _, x, _ in some]
+        base = np.repeat(size[a:b] - [len(v) for v, _, _ in some] - (size[a - 1] if a else 0), count)
+        values, starts, ends = (np.concatenate(z) for z in zip(*some, strict=True))
+        out += np.split(span_hash(values, starts + base, ends + base), np.cumsum(count)[:-1])
+    return out
+
+
+def _copies(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], t: int) -> list[np.ndarray]:
+    """Hashes of the shingles of cells (values, begin, end), by their first passage and their last one, which overlap."""
+    h = _hashes([(v, x, x + t) for v, begin, end in parts for x in (begin, end)])
+    return [mix(a ^ mix(b + (end - begin).astype(np.uint64))).view(np.int64) for (_, begin, end), a, b in zip(parts, h[::2], h[1::2], strict=True)]
 
 
-def _entries(own: np.ndarray, other: np.ndarray, rid: int, lead_rid: int, pos: np.ndarray, lead_pos: np.ndarray, base: int, equal: np.ndarray | None, spans: list, t: int) -> list[np.ndarray]:
-    """(key, rid, pos, met, copy) of cells that aren't copies of their leader's, and of the leaders of open ones."""
+def _entries(own: np.ndarray, other: np.ndarray, rid: int, lead_rid: int, pos: np.ndarray, lead_pos: np.ndarray, base: int, equal: np.ndarray | None, spans: list, t: int) -> tuple[list[np.ndarray], tuple, tuple]:
+    """(key, rid, pos, met) of cells that aren't copies of their leader's, and of the leaders of open ones; and both's
+    (shingles, begin, end)."""
+    none = np.zeros(0, np.int64)
     begin, end, c, d = _unpacked(pos)
     if equal is None:
         differ = ~_alike(own, other, pos, lead_pos, base, t)
     else:
         upto = np.concatenate([[0], np.cumsum(~equal[: len(own)])])
         differ = upto[end + 1] > upto[begin]
+    if not differ.any():
+        return [none] * 4, (own, none, none), (other, none, none)
+    begin, end, c, d, pos, lead_pos = (x[differ] for x in (begin, end, c, d, pos, lead_pos))
     key = mix(own[c].astype(np.uint64) << np.uint64(32) | own[d].astype(np.uint64)).view(np.int64)
-    is_open = differ & _outside(c, spans)
+    is_open = _outside(c, spans)
+    if not is_open.any():
+        return [key, np.full(len(key), rid), pos, np.full(len(key), 2 * lead_rid)], (own, begin, end), (other, none, none)
     lead, at = np.unique(lead_pos[is_open], return_index=True)
-    a, b = int(differ.sum()), len(lead)
+    a, b = len(key), len(lead)
     lb, le, _, _ = _unpacked(lead)
-    copy = np.concatenate([_copy(own, begin[differ], end[differ], t), _copy(other, lb - base, le - base, t)])
-    return [np.concatenate([key[differ], key[is_open][at]]), np.repeat([rid, lead_rid], [a, b]), np.concatenate([pos[differ], lead]), np.concatenate([2 * lead_rid + is_open[differ], np.full(b, -1)]), copy]
+    rows = [np.concatenate([key, key[is_open][at]]), np.repeat([rid, lead_rid], [a, b]), np.concatenate([pos, lead]), np.concatenate([2 * lead_rid + is_open, np.full(b, -1)])]
+    return rows, (own, begin, end), (other, lb - base, le - base)
 
 
 def _once_led(parts: list[list[np.ndarray]]) -> None:
@@ -732,7 +838,7 @@ def _check(threshold: float, t: int, width: int, first: bool):
                 anchors = batch.column("anchors")
                 at = anchors.offsets.to_numpy()
                 pos, lead_pos = (x.to_numpy() for x in anchors.values.flatten())
-                found, again, more = [], [], []
+                found, again, more, given, cells_of = [], [], [], [], []
                 for k, (rid, lead_rid, base) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("rid", "lead_rid", "base")), strict=True)):
                     own, other = (np.frombuffer(batch.column(x)[k].as_buffer(), np.uint32) for x in ("seq", "lead_seq"))
                     p, q = pos[at[k] : at[k + 1]], lead_pos[at[k] : at[k + 1]]
@@ -749,11 +855,20 @@ def _check(threshold: float, t: int, width: int, first: bool):
                         (_, _, c, d), (_, _, lc, ld) = _unpacked(p), _unpacked(q)
                         spans, begins, ends, equal = verified(own, other, np.concatenate([c, d]), np.concatenate([lc, ld]) - base, threshold, t)
                         mine, theirs = given_back(own, other, p, q, base, begins[: len(c)], ends[: len(c)], equal, t)
-                    more.append(_entries(own, other, rid, lead_rid, p, q, base, equal, spans, t) if first else [np.zeros(0, np.int64)] * 5)
+                    if first:
+                        rows, *both = _entries(own, other, rid, lead_rid, p, q, base, equal, spans, t)
+                        more.append(rows)
+                        cells_of += both
+                    else:
+                        more.append([np.zeros(0, np.int64)] * 5)
                     found.append([np.array(x) for x in zip(*((x, y + width - 1, u + base, v + base + width - 1, like) for x, y, u, v, like in spans), strict=True)] if spans else [np.zeros(0)] * 5)
-                    keys = [span_hash(v, x, x + t) if len(x) else np.zeros(0, np.uint64) for v, x in ((own, mine), (other, theirs))]
-                    again.append([np.concatenate(keys).view(np.int64), np.repeat([rid, lead_rid], [len(mine), len(theirs)]), np.concatenate([mine, theirs + base])])
+                    given += [(own, mine, mine + t), (other, theirs, theirs + t)]
+                    again.append([np.repeat([rid, lead_rid], [len(mine), len(theirs)]), np.concatenate([mine, theirs + base])])
+                keys = _hashes(given) if first else [np.zeros(0, np.uint64)] * len(given)
+                again = [[np.concatenate([x, y]).view(np.int64), *z] for x, y, z in zip(keys[::2], keys[1::2], again, strict=True)]
                 if first and more:
+                    copies = _copies(cells_of, t)
+                    more = [[*z, np.concatenate([x, y])] for z, x, y in zip(more, copies[::2], copies[1::2], strict=True)]
                     _once_led(more)
                 yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("lead_rid"), _lists(found, ["first", "last", "lead_first", "lead_last", "similarity"], [*four, pa.float64()]), _lists(again, ["key", "rid", "pos"], four[:3]), _lists(more, ["key", "rid", "pos", "met", "copy"], [*four, pa.int64()])], names=["rid", "lead_rid", "found", "again", "more"])
 
@@ -763,8 +878,8 @@ def _check(threshold: float, t: int, width: int, first: bool):
 def _near(own: np.ndarray, other: np.ndarray, pos: np.ndarray, lead_pos: np.ndarray, base: int, threshold: float, t: int) -> list[tuple[int, int, int, int, float]]:
     """Passages around the anchors of cells, if they have enough in common near one; others have been found before."""
     (_, _, c, d), (_, _, lc, ld) = _unpacked(pos), _unpacked(lead_pos)
-    _, some = np.unique(np.stack([c - lc, c // max(1, t // 4)]), axis=1, return_index=True)
-    some = np.array([k for k in some.tolist() if _common(own, other, int(c[k]), int(lc[k]) - base, t) >= NEAR * t], np.int64)
+    _, some = np.unique((c - lc) * (len(own) + 1) + c // max(1, t // 4), return_index=True)
+    some = np.array([k for k in some.tolist() if _much(own, other, int(c[k]), int(lc[k]) - base, t)], np.int64)
     if not len(some):
         return []
     spans, *_ = verified(own, other, np.concatenate([c[some], d[some]]), np.concatenate([lc[some], ld[some]]) - base, threshold, t)
