@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..session import stored
 
 
 def wildcard(name: Column, pattern: str) -> Column:
@@ -94,6 +95,26 @@ def with_child_flag(entries: DataFrame) -> DataFrame:
     return entries.join(held, [*keys, "inode"], "left").withColumn("has_children", F.coalesce("has_children", F.lit(False)))
 
 
+def walk(entries: DataFrame, root: int = 0) -> DataFrame:
+    """(image_id, start_offset, inode, path, depth): `/inode/inode` of each entry below root, with its level from 1.
+
+    A part of a path knows the entry that it is below (`up`, null where it begins at the root). Each round puts the
+    parts of `up` in front of those that don't begin at the root yet, so their length doubles and rounds are as many as
+    the logarithm of the depth; only what a round made is written. Entries that lie in themselves, or below what isn't
+    there, never begin at the root and have no row: a round that finishes no path is the last. The joins aren't
+    broadcast ones: files of paths are many times smaller than the rows in memory."""
+    keys = ["image_id", "start_offset"]
+    links = entries.filter("parent_inode is not null").select(*keys, "inode", F.when(F.col("parent_inode") != root, F.col("parent_inode")).alias("up"), F.concat(F.lit("/"), F.col("inode").cast("string")).alias("path"), F.lit(1).alias("depth"))
+    made = stored(links, "walk")
+    whole = made.filter("up is null")
+    while not made.filter("up is null").isEmpty() and not made.filter("up is not null").isEmpty():
+        parts = made.filter("up is not null")
+        above = whole.unionByName(parts).select(*keys, F.col("inode").alias("up"), F.col("up").alias("next"), F.col("path").alias("front"), F.col("depth").alias("before"))
+        made = stored(parts.join(above.hint("merge"), [*keys, "up"]).select(*keys, "inode", F.col("next").alias("up"), F.concat("front", "path").alias("path"), (F.col("depth") + F.col("before")).alias("depth")), "walk")
+        whole = whole.unionByName(made.filter("up is null"))
+    return whole.select(*keys, "inode", "path", "depth")
+
+
 def under(entries: DataFrame, prefix: str) -> DataFrame:
     """Entries below a path; what an export of it copies."""
     return entries.filter(F.col("path").startswith(prefix.rstrip("/") + "/"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -31,9 +32,8 @@ def ship(spark: SparkSession) -> None:
     sc._evidra_shipped = True
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut off its lineage in the session's shared checkpoint folder; a local session without one gets its own."""
-    spark = df.sparkSession
+def _shared(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder, set if it wasn't; a local session without one gets its own."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
@@ -41,4 +41,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="evidra-")
         spark.sparkContext.setCheckpointDir(root)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut off its lineage in the session's shared checkpoint folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df cut off its lineage as Parquet in the shared checkpoint folder, where it is much smaller than a checkpoint."""
+    path = f"{_shared(df.sparkSession)}/evidra/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.schema(df.schema).parquet(path)

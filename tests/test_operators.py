@@ -203,3 +203,24 @@ def test_raw_copies_and_progress(spark, tmp_path):
     rows, seen = verify.observed(export.raw_copy(chunks.repartition(4), str(tmp_path)), "size")
     assert {r.path for r in rows.collect()} == {str(tmp_path / "disk.dd")}
     assert (tmp_path / "disk.dd").read_bytes() == data and seen.get == {"rows": 11, "bytes": len(data)}
+
+
+def test_walk_of_deep_trees_cycles_and_orphans(spark):
+    """A chain deeper than a hundred levels, a wide directory, entries in themselves or below nothing, an inode twice."""
+    up = {k: k - 1 for k in range(1, 151)} | {k: 7 for k in range(1000, 1300)} | {2000: 2001, 2001: 2002, 2002: 2000, 2003: 2000, 3001: 3000, 4000: 4000}
+    rows = [("d", 0, k, p) for k, p in up.items()] + [("d", 0, 9, 3), ("d", 5, 7, 0), ("d", 0, 5000, None)]
+    got = sorted((r.start_offset, r.inode, r.path, r.depth) for r in search.walk(spark.createDataFrame(rows, "image_id string, start_offset long, inode long, parent_inode long")).collect())
+    want, level = [], [(o, k, f"/{k}", 1) for _, o, k, p in rows if p == 0]
+    while level:
+        want += level
+        level = [(o, k, f"{path}/{k}", n + 1) for o, i, path, n in level for _, b, k, p in rows if (b, p) == (o, i)]
+    assert got == sorted(want) and max(r[3] for r in got) == 150
+
+
+def test_path_walk_of_more_than_a_million_rows(spark, tmp_path):
+    from evidra import catalog
+
+    spark.range(1_100_000).select(F.col("id").alias("p_partkey"), F.lit("p").alias("p_name")).write.parquet(str(tmp_path / "part.parquet"))
+    got = catalog.QUERIES["path_walk"](spark, str(tmp_path))
+    assert got.agg(F.count("*"), F.max("depth"), F.countDistinct("path")).first() == (1_099_999, 7, 1_099_999)
+    assert got.filter("inode = 1099999").first().path == "/1/10/109/1099/10999/109999/1099999"
