@@ -16,6 +16,7 @@ from .functions import scalar as S
 from .functions import text as X
 from .operators import carve, history, paging, registry, reports, search, space, timeline, verify
 from .plans import evidence, samples
+from .session import stored
 from .sources import bodyfile, export, rawimage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -405,9 +406,10 @@ def carved_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 def carved_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recovered files looked up by name, and their bytes read again at the offset in the name."""
     image = _image(spark, sf_dir)
-    found = carve.carve(image).filter("type <> 'mov'")
+    # carved once: the list of files is read as the names to look up and as what they are looked up in
+    found = stored(carve.carve(image).filter("type <> 'mov'").drop("content"), "carved")
     named = carve.looked_up(found.select("image_id", "name"), found)
-    return carve.reread(named, image).join(named.select("image_id", "name", "type"), ["image_id", "name"]).select("image_id", "name", "type", "size", F.upper(F.sha2("content", 256)).alias("sha256"))
+    return carve.reread(named.select("image_id", "name", "type", "size"), image).select("image_id", "name", "type", "size", F.upper(F.sha2("content", 256)).alias("sha256"))
 
 
 @_query("""SELECT doc_id, tag, value FROM documents, (VALUES ('DateTime', '2021:03:04 05:06:07'), ('Make', 'Maker'), ('Model', 'Model 7')) AS t(tag, value) WHERE doc_id % 3 <> 0""")

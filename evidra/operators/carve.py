@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 Spans = Iterator[tuple[int, int]]
 #: Object identifiers of the ASF format.
 ASF_HEADER = bytes.fromhex("3026B2758E66CF11A6D900AA0062CE6C")
@@ -26,6 +28,8 @@ ASF_PROPERTIES = bytes.fromhex("A1DCAB8C47A9CF118EE400C00C205365")
 #: The atoms by which a QuickTime file is known, and bounds of a bitmap.
 ATOMS = (b"moov", b"mdat", b"free", b"wide")
 BMP_BYTES, BMP_SIDE = (100, 5_000_000), 10_000
+#: A batch of recovered files is full at so many bytes or rows; a batch has its price, so small images share one.
+BATCH_BYTES, BATCH_ROWS = 16 << 20, 2000
 
 
 def between(head: bytes, tail: bytes) -> Callable[[bytes], Spans]:
@@ -253,15 +257,23 @@ def carve(chunks: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
         for batch in batches:
             for image, base, own, chunk in zip(*(batch.column(c) for c in ("image_id", "offset", "len", "bytes")), strict=True):
                 data = chunk.as_py() or b""
-                rows = []
                 for kind, a, b in find(data, kinds, own.as_py()):
+                    if rows and (held + b - a > BATCH_BYTES or len(rows) >= BATCH_ROWS):
+                        yield batch_of()
+                        rows, held = [], 0
                     at = base.as_py() + a
                     rows.append((image.as_py(), at, kind, b - a, f"{at:x}.{kind}", original_time(kind, data[a:b]), data[a:b]))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    held += b - a
+        if rows:
+            yield batch_of()
 
     names = ["image_id", "offset", "type", "size", "name", "mtime", "content"]
     types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.timestamp("us"), pa.binary()]
@@ -287,7 +299,7 @@ def numbered(carved: DataFrame) -> DataFrame:
 def looked_up(names: DataFrame, carved: DataFrame) -> DataFrame:
     """names(image_id, name) with the size, type and time of the recovered file of that name; the first one counts."""
     first = carved.groupBy("image_id", "name").agg(F.min_by(F.struct("offset", "type", "size", "mtime"), "offset").alias("x")).select("image_id", "name", "x.*")
-    return names.join(first, ["image_id", "name"], "left")
+    return names.join(first.hint("merge"), ["image_id", "name"], "left")
 
 
 def named_offset(name: Column) -> Column:
@@ -296,14 +308,20 @@ def named_offset(name: Column) -> Column:
 
 
 def reread(names: DataFrame, chunks: DataFrame) -> DataFrame:
-    """names(image_id, name, size) with content: the image's bytes at the offset in the name, cut out of its chunk."""
-    wanted = names.select("image_id", "name", "size", named_offset(F.col("name")).alias("at"))
-    held = chunks.select("image_id", "offset", "len", "bytes")
-    width = held.agg(F.max("len")).first()[0] or 1
-    keyed = held.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("offset") / width).cast("long"), F.floor((F.col("offset") + F.greatest("len", F.lit(1)) - 1) / width).cast("long"))))
-    own = wanted.withColumn("bucket", F.floor(F.col("at") / width).cast("long")).join(keyed, ["image_id", "bucket"])
-    inside = own.filter((F.col("at") >= F.col("offset")) & (F.col("at") < F.col("offset") + F.col("len")))
-    return inside.select("image_id", "name", "size", F.col("bytes").substr((F.col("at") - F.col("offset") + 1).cast("int"), F.col("size").cast("int")).alias("content"))
+    """names(image_id, name, size, ...) with content: the image's bytes at the offset in the name, cut out of its chunk.
+
+    Names meet the chunks' places, without their bytes, by buckets as wide as the largest chunk; then each chunk is
+    joined once with the list of what is wanted of it. The places are read twice: they are written to a table. Joins
+    with stored tables aren't broadcast ones, since such files are many times smaller than their rows in memory."""
+    wanted = names.withColumn("at", named_offset(F.col("name")))
+    places = stored(chunks.groupBy("image_id", F.col("offset").alias("c_at")).agg(F.max(F.col("len").cast("long")).alias("c_len")), "places")
+    width = places.agg(F.max("c_len")).first()[0] or 1
+    placed = places.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("c_at") / width).cast("long"), F.floor((F.col("c_at") + F.greatest("c_len", F.lit(1)) - 1) / width).cast("long"))))
+    met = wanted.withColumn("bucket", F.floor(F.col("at") / width).cast("long")).join(placed.hint("merge"), ["image_id", "bucket"]).filter((F.col("at") >= F.col("c_at")) & (F.col("at") < F.col("c_at") + F.col("c_len")))
+    lists = met.groupBy("image_id", F.col("c_at").alias("offset")).agg(F.collect_list(F.struct("at", *[F.col(c) for c in names.columns if c != "image_id"])).alias("wanted"))
+    each = chunks.select("image_id", "offset", "len", "bytes").join(lists, ["image_id", "offset"]).select("image_id", "offset", "len", "bytes", F.explode("wanted").alias("w")).filter(F.col("w.at") < F.col("offset") + F.col("len"))
+    cut = F.col("bytes").substr((F.col("w.at") - F.col("offset") + 1).cast("int"), F.col("w.size").cast("int"))
+    return each.select(*[F.col(c) if c == "image_id" else F.col(f"w.{c}") for c in names.columns], cut.alias("content"))
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -272,3 +272,41 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("evidra_limits").count() == 9
+
+
+def test_files_of_small_images_share_batches(spark):
+    """Recovered files come in few batches, whole and apart: a batch for each image costs more than the search."""
+    png_, gif_ = files()["png"], files()["gif"]
+    chunks = spark.createDataFrame([(f"i{k}", 1000 * k, len(png_) + len(gif_) + 1, png_ + b"\x11" + gif_) for k in range(5000)], "image_id string, offset long, len long, bytes binary").coalesce(1)
+
+    class Columns:
+        def __init__(self, df):
+            self.df = df
+
+        def select(self, *columns):
+            self.rows = self.df.select(*columns)
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run(self.rows.toArrow().to_batches(1000)))
+
+    got = carve.carve(Columns(chunks))
+    assert len(got) == 5
+    rows = [r for b in got for r in b.to_pylist()]
+    assert sorted((r["image_id"], r["offset"], r["content"]) for r in rows) == sorted(x for k in range(5000) for x in ((f"i{k}", 1000 * k, png_), (f"i{k}", 1000 * k + len(png_) + 1, gif_)))
+
+
+def test_names_are_read_again_where_they_say(spark):
+    """Names in chunks of several sizes, into an overlap, in chunks of one offset, twice the same name, and names that say no place."""
+    chunks = [("a", 0, 10, b"0123456789abcd"), ("a", 10, 4, b"abcd"), ("b", 100, 2, b"xy"), ("b", 100, 4, b"uvwz"), ("c", 0, 1000, bytes(range(250)) * 4)]
+    names = [("a", "8.gif", 4, "gif"), ("a", "b.png", 2, "png"), ("a", "b.png", 2, "png"), ("a", "e.png", 2, "png"), ("b", "64.bmp", 2, "bmp"), ("b", "67.bmp", 1, "bmp"), ("c", "3e6.zip", 2, "zip"), ("c", "readme", 3, "txt"), ("d", "0.gif", 1, "gif")]
+    got = carve.reread(spark.createDataFrame(names, "image_id string, name string, size long, type string"), spark.createDataFrame(chunks, "image_id string, offset long, len long, bytes binary"))
+    want = [(i, n, size, k, data[at - o : at - o + size]) for i, n, size, k in names if "." in n for at in [int(n.split(".")[0], 16)] for j, o, own, data in chunks if i == j and o <= at < o + own]
+    assert sorted((r.image_id, r.name, r.size, r.type, bytes(r.content)) for r in got.collect()) == sorted(want) and len(want) == 7
+
+
+def test_carved_reread_carves_once(spark, sf_dir):
+    from evidra import catalog
+
+    plan = catalog.QUERIES["carved_reread"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # the list of files was written when they were carved
