@@ -732,7 +732,7 @@ array_to_string(list_transform(range(1, length(h), 2), lambda i: CASE WHEN subst
 SELECT doc_id, page, sha256('<html><body><table>' || string_agg('<tr><td><pre>' || replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</pre></td></tr>', '' ORDER BY line_no) || '</table></body></html>') AS sha256 FROM d GROUP BY 1, 2""")
 def hex_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4: pages of hex lines as HTML."""
-    pages = export.hex_html(paging.hex_lines(evidence.files(spark, sf_dir).withColumnRenamed("inode", "doc_id"), "doc_id"), "doc_id")
+    pages = export.hex_pages(evidence.files(spark, sf_dir).withColumnRenamed("inode", "doc_id"), "doc_id")
     return pages.select("doc_id", "page", F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
 
 

@@ -22,24 +22,41 @@ _SHOWN = bytes(b if 0x20 <= b <= 0x7E else 0x2E for b in range(256))
 _ROWS = 1 << 15
 
 
+def shown_lines(data: bytes, first: int, stop: int) -> list[str]:
+    """Lines `first` up to `stop` of a content's hex view: address, 16 bytes, and the bytes as they show."""
+    part = data[first * LINE : stop * LINE]
+    digits, shown = part.hex(" ").upper(), part.translate(_SHOWN).decode("ascii")
+    return [f"0x{(first + i) * LINE:08x}: {digits[48 * i : 48 * i + 47]:<48}  {shown[LINE * i : LINE * i + LINE]}" for i in range(stop - first)]
+
+
 def hex_lines(files: DataFrame, key: str, content: str = "content", first_line: int = 0, lines: int | None = None) -> DataFrame:
     """(key, page, line_no, line) of 16 bytes each; only the lines asked for are made.
 
-    Each content is turned to hex once and the lines are cut out of it, so the work grows with its bytes."""
+    Each content is turned to hex once and the lines are cut out of it, so the work grows with its bytes; small files
+    share batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys, numbers, made = [], [], []
+
+            def batch_of() -> pa.RecordBatch:
+                no = np.concatenate(numbers)
+                return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array(no // PAGE_LINES), pa.array(no), pa.array(made)], names=[key, "page", "line_no", "line"])
+
             for k, c in enumerate(batch.column(1)):
                 data = c.as_py() or b""
                 stop = -(-len(data) // LINE)
                 stop = stop if lines is None else min(stop, first_line + lines)
                 for a in range(first_line, stop, _ROWS):
                     b = min(stop, a + _ROWS)
-                    part = data[a * LINE : b * LINE]
-                    digits, shown = part.hex(" ").upper(), part.translate(_SHOWN).decode("ascii")
-                    made = [f"0x{(a + i) * LINE:08x}: {digits[48 * i : 48 * i + 47]:<48}  {shown[LINE * i : LINE * i + LINE]}" for i in range(b - a)]
-                    no = np.arange(a, b)
-                    yield pa.RecordBatch.from_arrays([_repeated(batch.column(0), k, b - a), pa.array(no // PAGE_LINES), pa.array(no), pa.array(made)], names=[key, "page", "line_no", "line"])
+                    if made and len(made) + b - a > _ROWS:
+                        yield batch_of()
+                        keys, numbers, made = [], [], []
+                    keys.append(_repeated(batch.column(0), k, b - a))
+                    numbers.append(np.arange(a, b))
+                    made += shown_lines(data, a, b)
+            if made:
+                yield batch_of()
 
     return files.select(key, content).mapInArrow(run, f"`{key}` {files.schema[key].dataType.simpleString()}, page long, line_no long, line string")
 

@@ -224,3 +224,17 @@ def test_path_walk_of_more_than_a_million_rows(spark, tmp_path):
     got = catalog.QUERIES["path_walk"](spark, str(tmp_path))
     assert got.agg(F.count("*"), F.max("depth"), F.countDistinct("path")).first() == (1_099_999, 7, 1_099_999)
     assert got.filter("inode = 1099999").first().path == "/1/10/109/1099/10999/109999/1099999"
+
+
+def test_hex_pages_are_those_of_lines_without_a_shuffle(spark, sf_dir):
+    from evidra import catalog
+
+    sizes = [0, 1, 15, 16, 17, 16 * 1024, 16 * 1024 + 1, 3 * 16 * 1024 - 5]
+    data = [(n, bytes((7 * k + n) % 256 for k in range(n))) for n in sizes] + [(-1, None), (-2, b"<&>&amp;\n\r\\1\x00" * 999)] + [(10**6 + k, b"%d" % k) for k in range(3000)]
+    df = spark.createDataFrame(data, "k long, content binary")
+    pages, lines = export.hex_pages(df, "k"), export.hex_html(paging.hex_lines(df, "k"), "k")
+    assert pages.schema.simpleString() == lines.schema.simpleString()
+    got = sorted(map(tuple, pages.collect()))
+    assert got == sorted(map(tuple, lines.collect())) and [(k, p) for k, p, _ in got if 16 < k < 10**6] == [(17, 0), (16384, 0), (16385, 0), (16385, 1), (49147, 0), (49147, 1), (49147, 2)]
+    plan = catalog.QUERIES["hex_html"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
