@@ -621,8 +621,7 @@ def timeline_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {BODY} SELECT row_number() OVER (ORDER BY ts, inode, file) AS place, ts, inode, file, macb FROM e")
 def timeline_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A timeline's order, inodes as text; the place of each row is counted by the parts of a range-partitioned sort."""
-    rows = timeline.ordered(timeline.events(evidence.body(spark, sf_dir)))
-    return spark.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (x[1] + 1, *x[0])), "place long, ts long, inode string, file string, macb string")
+    return timeline.placed(timeline.events(evidence.body(spark, sf_dir)))
 
 
 @_query("""SELECT row_no FROM (SELECT o_orderkey AS row_no, CASE o_orderkey % 5 WHEN 0 THEN NULL ELSE o_custkey END AS uid, CASE WHEN o_orderkey % 5 IN (1, 2) THEN 0 ELSE epoch(o_orderdate) END AS t FROM orders) WHERE uid IS NOT NULL AND t <> 0 AND row_no IN (SELECT l_orderkey FROM lineitem)""")

@@ -5,10 +5,16 @@ A body row is (row_no, md5, file, inode, mode, uid, gid, size, atime, mtime, cti
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 FLAGS = "macb"
+#: Fixed value: bits below the number of a partition in monotonically_increasing_id().
+PLACE_BITS = 33
 #: Fixed value: the first line of the CSV layout.
 CSV_HEADER = "Date,Size,Type,Mode,UID,GID,Meta,File Name"
 
@@ -29,18 +35,17 @@ def events(body: DataFrame, start: int = 0, stop: int = 0) -> DataFrame:
     """(ts, inode, file, macb): one row for each time of a file, with the letters of the times it is.
 
     Times before start, at or after stop (0: none), or negative are left out. The unpivot is a projection
-    and the letters are maxima, so partial aggregation goes before the shuffle.
+    and the letters are bits of a number, so partial aggregation, by hashes, goes before the shuffle.
     """
     return _grouped(sane(body, start), start, stop)
 
 
 def _grouped(rows: DataFrame, start: int, stop: int, *carried: str) -> DataFrame:
     """events() of sane rows; carried columns are the same in all rows of a file."""
-    stack = F.explode(F.array(*[F.struct(F.col(t).cast("long").alias("ts"), F.lit(k).alias("k")) for t, k in (("mtime", "m"), ("atime", "a"), ("ctime", "c"), ("crtime", "b"))])).alias("e")
+    stack = F.explode(F.array(*[F.struct(F.col(t).cast("long").alias("ts"), F.lit(1 << FLAGS.index(k)).alias("k")) for t, k in (("mtime", "m"), ("atime", "a"), ("ctime", "c"), ("crtime", "b"))])).alias("e")
     rows = rows.select(F.col("inode").cast("string").alias("inode"), "file", *carried, stack).select("e.ts", "e.k", "inode", "file", *carried).filter((F.col("ts") >= max(0, start)) & (F.lit(stop == 0) | (F.col("ts") < stop)))
-    flags = [F.max(F.when(F.col("k") == k, F.lit(k)).otherwise(F.lit(""))).alias(k) for k in FLAGS]
-    shown = F.concat(*[F.when(F.col(k) == "", F.lit(".")).otherwise(F.col(k)) for k in FLAGS])
-    return rows.groupBy("ts", "inode", "file").agg(*flags, *[F.first(c).alias(c) for c in carried]).select("ts", "inode", "file", shown.alias("macb"), *carried)
+    shown = F.concat(*[F.when(F.col("k").bitwiseAND(1 << n) != 0, F.lit(k)).otherwise(F.lit(".")) for n, k in enumerate(FLAGS)])
+    return rows.groupBy("ts", "inode", "file").agg(F.bit_or("k").alias("k"), *[F.first(c).alias(c) for c in carried]).select("ts", "inode", "file", shown.alias("macb"), *carried)
 
 
 def _attributes() -> Column:
@@ -105,6 +110,23 @@ def ordered(rows: DataFrame) -> DataFrame:
     return rows.orderBy("ts", F.col("inode").cast("string"), "file")
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """A timeline with `place`, each row's number from 1 in ordered(); no task sees more than its part of the order.
+
+    The sorted parts are written once, each row with its part and its number there, so that counting the parts and
+    reading them see the same ones; what comes before each part is all that the driver holds."""
+    at = "at" if "at" not in rows.columns else "_at"
+    parts = stored(ordered(rows).withColumn(at, F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright(at, PLACE_BITS)
+    counts = {r.part: r.n for r in parts.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for k in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(k, 0)
+    first = F.element_at(F.from_json(F.lit(json.dumps(before)), "array<bigint>"), (part + 1).cast("int"))
+    return parts.select((first + F.col(at).bitwiseAND((1 << PLACE_BITS) - 1) + 1).alias("place"), *rows.columns)
+
+
 def csv_lines(rows: DataFrame, style: str = "unix", tz: str = "UTC") -> DataFrame:
     """(ts, inode, file, line) in the CSV layout; quotes in file names are doubled."""
     line = F.concat_ws(",", date_text(F.col("ts"), style, tz), F.col("size").cast("string"), "macb", "mode", "uid", "gid", "inode", F.concat(F.lit('"'), F.replace("file", F.lit('"'), F.lit('""')), F.lit('"')))

@@ -238,3 +238,24 @@ def test_hex_pages_are_those_of_lines_without_a_shuffle(spark, sf_dir):
     assert got == sorted(map(tuple, lines.collect())) and [(k, p) for k, p, _ in got if 16 < k < 10**6] == [(17, 0), (16384, 0), (16385, 0), (16385, 1), (49147, 0), (49147, 1), (49147, 2)]
     plan = catalog.QUERIES["hex_html"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_places_of_a_timeline(spark, sf_dir):
+    """Places over many parts, with one time that most rows have, and of no rows; rows don't go through Python."""
+    from evidra import catalog
+
+    data = [(5 if k % 10 else k, str(k), f"/f/{k % 7}", "m...") for k in range(20_000)]
+    rows = spark.createDataFrame(data, "ts long, inode string, file string, macb string")
+    got = timeline.placed(rows.repartition(7))
+    assert got.columns == ["place", "ts", "inode", "file", "macb"]
+    assert sorted(map(tuple, got.collect())) == [(n, *r) for n, r in enumerate(sorted(data), 1)]
+    assert timeline.placed(rows.filter("ts < 0")).collect() == []
+    plan = catalog.QUERIES["timeline_order"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan
+
+
+def test_letters_of_rows_with_one_name(spark):
+    """Times of several body rows of a file meet in one event, whose letters are those of all of them."""
+    body = spark.createDataFrame([(1, "0", "/a", 7, "r", 0, 0, 1, 10, 20, 30, 40), (2, "0", "/a", 7, "r", 0, 0, 1, 20, 20, 20, 20), (3, "0", "/b", 7, "r", 0, 0, 1, 10, 10, 30, 0)], "row_no long, md5 string, file string, inode long, mode string, uid long, gid long, size long, atime long, mtime long, ctime long, crtime long")
+    got = sorted(map(tuple, timeline.events(body).collect()))
+    assert got == [(0, "7", "/b", "...b"), (10, "7", "/a", ".a.."), (10, "7", "/b", "ma.."), (20, "7", "/a", "macb"), (30, "7", "/a", "..c."), (30, "7", "/b", "..c."), (40, "7", "/a", "...b")]
